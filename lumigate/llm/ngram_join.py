@@ -13,8 +13,10 @@ are accumulated block by block and pairs below the bound that their sizes imply
 3. Classes that meet in such a shingle get one home, the least minimum hash among them, so
    that the rows of near copies meet in few blocks. Homes with many shingles are cut into
    blocks, and each pair of blocks is a task of its own.
-4. In a pair of blocks the product of the whole incidence rows gives exact overlaps. A spanning
-   forest of the links leaves the task, never the pairs.
+4. In a pair of blocks the product of the incidence rows counts overlaps: first over the quarter
+   of the n-grams with the least hashes, where a row stays only if a partner can still reach
+   the bound with all the rest; then, for those rows, over all of them. A spanning forest of
+   the links leaves the task, never the pairs. (Blocks carry 40 bits of each hash.)
 
 Defined cases: a null or blank text has an empty set and links to nothing; a null doc_id keeps
 its row (component null) and lends its class nothing; repeated rows keep their rows; equal sets
@@ -39,8 +41,9 @@ WIDTH, PERCENT = 5, 80
 FREQUENT_LIMIT = 1 << 17  # n-grams that are put last: 1 MB at most
 FREQUENT_LOCAL, FREQUENT_LEAST = 8, 48
 FILTER_BITS = 26  # the candidate filter: 8 MB at most
-BLOCK_SHINGLES = 400_000
-DENSE_LIST = 48
+BLOCK_SHINGLES, BLOCK_ROWS = 400_000, 1500
+DENSE_LIST = 48  # rows of an n-gram from which the dense product takes it
+PART_BELOW = np.uint64(1 << 62)  # a quarter of the hashes
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -92,7 +95,7 @@ def signed_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(class, least hash, prefix) of each document with words."""
+    """(class, least hash, size, prefix) of each document with words."""
     own_frequent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,14 +115,15 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -
                         s = np.concatenate((s[~hot], s[hot]))
                     prefixes.append(s[:keep])
                 lengths = np.array([len(p) for p in prefixes])
+                sizes = pa.array([len(s) for s in sets], pa.int32())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(_signed(np.concatenate(prefixes))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([_signature(s) for s in sets]), pa.array([int(s[0] >> np.uint64(33)) for s in sets], pa.int32()), lists],
-                    names=["class", "low", "prefix"],
+                    [pa.array([_signature(s) for s in sets]), pa.array([int(s[0] >> np.uint64(33)) for s in sets], pa.int32()), sizes, lists],
+                    names=["class", "low", "n", "prefix"],
                 )
 
-    rows = docs.select(shared.text_column(docs).alias("text")).mapInArrow(scan, "class long, low int, prefix array<long>")
-    return rows.groupBy("class").agg(F.first("low").alias("low"), F.first("prefix").alias("prefix"))
+    rows = docs.select(shared.text_column(docs).alias("text")).mapInArrow(scan, "class long, low int, n int, prefix array<long>")
+    return rows.groupBy("class").agg(F.first("low").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
 
 def _bitmap(classes: DataFrame) -> np.ndarray:
@@ -143,8 +147,19 @@ def _bitmap(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def _candidate_sets(docs: DataFrame, bitmap: np.ndarray, width: int) -> DataFrame:
-    """(class, shingles as bytes) of documents that the filter lets through."""
+def _packed(values: np.ndarray) -> bytes:
+    """The low 40 bits of each hash."""
+    return values.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
+def _candidate_sets(docs: DataFrame, bitmap: np.ndarray, width: int, part_only: bool) -> DataFrame:
+    """(class, n, shingles) of classes that the filter lets through; part_only: of the shingles, the quarter with the least hashes."""
     own_bitmap = docs.sparkSession.sparkContext.broadcast(bitmap)
     low = FILTER_BITS - 15
 
@@ -158,52 +173,56 @@ def _candidate_sets(docs: DataFrame, bitmap: np.ndarray, width: int) -> DataFram
                 held = (bits[part, bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
                 keep = np.flatnonzero(held)
                 if len(keep):
-                    yield pa.RecordBatch.from_arrays([pa.array(names[keep]), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["class", "shingles"])
+                    sizes = [len(sets[i]) for i in keep]
+                    rows = [_packed(sets[i][: np.searchsorted(sets[i], PART_BELOW)] if part_only else sets[i]) for i in keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[keep]), pa.array(sizes, pa.int32()), pa.array(rows, pa.binary())], names=["class", "n", "shingles"])
 
-    rows = docs.select(shared.text_column(docs).alias("text")).mapInArrow(scan, "class long, shingles binary")
-    return rows.groupBy("class").agg(F.first("shingles").alias("shingles"))
+    rows = docs.select(shared.text_column(docs).alias("text")).mapInArrow(scan, "class long, n int, shingles binary")
+    return rows.groupBy("class").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
 
 
-def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows whose overlap reaches the bound; with right=None within left (i < j).
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """Counts of common n-grams: left rows by right rows, or left by left where right is None.
 
     The product of two blocks of incidence rows: n-grams in few rows add their pairs one by one,
     n-grams in many rows go through a dense product in slices.
     """
     rows = left if right is None else left + right
     cut = len(left)
-    sizes = np.array([len(s) for s in rows], dtype=np.int64)
-    owner = np.repeat(np.arange(len(rows), dtype=np.int64), sizes)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int64), [len(s) for s in rows])
     grams = np.concatenate(rows)
     order = np.argsort(grams, kind="stable")
     grams, owner = grams[order], owner[order]
     edge = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1], [True])))
     length = np.diff(edge)
-    n_right = len(rows) - cut if right is not None else cut
     shift = cut if right is not None else 0
-    counts = np.zeros((cut, n_right), dtype=np.int32)
+    across = len(rows) - shift
+    counts = np.zeros(cut * across, dtype=np.int32)
     for m in np.unique(length[(length > 1) & (length <= DENSE_LIST)]):
         lists = owner[edge[:-1][length == m][:, None] + np.arange(m)]
         a, b = np.triu_indices(m, 1)
-        for at in range(0, len(lists), max(1, 2_000_000 // len(a))):
-            part = lists[at : at + max(1, 2_000_000 // len(a))]
-            x, y = part[:, a].ravel(), part[:, b].ravel()
+        step = max(1, 2_000_000 // len(a))
+        for at in range(0, len(lists), step):
+            x, y = lists[at : at + step][:, a].ravel(), lists[at : at + step][:, b].ravel()
             if right is not None:
                 keep = (x < cut) & (y >= cut)
                 x, y = x[keep], y[keep]
-            np.add.at(counts, (x, y - shift), 1)
+            np.add.at(counts, x * across + y - shift, 1)
+    counts = counts.reshape(cut, across)
     heavy = np.flatnonzero(length > DENSE_LIST)
     for at in range(0, len(heavy), 1024):
         part = heavy[at : at + 1024]
         dense = np.zeros((len(rows), len(part)), dtype=np.float32)
         for k, h in enumerate(part):
             dense[owner[edge[h] : edge[h + 1]], k] = 1
-        counts += np.rint(dense[:cut] @ dense[shift : shift + n_right].T).astype(np.int32)
-    a_sizes, b_sizes = sizes[:cut, None], sizes[None, shift : shift + n_right]
-    linked = 100 * counts.astype(np.int64) >= percent * (a_sizes + b_sizes - counts)
-    if right is None:
-        linked = np.triu(linked, 1)
-    return np.nonzero(linked & (counts > 0))
+        counts += np.rint(dense[:cut] @ dense[shift:].T).astype(np.int32)
+    return counts if right is not None else np.triu(counts, 1)
+
+
+def at_bound(counts: np.ndarray, missing: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Whether overlap + missing can reach the overlap that the two sizes ask for; missing bounds what was not counted."""
+    counts = counts.astype(np.int64) + missing
+    return (100 + percent) * counts >= percent * (left[:, None] + right[None, :])
 
 
 def spanning(x: np.ndarray, y: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -223,29 +242,68 @@ def spanning(x: np.ndarray, y: np.ndarray, n: int) -> list[tuple[int, int]]:
     return [(i, r) for i in range(n) if (r := find(i)) != i]
 
 
+def _block_pairs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int, int], list[dict], list[dict]]]:
+    """(home, i, j), left rows, right rows of each pair of blocks; no right rows where a block meets itself."""
+    for i in range(batch.num_rows):
+        key = tuple(batch.column(c)[i].as_py() for c in ("home", "i", "j"))
+        members = batch.column("members")[i].as_py()
+        left, right = [m for m in members if m["side"] < 2], [m for m in members if m["side"] == 2]
+        if left and (right if key[1] != key[2] else len(left) > 1):
+            yield key, left, right
+
+
+def _parts(left: list[dict], right: list[dict]) -> tuple[list[np.ndarray], list[np.ndarray] | None, np.ndarray, np.ndarray]:
+    a, b = [_unpacked(m["shingles"]) for m in left], [_unpacked(m["shingles"]) for m in right]
+    n_a, n_b = (np.array([m["n"] for m in part], dtype=np.int64) for part in (left, right))
+    return a, b or None, n_a, n_b if right else n_a
+
+
+def _survivors(blocks: DataFrame, percent: int) -> DataFrame:
+    """The rows of each pair of blocks that some partner of the pair can reach, judged by a part of the shingles."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for key, left, right in _block_pairs(batch):
+                a, b, n_a, n_b = _parts(left, right)
+                rest_a = n_a - np.array([len(s) for s in a])
+                rest_b = n_b - np.array([len(s) for s in b or a])
+                counts = overlaps(a, b)
+                can = at_bound(counts, np.minimum(rest_a[:, None], rest_b[None, :]), n_a, n_b, percent)
+                if b is None:
+                    can = np.triu(can, 1)
+                    can |= can.T
+                    out += [(*key, left[i]["class"], 0) for i in np.flatnonzero(can.any(axis=1))]
+                else:
+                    out += [(*key, left[i]["class"], 1) for i in np.flatnonzero(can.any(axis=1))]
+                    out += [(*key, right[i]["class"], 2) for i in np.flatnonzero(can.any(axis=0))]
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int8())
+            columns = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["home", "i", "j", "class", "side"])
+
+    return blocks.mapInArrow(work, "home int, i int, j int, class long, side byte")
+
+
 def _block_edges(blocks: DataFrame, percent: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends_a, ends_b = [], []
-            for i in range(batch.num_rows):
-                members = batch.column("members")[i].as_py()
-                left = [m for m in members if m["side"] < 2]
-                right = [m for m in members if m["side"] == 2]
-                two = len(right) > 0
-                if not left or (not two and (len(left) < 2 or any(m["side"] == 1 for m in left))):
-                    continue
-                all_rows = left + right
-                names = [m["class"] for m in all_rows]
-                take = lambda part: [np.frombuffer(m["shingles"], dtype=np.uint64) for m in part]
-                x, y = block_links(take(left), take(right) if two else None, percent)
-                for m, r in spanning(x, y + (len(left) if two else 0), len(all_rows)):
-                    ends_a.append(names[m])
-                    ends_b.append(names[r])
-            yield pa.RecordBatch.from_arrays([pa.array(ends_a, pa.int64()), pa.array(ends_b, pa.int64())], names=["a", "b"])
+            ends: list[tuple[int, int]] = []
+            for _, left, right in _block_pairs(batch):
+                a, b, n_a, n_b = _parts(left, right)
+                counts = overlaps(a, b)
+                x, y = np.nonzero(at_bound(counts, np.zeros(1, dtype=np.int64), n_a, n_b, percent) & (counts > 0))
+                names = [m["class"] for m in left + right]
+                ends += [(names[m], names[r]) for m, r in spanning(x, y + (len(left) if right else 0), len(names))]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return blocks.mapInArrow(work, "a long, b long")
 
 
+def _met(member: DataFrame, sets: DataFrame) -> DataFrame:
+    rows = member.join(sets, "class").groupBy("home", "i", "j")
+    return rows.agg(F.collect_list(F.struct("class", "n", "side", "shingles")).alias("members"))
+
+
 def linked_classes(docs: DataFrame, signed: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(a, b) edges that connect every two classes that a chain of links joins."""
     frequent = (
@@ -254,25 +312,24 @@ def linked_classes(docs: DataFrame, signed: DataFrame, width: int = WIDTH, perce
     )
     frequent = np.sort(frequent.view(np.uint64))
     prefixes = _prefixes(docs, frequent, width, percent)
-    by_gram = Window.partitionBy("gram")
+    by_gram, by_size = Window.partitionBy("gram"), Window.partitionBy("gram").orderBy("n")
+    smaller, larger = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    # In a list sorted by size, a class whose two neighbours are both out of its size bounds has no partner there.
     homes = shared.written(
-        prefixes.select("class", "low", F.explode("prefix").alias("gram"))
-        .select("class", F.min("low").over(by_gram).alias("home"), F.count(F.lit(1)).over(by_gram).alias("met"))
-        .filter("met > 1")
-        .select("home", "class")
+        prefixes.select("class", "low", "n", F.explode("prefix").alias("gram"))
+        .select("class", "n", F.min("low").over(by_gram).alias("home"), ((100 * smaller >= percent * F.col("n")) | (100 * F.col("n") >= percent * larger)).alias("near"))
+        .filter("near")
+        .select("home", "class", "n")
         .distinct(),
         "homes",
     )
-    sizes = signed.filter("gram is null and n_shingles > 0").groupBy("class").agg(F.max("n_shingles").alias("n"))
-    placed = homes.join(sizes, "class")
     cut = (
-        placed.groupBy("home")
+        homes.groupBy("home")
         .agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("classes"))
         .filter("classes > 1")
-        .select("home", F.greatest(F.ceil(F.col("held") / BLOCK_SHINGLES), F.ceil(F.col("classes") / 1500)).cast("int").alias("blocks"))
+        .select("home", F.greatest(F.ceil(F.col("held") / BLOCK_SHINGLES), F.ceil(F.col("classes") / BLOCK_ROWS)).cast("int").alias("blocks"))
     )
-    sets = _candidate_sets(docs, _bitmap(homes.select("class").distinct()), width)
-    member = placed.join(cut, "home").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    member = homes.select("home", "class").join(cut, "home").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     # Block i meets itself and each j > i; side 1 is the first and side 2 the second of two blocks, side 0 a block alone.
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "class",
@@ -281,8 +338,10 @@ def linked_classes(docs: DataFrame, signed: DataFrame, width: int = WIDTH, perce
         F.greatest("block", "other").alias("j"),
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"),
     )
-    blocks = member.join(sets, "class").groupBy("home", "i", "j").agg(F.collect_list(F.struct("class", "side", "shingles")).alias("members")).select("members")
-    return _block_edges(blocks, percent)
+    parts = _candidate_sets(docs, _bitmap(homes.select("class").distinct()), width, True)
+    left = shared.written(_survivors(_met(member, parts), percent), "survivors")
+    wholes = _candidate_sets(docs, _bitmap(left.select("class").distinct()), width, False)
+    return _block_edges(_met(left, wholes), percent)
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
