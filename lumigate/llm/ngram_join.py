@@ -28,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,7 +39,6 @@ from .textblocks import chunks, distinct_sorted, mix64, shingle_hashes, utf8_col
 WIDTH, PERCENT = 5, 80
 FREQUENT_LIMIT = 1 << 17  # n-grams that are put last: 1 MB at most
 FREQUENT_LOCAL, FREQUENT_LEAST = 8, 48
-FILTER_BITS = 26  # the candidate filter: 8 MB at most
 BLOCK_SHINGLES, BLOCK_ROWS = 400_000, 1500
 DENSE_LIST = 48  # rows of an n-gram from which the dense product takes it
 PART_BELOW = np.uint64(1 << 62)  # a quarter of the hashes
@@ -126,27 +124,6 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -
     return rows.groupBy("class").agg(F.first("low").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
 
-def _bitmap(classes: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits that holds every class given, and by chance others."""
-    low = FILTER_BITS - 15
-
-    def pack(key, rows):
-        bits = np.zeros(1 << 15, dtype=np.uint8)
-        bits[rows["bit"].to_numpy()] = 1
-        return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(bits).tobytes()]})
-
-    parts = (
-        classes.select(F.pmod("class", F.lit(1 << low)).cast("int").alias("part"), F.shiftright(F.col("class"), low).bitwiseAND(F.lit((1 << 15) - 1)).cast("int").alias("bit"))
-        .distinct()
-        .groupBy("part")
-        .applyInPandas(pack, "part int, bits binary")
-    )
-    out = np.zeros((1 << low, 1 << 12), dtype=np.uint8)
-    for row in parts.toLocalIterator():
-        out[row.part] = np.frombuffer(row.bits, dtype=np.uint8)
-    return out
-
-
 def _packed(values: np.ndarray) -> bytes:
     """The low 40 bits of each hash."""
     return values.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
@@ -161,7 +138,6 @@ def _unpacked(raw: bytes) -> np.ndarray:
 def _candidate_sets(docs: DataFrame, bitmap: np.ndarray, width: int, part_only: bool) -> DataFrame:
     """(class, n, shingles) of classes that the filter lets through; part_only: of the shingles, the quarter with the least hashes."""
     own_bitmap = docs.sparkSession.sparkContext.broadcast(bitmap)
-    low = FILTER_BITS - 15
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = own_bitmap.value
@@ -169,9 +145,7 @@ def _candidate_sets(docs: DataFrame, bitmap: np.ndarray, width: int, part_only:
             for _, _, sets in _sets(batch.column(0), width):
                 sets = [s for s in sets if len(s)]
                 names = np.array([_signature(s) for s in sets], dtype=np.int64)
-                part, bit = names & ((1 << low) - 1), (names >> low) & ((1 << 15) - 1)
-                held = (bits[part, bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
-                keep = np.flatnonzero(held)
+                keep = np.flatnonzero(shared.in_bitmap(bits, names))
                 if len(keep):
                     sizes = [len(sets[i]) for i in keep]
                     rows = [_packed(sets[i][: np.searchsorted(sets[i], PART_BELOW)] if part_only else sets[i]) for i in keep]
@@ -338,9 +312,9 @@ def linked_classes(docs: DataFrame, signed: DataFrame, width: int = WIDTH, perce
         F.greatest("block", "other").alias("j"),
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"),
     )
-    parts = _candidate_sets(docs, _bitmap(homes.select("class").distinct()), width, True)
+    parts = _candidate_sets(docs, shared.bitmap(homes, "class"), width, True)
     left = shared.written(_survivors(_met(member, parts), percent), "survivors")
-    wholes = _candidate_sets(docs, _bitmap(left.select("class").distinct()), width, False)
+    wholes = _candidate_sets(docs, shared.bitmap(left, "class"), width, False)
     return _block_edges(_met(left, wholes), percent)
 
 

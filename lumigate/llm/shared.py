@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,45 @@ def text_column(df: DataFrame, column: str = "text") -> Column:
     return df[column].cast("string")
 
 
+#: Bits of a key filter: 8 MB, whatever the number of keys.
+FILTER_BITS = 26
+_LOW = FILTER_BITS - 15
+
+
+def bitmap(rows: DataFrame, key: str) -> np.ndarray:
+    """A filter of 2**FILTER_BITS bits that holds every key of the column (long, well mixed) and, by chance, others."""
+
+    def pack(part, own):
+        bits = np.zeros(1 << 15, dtype=np.uint8)
+        bits[own["bit"].to_numpy()] = 1
+        return pd.DataFrame({"part": [part[0]], "bits": [np.packbits(bits).tobytes()]})
+
+    places = rows.select(
+        F.pmod(key, F.lit(1 << _LOW)).cast("int").alias("part"), F.shiftright(F.col(key), _LOW).bitwiseAND(F.lit((1 << 15) - 1)).cast("int").alias("bit")
+    ).distinct()
+    out = np.zeros((1 << _LOW, 1 << 12), dtype=np.uint8)
+    for row in places.groupBy("part").applyInPandas(pack, "part int, bits binary").toLocalIterator():
+        out[row.part] = np.frombuffer(row.bits, dtype=np.uint8)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    part, bit = keys & ((1 << _LOW) - 1), (keys >> _LOW) & ((1 << 15) - 1)
+    return ((bits[part, bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def split_by_keys(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is surely not among keys, the others): only the second part need be shuffled to be joined with keys."""
+    own_bits = rows.sparkSession.sparkContext.broadcast(bitmap(keys, key))
+
+    @F.pandas_udf("boolean")
+    def maybe(values: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(own_bits.value, values.to_numpy(dtype=np.int64)))
+
+    marked = rows.withColumn("__maybe", maybe(F.col(key)))
+    return marked.filter("not __maybe").drop("__maybe"), marked.filter("__maybe").drop("__maybe")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of an undirected graph; component is the least node that can be reached.
 
