@@ -7,15 +7,16 @@ are accumulated block by block and pairs below the bound that their sizes imply
    a class, which is one row of the matrix. The same scan counts, per run of texts, the
    n-grams that repeat there; the sums name the frequent ones.
 2. A class of n shingles can only link to a class with which it shares one of its first
-   n - ceil(t n) + 1 shingles in any fixed order, so only those enter the candidate search.
-   Frequent n-grams come last in that order. The list of them has a fixed bound
-   (``FREQUENT_LIMIT``) and changes the order alone, never the result.
+   n - ceil(t n) + 1 shingles in any fixed order. The candidate search takes n / EXTRA more, so
+   that linked classes share at least n / EXTRA - 1 of them; a class with fewer n-grams that
+   any class of fitting size holds too is out. Frequent n-grams come last in the order. The list
+   of them has a fixed bound (``FREQUENT_LIMIT``) and changes the order alone, never the result.
 3. Classes that meet in such a shingle get one home, the least minimum hash among them, so
    that the rows of near copies meet in few blocks. Homes with many shingles are cut into
    blocks, and each pair of blocks is a task of its own.
-4. In a pair of blocks the product of the incidence rows counts overlaps: first over the quarter
-   of the n-grams with the least hashes, where a row stays only if a partner can still reach
-   the bound with all the rest; then, for those rows, over all of them. A spanning forest of
+4. In a pair of blocks the product of the incidence rows counts overlaps: first over the part
+   of the n-grams with the least hashes (PART_BELOW), where a row stays only if a partner can
+   still reach the bound with all the rest; then, for those rows, over all of them. A spanning forest of
    the links leaves the task, never the pairs. (Blocks carry 40 bits of each hash.)
 
 Defined cases: a null or blank text has an empty set and links to nothing; a null doc_id keeps
@@ -25,7 +26,7 @@ link; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,8 @@ FREQUENT_LIMIT = 1 << 17  # n-grams that are put last: 1 MB at most
 FREQUENT_LOCAL, FREQUENT_LEAST = 8, 48
 BLOCK_SHINGLES, BLOCK_ROWS = 400_000, 1500
 DENSE_LIST = 48  # rows of an n-gram from which the dense product takes it
-PART_BELOW = np.uint64(1 << 62)  # a quarter of the hashes
+EXTRA = 10  # a tenth of a set's shingles stand in its prefix beyond the least number
+PART_BELOW = np.uint64(int(0.15 * 2**64))  # the part of the hashes that is compared first
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -106,7 +108,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -
                 prefixes = []
                 for s in sets:
                     n = len(s)
-                    keep = n - (percent * n + 99) // 100 + 1
+                    keep = n - (percent * n + 99) // 100 + 1 + n // EXTRA
                     if len(last):
                         at = np.minimum(np.searchsorted(last, s), len(last) - 1)
                         hot = last[at] == s
@@ -135,8 +137,17 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _packed_part(values: np.ndarray) -> bytes:
+    """The distinct low 32 bits of the hashes below PART_BELOW; what falls together counts as not compared."""
+    return np.unique(values[: np.searchsorted(values, PART_BELOW)].astype(np.uint32)).tobytes()
+
+
+def _unpacked_part(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint32)
+
+
 def _candidate_sets(docs: DataFrame, bitmap: np.ndarray, width: int, part_only: bool) -> DataFrame:
-    """(class, n, shingles) of classes that the filter lets through; part_only: of the shingles, the quarter with the least hashes."""
+    """(class, n, shingles) of classes that the filter lets through; part_only: only the part with the least hashes."""
     own_bitmap = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +159,7 @@ def _candidate_sets(docs: DataFrame, bitmap: np.ndarray, width: int, part_only:
                 keep = np.flatnonzero(shared.in_bitmap(bits, names))
                 if len(keep):
                     sizes = [len(sets[i]) for i in keep]
-                    rows = [_packed(sets[i][: np.searchsorted(sets[i], PART_BELOW)] if part_only else sets[i]) for i in keep]
+                    rows = [(_packed_part if part_only else _packed)(sets[i]) for i in keep]
                     yield pa.RecordBatch.from_arrays([pa.array(names[keep]), pa.array(sizes, pa.int32()), pa.array(rows, pa.binary())], names=["class", "n", "shingles"])
 
     rows = docs.select(shared.text_column(docs).alias("text")).mapInArrow(scan, "class long, n int, shingles binary")
@@ -226,8 +237,8 @@ def _block_pairs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int, int],
             yield key, left, right
 
 
-def _parts(left: list[dict], right: list[dict]) -> tuple[list[np.ndarray], list[np.ndarray] | None, np.ndarray, np.ndarray]:
-    a, b = [_unpacked(m["shingles"]) for m in left], [_unpacked(m["shingles"]) for m in right]
+def _parts(left: list[dict], right: list[dict], unpack: Callable[[bytes], np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray] | None, np.ndarray, np.ndarray]:
+    a, b = [unpack(m["shingles"]) for m in left], [unpack(m["shingles"]) for m in right]
     n_a, n_b = (np.array([m["n"] for m in part], dtype=np.int64) for part in (left, right))
     return a, b or None, n_a, n_b if right else n_a
 
@@ -239,7 +250,7 @@ def _survivors(blocks: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for key, left, right in _block_pairs(batch):
-                a, b, n_a, n_b = _parts(left, right)
+                a, b, n_a, n_b = _parts(left, right, _unpacked_part)
                 rest_a = n_a - np.array([len(s) for s in a])
                 rest_b = n_b - np.array([len(s) for s in b or a])
                 counts = overlaps(a, b)
@@ -263,7 +274,7 @@ def _block_edges(blocks: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             ends: list[tuple[int, int]] = []
             for _, left, right in _block_pairs(batch):
-                a, b, n_a, n_b = _parts(left, right)
+                a, b, n_a, n_b = _parts(left, right, _unpacked)
                 counts = overlaps(a, b)
                 x, y = np.nonzero(at_bound(counts, np.zeros(1, dtype=np.int64), n_a, n_b, percent) & (counts > 0))
                 names = [m["class"] for m in left + right]
@@ -289,14 +300,16 @@ def linked_classes(docs: DataFrame, signed: DataFrame, width: int = WIDTH, perce
     by_gram, by_size = Window.partitionBy("gram"), Window.partitionBy("gram").orderBy("n")
     smaller, larger = F.lag("n").over(by_size), F.lead("n").over(by_size)
     # In a list sorted by size, a class whose two neighbours are both out of its size bounds has no partner there.
-    homes = shared.written(
+    met = (
         prefixes.select("class", "low", "n", F.explode("prefix").alias("gram"))
         .select("class", "n", F.min("low").over(by_gram).alias("home"), ((100 * smaller >= percent * F.col("n")) | (100 * F.col("n") >= percent * larger)).alias("near"))
         .filter("near")
-        .select("home", "class", "n")
-        .distinct(),
-        "homes",
+        .groupBy("home", "class", "n")
+        .agg(F.count(F.lit(1)).alias("grams"))
     )
+    # A linked pair has at least n / EXTRA - 1 n-grams in common within the two prefixes, whichever of them n is the size of.
+    enough = F.sum("grams").over(Window.partitionBy("class")) >= F.col("n") / EXTRA - 1
+    homes = shared.written(met.withColumn("enough", enough).filter("enough").select("home", "class", "n"), "homes")
     cut = (
         homes.groupBy("home")
         .agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("classes"))
