@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, line_dedup, media, mixing, ngram_join, quality
+from . import ann, byte_bpe, line_dedup, lm_scoring, media, mixing, ngram_join, pii, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", "mix_epoch", "mix_block", "mix_place")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.cross_entropy_difference(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.sound_digests(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_mixing": op5_mixing,
+    "op6_lm_scoring": op6_lm_scoring,
+    "op7_pii": op7_pii,
     "op8_media": op8_media,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_ann": op10_ann,
