@@ -612,7 +612,7 @@ def training_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- pixels -------------------------------------------------------------------------------------
 
 
-@query(f"select cast(vec_id as varchar) as photo_id, round(avg(g) / 255e0, 4) as brillo_medio, round_even(avg(case when g >= 250 then 1e0 else 0e0 end), 4) as fraccion_quemada, round_even(avg(case when g <= 5 then 1e0 else 0e0 end), 4) as fraccion_apagada, round((quantile_cont(g, 0.99) - quantile_cont(g, 0.01)) / 255e0, 4) as rango_dinamico from ({A.GRAY}) group by 1")
+@query(f"select cast(vec_id as varchar) as photo_id, round_even(avg(g) / 255e0, 4) as brillo_medio, round_even(avg(case when g >= 250 then 1e0 else 0e0 end), 4) as fraccion_quemada, round_even(avg(case when g <= 5 then 1e0 else 0e0 end), 4) as fraccion_apagada, round_even((quantile_cont(g, 0.99) - quantile_cont(g, 0.01)) / 255e0, 4) as rango_dinamico from ({A.GRAY}) group by 1")
 def photo_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.measure(A.photos(spark, sf_dir), 8).select("photo_id", "brillo_medio", "fraccion_quemada", "fraccion_apagada", "rango_dinamico")
 
