@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 
 from . import shared
 
-CACHE_PIECES = 400_000
-MOST_STATES = 150_000
+CACHE_PIECES = 800_000  # of about 150 bytes each
+MOST_STATES = 600_000  # of about 300 bytes each, with their transitions
 NEVER_ASKED, NO_LINK = -2, (-1, -1)
 
 
