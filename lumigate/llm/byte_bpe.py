@@ -276,6 +276,7 @@ class Codec:
 def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, ids: the token ids of each whole text."""
     path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
+    shared.bound_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
@@ -304,6 +305,7 @@ def decode(rows: DataFrame, ranks_path: str | None = None, pattern: str | None =
 def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded and its ids decoded again, as digests."""
     path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
+    shared.bound_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)

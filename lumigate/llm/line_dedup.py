@@ -157,6 +157,7 @@ def repeated_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the later repeats of runs of lines deleted from text, and n_lines_removed; other columns as they are."""
+    shared.bound_batches(docs.sparkSession)
     keyed = docs.withColumn("row_key", F.xxhash64(docs["doc_id"].cast("long"), shared.text_column(docs)))
     rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "row_key")
     gone = shared.written(repeated_lines(rows, min_words), "gone")

@@ -197,6 +197,7 @@ def _features(sounds: list[bytes]) -> list[str]:
 
 def sound_digests(docs: DataFrame) -> DataFrame:
     """Per text stored as a sound and read back: its payload's and its file's digests, and features of its samples."""
+    shared.bound_batches(docs.sparkSession)
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ are accumulated block by block and pairs below the bound that their sizes imply
 
 1. One scan hashes each text's word shingles and signs each set; documents with equal sets form
    a class, which is one row of the matrix. The same scan counts, per run of texts, the
-   n-grams that repeat there; the sums name the frequent ones.
+   n-grams that repeat in them; the sums name the frequent ones.
 2. A class of n shingles can only link to a class with which it shares one of its first
    n - ceil(t n) + 1 shingles in any fixed order. The candidate search takes n / EXTRA more, so
    that linked classes share at least n / EXTRA - 1 of them; a class with fewer n-grams that
@@ -40,6 +40,7 @@ from .textblocks import chunks, distinct_sorted, mix64, shingle_hashes, utf8_col
 WIDTH, PERCENT = 5, 80
 FREQUENT_LIMIT = 1 << 17  # n-grams that are put last: 1 MB at most
 FREQUENT_LOCAL, FREQUENT_LEAST = 8, 48
+FREQUENT_RUN = 2_000_000  # shingles whose repeats are counted together
 BLOCK_SHINGLES, BLOCK_ROWS = 400_000, 1500
 DENSE_LIST = 48  # rows of an n-gram from which the dense product takes it
 EXTRA = 10  # a tenth of a set's shingles stand in its prefix beyond the least number
@@ -71,25 +72,34 @@ SIGNED = "doc_id long, n_shingles long, class long, gram long, times long"
 def signed_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """A row per document (set size, class) and rows for n-grams that many documents of one run of texts hold."""
 
+    names = ["doc_id", "n_shingles", "class", "gram", "times"]
+
+    def frequent(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        grams = np.sort(np.concatenate(held))
+        far = grams[FREQUENT_LOCAL - 1 :] == grams[: len(grams) - FREQUENT_LOCAL + 1]
+        often = np.unique(grams[: len(far)][far])
+        if len(often):
+            times = np.searchsorted(grams, often, "right") - np.searchsorted(grams, often, "left")
+            none = pa.nulls(len(often), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(_signed(often)), pa.array(times.astype(np.int64))], names=names)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 5
-        names = ["doc_id", "n_shingles", "class", "gram", "times"]
+        held, n_held = [], 0
         for batch in batches:
-            ids = batch.column(0)
             sizes = np.zeros(batch.num_rows, dtype=np.int64)
             classes = np.zeros(batch.num_rows, dtype=np.int64)
             for start, _, sets in _sets(batch.column(1), width):
                 for k, own in enumerate(sets):
                     sizes[start + k], classes[start + k] = len(own), _signature(own)
-                held = np.sort(np.concatenate(sets)) if sets else np.zeros(0, dtype=np.uint64)
-                far = held[FREQUENT_LOCAL - 1 :] == held[: len(held) - FREQUENT_LOCAL + 1]
-                often = np.unique(held[: len(far)][far])
-                if len(often):
-                    times = np.searchsorted(held, often, "right") - np.searchsorted(held, often, "left")
-                    none = pa.nulls(len(often), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(_signed(often)), pa.array(times.astype(np.int64))], names=names)
+                held += sets
+                n_held += sum(len(s) for s in sets)
+                if n_held > FREQUENT_RUN:
+                    yield from frequent(held)
+                    held, n_held = [], 0
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.cast(kinds[0]), pa.array(sizes), pa.array(classes), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(classes), none, none], names=names)
+        if held:
+            yield from frequent(held)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), shared.text_column(docs).alias("text")).mapInArrow(scan, SIGNED)
 
@@ -186,7 +196,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarr
     for m in np.unique(length[(length > 1) & (length <= DENSE_LIST)]):
         lists = owner[edge[:-1][length == m][:, None] + np.arange(m)]
         a, b = np.triu_indices(m, 1)
-        step = max(1, 2_000_000 // len(a))
+        step = max(1, 500_000 // len(a))
         for at in range(0, len(lists), step):
             x, y = lists[at : at + step][:, a].ravel(), lists[at : at + step][:, b].ravel()
             if right is not None:
@@ -333,6 +343,7 @@ def linked_classes(docs: DataFrame, signed: DataFrame, width: int = WIDTH, perce
 
 def ngram_jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, class (equal sets), component_id (least doc_id that links reach, itself included)."""
+    shared.bound_batches(docs.sparkSession)
     signed = shared.written(signed_sets(docs, width), "signed")
     edges = linked_classes(docs, signed, width, percent)
     joined = shared.components(edges)

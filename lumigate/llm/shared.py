@@ -32,6 +32,14 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bound_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Arrow batches of at most so many bytes: a worker holds a batch and the arrays made from a part of it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("bB")  # with a unit it was set by hand, and stays
+    if now.isdigit() and int(now) > most:
+        spark.conf.set(name, str(most))
+
+
 def text_column(df: DataFrame, column: str = "text") -> Column:
     return df[column].cast("string")
 

@@ -358,6 +358,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC,
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
+    shared.bound_batches(docs.sparkSession)
     own_model = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand hashes, two tables of 1 MB and small weights
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
