@@ -68,7 +68,6 @@ class Transducer:
                     self.inner[node] = True
                 node = self.child[key]
             self.token_at[node] = token
-        self.split: dict[int, tuple[int, int]] = {}
         self.fits: dict[int, bool] = {}
         self._forget()
 
@@ -88,33 +87,12 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _halves(self, token: int) -> tuple[int, int]:
-        """The two tokens that the last merge of a token joins; of a single byte, itself twice."""
-        found = self.split.get(token)
-        if found is None:
-            parts = self._merge(self.bytes_of[token], 2)
-            whole = len(parts) < 2 or len(parts) > 2 or any(x not in self.ranks for x in parts)
-            found = self.split[token] = (token, token) if whole else (self.ranks[parts[0]], self.ranks[parts[1]])
-        return found
-
     def _fit(self, left: int, right: int) -> bool:
-        """Whether two tokens side by side are the encoding of their bytes.
-
-        Undoes the later of the two merges at the seam until single bytes are left; if the two
-        tokens at the seam would join before that merge was made, the pair can't stand.
-        """
-        limit = 1 << 60
-        while True:
-            if self.ranks.get(self.bytes_of[left] + self.bytes_of[right], 1 << 60) < limit:
-                return False
-            inner_left, inner_right = self._halves(left)[1], self._halves(right)[0]
-            if inner_left == left and inner_right == right:
-                return True
-            if inner_right == right or (inner_left != left and left > right):
-                limit, left = left, inner_left
-            else:
-                # On equal ranks the seam is to the left of what the right token's merge joins, so it goes first.
-                limit, right = right + 1, inner_right
+        """Whether two tokens side by side are the encoding of their bytes; left -1: whether right alone is that of its own."""
+        if left < 0:
+            return self._merge(self.bytes_of[right]) == [self.bytes_of[right]]
+        a, b = self.bytes_of[left], self.bytes_of[right]
+        return self._merge(a + b, 2) == [a, b] and a + b not in self.ranks
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         before, links, opened, at = self.states[state]
@@ -129,15 +107,12 @@ class Transducer:
             token = token_at[node]
             if found is None and token >= 0:
                 last = links[start - 1][1] if start else before
-                if last < 0:
+                key = last << 24 | token
+                good = fits.get(key)
+                if good is None:
+                    good = fits[key] = self._fit(last, token)
+                if good:
                     found = start, token
-                else:
-                    key = last << 24 | token
-                    good = fits.get(key)
-                    if good is None:
-                        good = fits[key] = self._fit(last, token)
-                    if good:
-                        found = start, token
         if found is None:
             raise ValueError("the vocabulary lacks a byte")
         links = (*links, found)
