@@ -187,7 +187,7 @@ class Utf8Stream:
             if byte < 0x80:
                 return 0
             if byte >= 0xC0:
-                need = 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4
+                need = 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4 if byte < 0xF8 else 1
                 return back if need > back else 0
         return 0
 

@@ -156,7 +156,6 @@ def small(spark, corpus):
 
 
 def test_quality_equals_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(lm, "BLOCK_BYTES", 30_000)
     monkeypatch.setattr(quality, "LEAST_TRUSTED", 5)
     texts, labels = small
     langs = {i: ("fr" if i % 4 == 0 else None if i % 9 == 1 else "en") for i in range(len(texts))}
@@ -198,6 +197,22 @@ def test_cross_entropy_difference_equals_brute_force(spark, small):
         assert out[i].difference == pytest.approx(want, abs=1e-5) and out[i].n_bytes == len(t)
 
 
+def test_blocks_do_not_depend_on_batches(monkeypatch, corpus):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 20_000)
+    table = pa.table({"text": pa.array(corpus[:80]), "row_key": pa.array(range(80))})
+    cuts = [[(name, b.num_rows) for name, b in lm._blocks(iter(table.to_batches(max_chunksize=n)))] for n in (80, 7, 1)]
+    assert cuts[0] == cuts[1] == cuts[2] and len(cuts[0]) > 3 and sum(n for _, n in cuts[0]) == 80
+
+
+def test_unlike_scans_are_written_first(spark, small):
+    """Rows that come in another order each time."""
+    texts, labels = small
+    docs = docs_of(spark, texts)
+    mixed = docs.withColumn("r", F.rand()).repartition(2).sortWithinPartitions(F.rand()).drop("r")
+    a, b = ({r.doc_id: r.keep for r in quality.classify(d, labels_of(spark, labels)).collect()} for d in (docs, mixed))
+    assert a == b
+
+
 def test_models_on_empty_tables(spark):
     none = labels_of(spark, [])
     assert quality.classify(docs_of(spark, []), none).count() == 0
