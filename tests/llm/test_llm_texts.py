@@ -316,7 +316,7 @@ def base_by_hand(text):
         for m in re.finditer(pattern, text):
             digits = re.sub("[^0-9]", "", m[0])
             double = [int(d) * (2 if i % 2 else 1) for i, d in enumerate(reversed(digits))]
-            good = {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in m[0].split(".")), "card": 12 <= len(digits) <= 19 and sum(d - 9 * (d > 9) for d in double) % 10 == 0, "phone": 9 <= len(digits) <= 15}[kind]
+            good = {"email": True, "ip": kind != "ip" or all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")), "card": 12 <= len(digits) <= 19 and sum(d - 9 * (d > 9) for d in double) % 10 == 0, "phone": 9 <= len(digits) <= 15}[kind]
             if good:
                 out.append((m.start(), k, m.end(), kind))
     return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(out))
