@@ -13,6 +13,11 @@ MALIGNANT = ("BCC", "SCC", "MEL")
 BENIGN = ("ACK", "NEV", "SEK")
 YES = ("TRUE", "1", "YES")
 NEOPLASTIC = ("malignant", "benign")
+GRADABLE = {
+    "DEFAULT_YES_IMAGE_QUALITY_SUFFICIENT": 1,
+    "YES_IMAGE_QUALITY_SUFFICIENT_NO_DISCERNIBLE_PATHOLOGY": 1,
+    "NO_IMAGE_QUALITY_INSUFFICIENT": 0,
+}
 TONE_BANDS = ("1-2 clara", "3-4 media", "5-6 oscura")
 BAND_EDGES = (0.0, 0.05, 0.15, 0.35, 0.65, 1.01)
 UNKNOWN = "UNKNOWN"
@@ -84,8 +89,10 @@ def fst_digit(col: Column) -> Column:
 
 def gradable(col: Column) -> Column:
     """1 or 0 from a rater's answer, else null."""
-    answer = F.upper(F.trim(col))
-    return F.when(answer.isin("YES", "DEFAULT_YES_IMAGE_QUALITY_SUFFICIENT"), 1).when(answer.isin("NO", "NO_IMAGE_QUALITY_INSUFFICIENT"), 0)
+    out = F
+    for answer, value in GRADABLE.items():
+        out = out.when(col == answer, value)
+    return out
 
 
 def not_gradable(col: Column) -> Column:
@@ -108,7 +115,7 @@ def age_group(col: Column) -> Column:
 
 
 def neoplastic(df: DataFrame, column: str = "three_partition_label") -> DataFrame:
-    return df.filter(F.lower(F.trim(column)).isin(*NEOPLASTIC))
+    return df.filter(F.col(column).isin(*NEOPLASTIC))
 
 
 def drop_mislabelled(df: DataFrame, column: str = "qc") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .agreement import rater_agreement
 from .splits import grouped_split
 
 COMMON = ("image_path", "patient_id", "label", "source", "view", "sex", "age", "fitzpatrick")
@@ -21,9 +22,9 @@ def dedupe_index(index: DataFrame, prefer: Sequence[str] = ("jpg", "png")) -> Da
     return index.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def with_files(meta: DataFrame, index: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+def with_files(meta: DataFrame, index: DataFrame, key: str, prefer: Sequence[str] = ("jpg", "png")) -> tuple[DataFrame, DataFrame]:
     """(rows with image_path, rows without a file)."""
-    once = dedupe_index(index).select(F.col("key").alias(key), F.col("path").alias("image_path"))
+    once = dedupe_index(index, prefer).select(F.col("key").alias(key), F.col("path").alias("image_path"))
     return meta.join(once, key), meta.join(once, key, "left_anti")
 
 
@@ -70,19 +71,57 @@ def atlas_manifest(meta: DataFrame, index: DataFrame) -> DataFrame:
     rows = S.neoplastic(meta)
     if "qc" in meta.columns:
         rows = S.drop_mislabelled(rows)
-    rows, _ = with_files(rows, index, "md5hash")
+    rows, _ = with_files(rows, index, "md5hash", ("png", "jpg"))
     missing = F.lit(S.UNKNOWN)
     return rows.select(
         "image_path",
         F.col("md5hash").alias("patient_id"),
-        (F.lower(F.trim("three_partition_label")) == "malignant").cast("int").alias("label"),
+        (F.col("three_partition_label") == "malignant").cast("int").alias("label"),
         F.lit("fitzpatrick17k").alias("source"),
-        missing.alias("view"),
+        (S.known(F.col("nine_partition_label")) if "nine_partition_label" in meta.columns else missing).alias("view"),
         missing.alias("sex"),
         F.lit(None).cast("double").alias("age"),
         S.tone_band_of_integer(F.col("fitzpatrick_scale")).alias("fitzpatrick"),
         S.tone_exact(F.col("fitzpatrick_scale")).alias("fitzpatrick_exacto"),
-        F.lower(F.trim("label")).alias("diagnostico"),
+        F.col("label").alias("diagnostico"),
+    )
+
+
+def gradability_manifest(cases: DataFrame, labels: DataFrame, base_url: str) -> DataFrame:
+    """Volunteer cases with raters' answers: case_id, image_url, evaluable, n_valoraciones, unanime, tones, shot_type.
+
+    Cases without a first rating or with another kind of file drop out.
+    """
+    answers = [f"dermatologist_gradable_for_skin_condition_{k}" for k in (1, 2, 3)]
+    rows = cases_with_labels(cases, labels)
+    rows = rows.withColumns({f"r{k}": S.gradable(F.col(a)) for k, a in enumerate(answers, 1)})
+    rows = rater_agreement(rows, ["r1", "r2", "r3"])
+    digit = lambda c: F.nullif(S.fst_digit(F.col(c)), F.lit(S.UNKNOWN))
+    out = rows.select(
+        F.col("case_id").cast("string").alias("case_id"),
+        S.image_url(base_url, F.col("image_1_path")).alias("image_url"),
+        F.col("r1").alias("evaluable"),
+        "n_valoraciones",
+        "unanime",
+        digit("dermatologist_fitzpatrick_skin_type_label_1").alias("fitzpatrick_derm"),
+        digit("fitzpatrick_skin_type").alias("fitzpatrick_self"),
+        S.known(F.col("image_1_shot_type")).alias("shot_type"),
+    )
+    return out.filter("image_url is not null and evaluable is not null")
+
+
+def not_gradable_manifest(gradability: DataFrame, files: DataFrame) -> DataFrame:
+    """The common manifest of fetched photos, label 1 = not gradable, a case as patient."""
+    missing = F.lit(S.UNKNOWN)
+    return fetched_only(gradability, files).select(
+        "image_path",
+        F.col("case_id").alias("patient_id"),
+        S.not_gradable(F.col("evaluable")).alias("label"),
+        F.lit("scin").alias("source"),
+        F.col("shot_type").alias("view"),
+        missing.alias("sex"),
+        F.lit(None).cast("double").alias("age"),
+        F.coalesce("fitzpatrick_derm", missing).alias("fitzpatrick"),
     )
 
 

@@ -166,6 +166,22 @@ def test_atlas_manifest(spark):
     assert set(out) == {"h1", "h4"} and out["h1"].label == 1 and out["h1"].fitzpatrick == "1-2 clara" and out["h4"].fitzpatrick_exacto == "-1"
 
 
+def test_gradability_manifest(spark):
+    yes, no = "DEFAULT_YES_IMAGE_QUALITY_SUFFICIENT", "NO_IMAGE_QUALITY_INSUFFICIENT"
+    cases = spark.createDataFrame([(k, p, "CLOSE_UP", "FST2") for k, p in enumerate(["a.png", "b.jpg", "c.png", "nan", "e.jpeg"])], "case_id long, image_1_path string, image_1_shot_type string, fitzpatrick_skin_type string")
+    answers = [(0, yes, yes, None, "FST3"), (1, no, yes, no, None), (2, None, no, no, "FST1"), (3, yes, None, None, None), (4, no, None, None, "x")]
+    names = [f"dermatologist_gradable_for_skin_condition_{k} string" for k in (1, 2, 3)]
+    labels = spark.createDataFrame(answers, "case_id long, " + ", ".join(names) + ", dermatologist_fitzpatrick_skin_type_label_1 string")
+    found = manifest.gradability_manifest(cases, labels, "https://x")
+    out = {r.case_id: r for r in found.collect()}
+    assert set(out) == {"0", "1", "4"}
+    assert (out["0"].evaluable, out["0"].n_valoraciones, out["0"].unanime, out["0"].fitzpatrick_derm) == (1, 2, True, "3")
+    assert (out["1"].unanime, out["1"].fitzpatrick_derm, out["1"].fitzpatrick_self) == (False, None, "2") and not out["4"].unanime
+    files = spark.createDataFrame([("0", "/p/0.jpg"), ("4", "/p/4.jpg"), ("9", "/p/9.jpg")], "key string, path string")
+    ready = {r.patient_id: (r.label, r.fitzpatrick) for r in manifest.not_gradable_manifest(found, files).collect()}
+    assert ready == {"0": (0, "3"), "4": (1, "UNKNOWN")}
+
+
 def test_training_report_takes_the_first_best(spark):
     df = spark.createDataFrame([("r", 1, 0.8, 0.9), ("r", 2, 0.9, 0.9), ("r", 3, 0.9, 0.95)], "run string, epoch int, val_auroc double, train_auroc double")
     out = ensembles.training_report(df).first()
