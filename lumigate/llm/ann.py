@@ -29,7 +29,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import shared
 
 TREES, BITS = 48, 64
 SHARD_ROWS, QUERY_ROWS = 16_384, 8_192
