@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 
 from . import shared
 
-CACHE_PIECES = 800_000  # of about 150 bytes each
-MOST_STATES = 600_000  # of about 300 bytes each, with their transitions
+CACHE_PIECES = 300_000  # of about 350 bytes each, kept for a task
+MOST_STATES = 300_000  # of about 450 bytes each with their transitions, kept for the life of a worker
 NEVER_ASKED, NO_LINK = -2, (-1, -1)
 
 
@@ -260,8 +260,9 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
                 part = batch.slice(at, 256)
                 rows = [codec.encode(t or "")[0] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        codec.pieces.clear()
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), shared.text_column(docs).alias("text")).mapInArrow(work, "doc_id long, ids array<int>")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), shared.text_column(docs).alias("text")).mapInArrow(shared.trimmed(work), "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -274,7 +275,7 @@ def decode(rows: DataFrame, ranks_path: str | None = None, pattern: str | None =
             texts = ["".join(codec.decode_stream(ids or ())) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(work, "doc_id long, text string")
+    return rows.select("doc_id", "ids").mapInArrow(shared.trimmed(work), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -297,6 +298,7 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
                     digest.update(stream.close().encode())
                     text_digests.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests), pa.array(text_digests)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.pieces.clear()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), shared.text_column(docs).alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(shared.trimmed(work), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

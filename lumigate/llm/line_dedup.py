@@ -94,14 +94,16 @@ def _postings(rows: DataFrame, min_words: int) -> DataFrame:
                 take = pa.array(text)
                 yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("doc_id").take(take), batch.column("row_key").take(take), pa.array(line)], names=["fingerprint", "doc_id", "row_key", "line"])
 
-    return rows.select("doc_id", "text", "row_key").mapInArrow(scan, "fingerprint long, doc_id long, row_key long, line int")
+    return rows.select("doc_id", "text", "row_key").mapInArrow(shared.trimmed(scan), "fingerprint long, doc_id long, row_key long, line int")
 
 
-def _line_hashes(rows: DataFrame) -> DataFrame:
-    """(row_key, hashes, words): the lines of each document."""
+def _line_hashes(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(row_key, hashes, words): the lines of each document that the filter lets through."""
+    own_wanted = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(shared.in_bitmap(own_wanted.value, np.asarray(batch.column("row_key")))))
             data, offsets = utf8_column(batch.column("text"))
             for start, end, part, inner in chunks(data, offsets):
                 starts, ends, first, words = _lines(part, inner)
@@ -109,7 +111,7 @@ def _line_hashes(rows: DataFrame) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (span_hashes(part, starts, ends).view(np.int64), words.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([batch.column("row_key").slice(start, end - start), *lists], names=["row_key", "hashes", "words"])
 
-    found = rows.select("text", "row_key").mapInArrow(scan, "row_key long, hashes array<long>, words array<int>")
+    found = rows.select("text", "row_key").mapInArrow(shared.trimmed(scan), "row_key long, hashes array<long>, words array<int>")
     return found.groupBy("row_key").agg(F.first("hashes").alias("hashes"), F.first("words").alias("words"))
 
 
@@ -134,8 +136,7 @@ def repeated_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         later.groupBy("row_key", F.col("f.row_key").alias("from_key")).agg(F.collect_set(F.struct("line", F.col("f.line").alias("from_line"))).alias("pairs")),
         "matches",
     )
-    _, wanted = shared.split_by_keys(rows.select("text", "row_key"), "row_key", matches.select("row_key").union(matches.select("from_key")))
-    hashes = _line_hashes(wanted)
+    hashes = _line_hashes(rows, shared.bitmap(matches.select("row_key").union(matches.select("from_key")), "row_key"))
     own = matches.join(hashes, "row_key")
     source = hashes.select(F.col("row_key").alias("from_key"), F.col("hashes").alias("from_hashes"))
 
@@ -151,7 +152,7 @@ def repeated_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 gone.append(np.flatnonzero(drop).astype(np.int32))
             yield pd.DataFrame({"row_key": batch["row_key"], "gone": gone})
 
-    found = own.join(source, "from_key").select("row_key", "pairs", "hashes", "words", "from_hashes").mapInPandas(work, "row_key long, gone array<int>")
+    found = own.join(source, "from_key").select("row_key", "pairs", "hashes", "words", "from_hashes").mapInPandas(shared.trimmed(work), "row_key long, gone array<int>")
     return found.groupBy("row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")).filter(F.size("gone") > 0)
 
 

@@ -146,7 +146,7 @@ def to_pcm(rows: DataFrame, column: str = "media") -> DataFrame:
                     out.append(media)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["doc_id", "pcm"])
 
-    return rows.select("doc_id", column).mapInArrow(work, "doc_id long, pcm binary")
+    return rows.select("doc_id", column).mapInArrow(shared.trimmed(work), "doc_id long, pcm binary")
 
 
 def payload(text: str | None) -> tuple[int, bytes]:
@@ -167,7 +167,7 @@ def text_to_sound(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), shared.text_column(docs).alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n_bytes long, media binary")
+    return rows.mapInArrow(shared.trimmed(work), "doc_id long, n_bytes long, media binary")
 
 
 def _features(sounds: list[bytes]) -> list[str]:
@@ -230,4 +230,4 @@ def sound_digests(docs: DataFrame) -> DataFrame:
                 yield flush(rows)
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), shared.text_column(docs).alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return rows.mapInArrow(shared.trimmed(work), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

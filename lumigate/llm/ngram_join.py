@@ -101,7 +101,7 @@ def signed_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         if held:
             yield from frequent(held)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), shared.text_column(docs).alias("text")).mapInArrow(scan, SIGNED)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), shared.text_column(docs).alias("text")).mapInArrow(shared.trimmed(scan), SIGNED)
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -132,7 +132,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -
                     names=["class", "low", "n", "prefix"],
                 )
 
-    rows = docs.select(shared.text_column(docs).alias("text")).mapInArrow(scan, "class long, low int, n int, prefix array<long>")
+    rows = docs.select(shared.text_column(docs).alias("text")).mapInArrow(shared.trimmed(scan), "class long, low int, n int, prefix array<long>")
     return rows.groupBy("class").agg(F.first("low").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
 
@@ -172,7 +172,7 @@ def _candidate_sets(docs: DataFrame, bitmap: np.ndarray, width: int, part_only:
                     rows = [(_packed_part if part_only else _packed)(sets[i]) for i in keep]
                     yield pa.RecordBatch.from_arrays([pa.array(names[keep]), pa.array(sizes, pa.int32()), pa.array(rows, pa.binary())], names=["class", "n", "shingles"])
 
-    rows = docs.select(shared.text_column(docs).alias("text")).mapInArrow(scan, "class long, n int, shingles binary")
+    rows = docs.select(shared.text_column(docs).alias("text")).mapInArrow(shared.trimmed(scan), "class long, n int, shingles binary")
     return rows.groupBy("class").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
 
 
@@ -276,7 +276,7 @@ def _survivors(blocks: DataFrame, percent: int) -> DataFrame:
             columns = zip(*out, strict=True) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["home", "i", "j", "class", "side"])
 
-    return blocks.mapInArrow(work, "home int, i int, j int, class long, side byte")
+    return blocks.mapInArrow(shared.trimmed(work), "home int, i int, j int, class long, side byte")
 
 
 def _block_edges(blocks: DataFrame, percent: int) -> DataFrame:
@@ -291,7 +291,7 @@ def _block_edges(blocks: DataFrame, percent: int) -> DataFrame:
                 ends += [(names[m], names[r]) for m, r in spanning(x, y + (len(left) if right else 0), len(names))]
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return blocks.mapInArrow(work, "a long, b long")
+    return blocks.mapInArrow(shared.trimmed(work), "a long, b long")
 
 
 def _met(member: DataFrame, sets: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,21 @@ def bound_batches(spark: SparkSession, most: int = 16 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
+def trimmed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work over batches; at the end of a task the worker gives freed memory back, as it lives on for other tasks."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def text_column(df: DataFrame, column: str = "text") -> Column:
     return df[column].cast("string")
 
@@ -73,7 +91,11 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def split_by_keys(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose key is surely not among keys, the others): only the second part need be shuffled to be joined with keys."""
-    own_bits = rows.sparkSession.sparkContext.broadcast(bitmap(keys, key))
+    return split_by_bitmap(rows, key, bitmap(keys, key))
+
+
+def split_by_bitmap(rows: DataFrame, key: str, bits: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    own_bits = rows.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def maybe(values: pd.Series) -> pd.Series:
