@@ -2,18 +2,19 @@
 
 Rows are first collapsed to one cell per distinct score. The running sums over cells are taken at
 two levels, so that no group, and not the whole table, has to pass through one task: scores
-fall into buckets with explicit boundaries, bucket totals are summed over the few buckets, and
-each bucket then runs on its own from the sum above it.
+fall into buckets with fixed boundaries, evenly spaced in their logarithm, bucket totals are summed
+over the few buckets, and each bucket then runs on its own from the sum above it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 32
+PER_OCTAVE = 64  # buckets between a score and its double
 
 
 def cells(df: DataFrame, score: str, label: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -25,19 +26,23 @@ def cells(df: DataFrame, score: str, label: str, by: Sequence[str] = (), weight:
     return rows.groupBy(*by, "score").agg(F.sum(F.when(F.col("__y") == 1, one).otherwise(0)).alias("pos"), F.sum(F.when(F.col("__y") == 1, 0).otherwise(one)).alias("neg"))
 
 
-def curve(found: DataFrame, by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+def bucket(score: Column, per_octave: int) -> Column:
+    """A whole number that never falls as the score rises; the boundaries do not depend on the data."""
+    if not per_octave:
+        return F.lit(0)
+    size = F.greatest(F.least(F.abs(score), F.lit(1e300)), F.lit(1e-300))
+    place = F.floor(F.log2(size) * per_octave).cast("long") + 2000 * per_octave  # over 0 for every double
+    return F.when(score > 0, place).when(score < 0, -place).otherwise(0)
+
+
+def curve(found: DataFrame, by: Sequence[str] = (), per_octave: int = PER_OCTAVE) -> DataFrame:
     """cells with tp, fp (counts at score >= this one) and p, n (the group's totals)."""
     by = list(by)
-    bounds = []
-    if buckets > 1:
-        row = found.agg(F.percentile_approx("score", [k / buckets for k in range(1, buckets)], F.lit(1000)).alias("b")).first()
-        bounds = sorted(set(row["b"] or ()))
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("score"))) if bounds else F.lit(0)
-    found = found.withColumn("bucket", bucket)
+    found = found.withColumn("bucket", bucket(F.col("score"), per_octave))
     totals = found.groupBy(*by, "bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     above = Window.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    # At most `buckets` rows a group come here.
+    # A row per bucket and group comes here, not per score.
     totals = totals.select(
         *by,
         "bucket",
@@ -121,8 +126,6 @@ def bootstrap_auroc(df: DataFrame, score: str, label: str, n_boot: int = 200, se
     in cells (replicate, score) before anything is sorted.
     """
     # Cumulative Poisson(1) probabilities, by rule.
-    import math
-
     sums = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
     key = [c for c in df.columns]
     u = F.pmod(F.xxhash64(F.lit(seed), "replica", *key), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -94,7 +94,8 @@ def test_ties_and_one_class_groups(spark):
 def test_buckets_do_not_change_the_curve(spark):
     df = predictions(spark, [("ab"[i % 2], (i * 7 % 5) // 3, (i * 37 % 50) / 50) for i in range(400)])
     cells = roc.cells(df, "prob", "label", ["grupo"])
-    one, many = (sorted(map(tuple, roc.curve(cells, ["grupo"], k).select("grupo", "score", "tp", "fp", "p", "n").collect())) for k in (1, 16))
+    cells = cells.unionByName(cells.withColumn("score", -2 * F.col("score") - 0.001)).filter("score <> 0").unionByName(cells.filter("score = 0"))
+    one, many = (sorted(map(tuple, roc.curve(cells, ["grupo"], k).select("grupo", "score", "tp", "fp", "p", "n").collect())) for k in (0, 16))
     assert one == many
 
 
