@@ -32,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import shared
 from .textblocks import chunks, distinct_sorted, mix64, shingle_hashes, utf8_column, words_of
@@ -342,19 +341,17 @@ def linked_classes(docs: DataFrame, signed: DataFrame, width: int = WIDTH, perce
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, n_shingles, class (equal sets), component_id (least doc_id that links reach, itself included)."""
+    """Per document: doc_id, n_shingles, component_id (least doc_id that links reach, itself included), class_id (least doc_id with an equal set)."""
     shared.bound_batches(docs.sparkSession)
     signed = shared.written(signed_sets(docs, width), "signed")
     edges = linked_classes(docs, signed, width, percent)
     joined = shared.components(edges)
     rows = signed.filter("gram is null").select("doc_id", "n_shingles", "class")
-    classes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(joined, classes["class"] == joined["node"], "left").select("class", "least", F.coalesce("component", "class").alias("component"))
-    names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(names, "component").select("class", "component_id")
-    words = rows.filter("n_shingles > 0").join(named, "class", "left")
-    blank = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", "class", F.col("doc_id").alias("component_id"))
-    out = words.unionByName(blank)
-    return out.select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).cast(T.LongType()).alias("component_id"), F.col("class").alias("class_id")
-    )
+    classes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    classes = classes.join(joined, classes["class"] == joined["node"], "left").select("class", "class_id", F.coalesce("component", "class").alias("component"))
+    names = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = classes.join(names, "component").select("class", "class_id", "component_id")
+    words = rows.filter("n_shingles > 0").join(named, "class", "left").drop("class")
+    blank = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    known = F.col("doc_id").isNotNull()
+    return words.unionByName(blank).select("doc_id", "n_shingles", *(F.when(known, F.col(c)).alias(c) for c in ("component_id", "class_id")))

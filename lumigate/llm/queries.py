@@ -70,4 +70,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_ann": op10_ann,
 }
-ORACLES: dict[str, str] = {}
+#: The whole join in SQL: every pair that shares a shingle, then closure over the links.
+NGRAM_JOIN_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+l as (select doc_id, list_sort(list_distinct(case when w is null or len(w) = 0 then cast([] as varchar[]) when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as g from w),
+s as (select doc_id, unnest(g) as g from l),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from p join l x on x.doc_id = a join l y on y.doc_id = b where 100 * c >= 80 * (len(x.g) + len(y.g) - c)),
+u as (select a, b from e union all select b, a from e),
+r as (select doc_id as id, doc_id as root from documents union select u.b, r.root from r join u on u.a = r.id),
+m as (select md5(array_to_string(g, '|')) as k, min(doc_id) as class_id from l where len(g) > 0 group by 1)
+select l.doc_id, cast(len(g) as bigint) as n_shingles, component_id, coalesce(class_id, l.doc_id) as class_id
+from l join (select id, min(root) as component_id from r group by id) on id = l.doc_id left join m on len(g) > 0 and k = md5(array_to_string(g, '|'))
+"""
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": NGRAM_JOIN_SQL}

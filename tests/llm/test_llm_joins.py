@@ -247,6 +247,37 @@ def test_nearest_on_vectors(spark, monkeypatch):
     assert [i for _, i, _ in got[50]][:2] == [3, 4]
 
 
+def test_recall_on_the_given_vectors(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    held = rows.toPandas()
+    x = np.stack(held["embedding"].to_numpy()).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = held["vec_id"].to_numpy()
+    got = collections.defaultdict(set)
+    for r in ann.nearest(rows, F.col("vec_id") % 10 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q, found in got.items():
+        s = x @ x[ids == q][0]
+        s[ids == q] = -2
+        hits += len(found & set(ids[np.lexsort((ids, -s))][:5].tolist()))
+    assert len(got) == sum(ids % 10 == 0) and hits / (5 * len(got)) >= 0.9
+
+
+def test_join_equals_its_sql(spark):
+    import duckdb
+    import pyarrow.dataset as ds
+
+    from lumigate.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.register("documents", ds.dataset(f"{sf}/documents.parquet").to_table())
+    found = con.sql(queries.ORACLES["op1_ngram_jaccard_join"])
+    names = found.columns
+    assert sorted(tuple(r[c] for c in names) for r in queries.op1_ngram_jaccard_join(spark, sf).collect()) == sorted(found.fetchall())
+
+
 def test_nearest_with_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     out = [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()]
