@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame
 
 from . import shared
 
-CACHE_PIECES = 300_000  # of about 350 bytes each, kept for a task
-MOST_STATES = 300_000  # of about 450 bytes each with their transitions, kept for the life of a worker
+CACHE_PIECES = 350_000  # of about 230 bytes each, kept for a task
+MOST_STATES = 250_000  # of about 400 bytes each with their transitions, kept for the life of a worker
 NEVER_ASKED, NO_LINK = -2, (-1, -1)
 
 
@@ -72,10 +73,14 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        #: (token before the unsent bytes, (place before, token) of the last token of each prefix, open (start, trie node), length)
-        self.states: list[tuple] = [(-1, (), (), 0)]
-        self.number: dict[tuple, int] = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: Of each state, as packed whole numbers: the token before the unsent bytes, their count, the number of open
+        #: starts, then (place before, token) of the last token of each prefix and (start, trie node) of each open start.
+        first = array("i", (-1, 0, 0)).tobytes()
+        self.states: list[bytes] = [first]
+        self.number: dict[bytes, int] = {first: 0}
+        #: state << 8 | byte -> next state | (token + 1) << 32; below 0 the place in `many` of (next state, tokens).
+        self.moves: dict[int, int] = {}
+        self.many: list[tuple[int, tuple[int, ...]]] = [(0, ())]
         self.ends: dict[int, tuple[int, ...]] = {}
 
     def _merge(self, word: bytes, to: int = 1) -> list[bytes]:
@@ -94,11 +99,18 @@ class Transducer:
         a, b = self.bytes_of[left], self.bytes_of[right]
         return self._merge(a + b, 2) == [a, b] and a + b not in self.ranks
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, links, opened, at = self.states[state]
+    def _state(self, number: int) -> tuple[int, list[tuple[int, int]], list[tuple[int, int]], int]:
+        flat = array("i")
+        flat.frombytes(self.states[number])
+        pairs = list(zip(flat[3::2], flat[4::2], strict=True))
+        return flat[0], pairs[: flat[1]], pairs[flat[1] :], flat[1]
+
+    def _move(self, state: int, byte: int) -> int:
+        before, links, opened, at = self._state(state)
         fits, child, token_at, inner = self.fits, self.child, self.token_at, self.inner
         still, found = [], None
-        for start, node in (*opened, (at, 0)):
+        opened.append((at, 0))
+        for start, node in opened:
             node = child.get(node << 8 | byte)
             if node is None:
                 continue
@@ -115,7 +127,7 @@ class Transducer:
                     found = start, token
         if found is None:
             raise ValueError("the vocabulary lacks a byte")
-        links = (*links, found)
+        links.append(found)
         at += 1
         # What every open start and the end have in common can leave; walking back from the highest
         # of the ends that are left keeps them all above the common place.
@@ -132,24 +144,32 @@ class Transducer:
         while p:
             p, token = links[p - 1]
             sent.append(token)
-        if any(start == common for start, _ in still) or common == at:
-            before = sent[0] if sent else before
-        else:
+        if not (common == at or any(start == common for start, _ in still)):
             before = NEVER_ASKED
-        new = (
-            before,
-            tuple([(links[q - 1][0] - common, links[q - 1][1]) if q in needed else NO_LINK for q in range(common + 1, at + 1)]),
-            tuple([(start - common, node) for start, node in still]),
-            at - common,
-        )
+        elif sent:
+            before = sent[0]
+        flat = [before, at - common, len(still)]
+        for q in range(common + 1, at + 1):
+            if q in needed:
+                flat += (links[q - 1][0] - common, links[q - 1][1])
+            else:
+                flat += NO_LINK
+        for start, node in still:
+            flat += (start - common, node)
+        new = array("i", flat).tobytes()
         to = self.number.setdefault(new, len(self.states))
         if to == len(self.states):
             self.states.append(new)
-        move = self.moves[state << 8 | byte] = to, tuple(sent[::-1])
+        if len(sent) > 1:
+            move = -len(self.many)
+            self.many.append((to, tuple(sent[::-1])))
+        else:
+            move = to | (sent[0] + 1 << 32 if sent else 0)
+        self.moves[state << 8 | byte] = move
         return move
 
     def _end(self, state: int) -> tuple[int, ...]:
-        _, links, _, at = self.states[state]
+        _, links, _, at = self._state(state)
         left = []
         while at:
             at, token = links[at - 1]
@@ -166,9 +186,15 @@ class Transducer:
         moves, state, out = self.moves, 0, []
         for byte in piece:
             move = moves.get(state << 8 | byte)
-            state, sent = move or self._move(state, byte)
-            if sent:
+            if move is None:
+                move = self._move(state, byte)
+            if move < 0:
+                state, sent = self.many[-move]
                 out += sent
+            else:
+                state = move & 0xFFFFFFFF
+                if token := move >> 32:
+                    out.append(token - 1)
         end = self.ends.get(state)
         return (*out, *(self._end(state) if end is None else end))
 
@@ -211,7 +237,7 @@ class Codec:
         self.transducer = Transducer(read_ranks(ranks_path))
         self.split = regex.compile(pattern).findall
         self.bytes_of = self.transducer.bytes_of
-        self.pieces: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.pieces: dict[str, str] = {}
 
     @classmethod
     def of(cls, ranks_path: str, pattern: str) -> Codec:
@@ -219,22 +245,18 @@ class Codec:
             cls.kept[key] = cls(*key)
         return cls.kept[key]
 
-    def _new(self, piece: str) -> tuple[tuple[int, ...], str]:
-        ids = self.transducer.encode(piece.encode())
-        found = ids, " ".join(map(str, ids))
+    def _new(self, piece: str) -> str:
+        numbers = " ".join(map(str, self.transducer.encode(piece.encode())))
         if len(self.pieces) >= CACHE_PIECES:
             self.pieces.clear()
-        self.pieces[piece] = found
-        return found
+        self.pieces[piece] = numbers
+        return numbers
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """The ids, and the same as decimal numbers joined by a space."""
         get, new = self.pieces.get, self._new
-        found = [get(p) or new(p) for p in self.split(text)]
-        ids: list[int] = []
-        for own, _ in found:
-            ids += own
-        return ids, " ".join([s for _, s in found])
+        numbers = " ".join([get(p) or new(p) for p in self.split(text)])
+        return list(map(int, numbers.split())), numbers
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
