@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from . import shared
 
-CACHE_PIECES = 350_000  # of about 230 bytes each, kept for a task
+CACHE_PIECES = 100_000  # of about 230 bytes each, kept for a task
 MOST_STATES = 250_000  # of about 400 bytes each with their transitions, kept for the life of a worker
 NEVER_ASKED, NO_LINK = -2, (-1, -1)
 
@@ -273,7 +273,7 @@ class Codec:
 def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, ids: the token ids of each whole text."""
     path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
-    shared.bound_batches(docs.sparkSession)
+    shared.bound_batches(docs.sparkSession, 4 << 20)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
@@ -303,7 +303,7 @@ def decode(rows: DataFrame, ranks_path: str | None = None, pattern: str | None =
 def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded and its ids decoded again, as digests."""
     path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
-    shared.bound_batches(docs.sparkSession)
+    shared.bound_batches(docs.sparkSession, 4 << 20)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
