@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 
 from . import shared
 
-CACHE_PIECES = 100_000  # of about 230 bytes each, kept for a task
-MOST_STATES = 250_000  # of about 400 bytes each with their transitions, kept for the life of a worker
+CACHE_PIECES = 800_000  # of about 230 bytes each, kept for a task
+MOST_STATES = 600_000  # of about 400 bytes each with their transitions, kept for the life of a worker
 NEVER_ASKED, NO_LINK = -2, (-1, -1)
 
 
@@ -238,6 +238,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.bytes_of = self.transducer.bytes_of
         self.pieces: dict[str, str] = {}
+        self.most_pieces = CACHE_PIECES
 
     @classmethod
     def of(cls, ranks_path: str, pattern: str) -> Codec:
@@ -247,7 +248,7 @@ class Codec:
 
     def _new(self, piece: str) -> str:
         numbers = " ".join(map(str, self.transducer.encode(piece.encode())))
-        if len(self.pieces) >= CACHE_PIECES:
+        if len(self.pieces) >= self.most_pieces:
             self.pieces.clear()
         self.pieces[piece] = numbers
         return numbers
@@ -300,13 +301,18 @@ def decode(rows: DataFrame, ranks_path: str | None = None, pattern: str | None =
     return rows.select("doc_id", "ids").mapInArrow(shared.trimmed(work), "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded and its ids decoded again, as digests."""
+def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, pieces: int = CACHE_PIECES, keep: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded and its ids decoded again, as digests.
+
+    pieces bounds the pieces whose ids a task remembers. With keep=False a worker forgets the transducer
+    with the task: more work, but nothing stays in the workers that other jobs share.
+    """
     path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
     shared.bound_batches(docs.sparkSession, 4 << 20)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
+        codec.most_pieces = pieces
         for batch in batches:
             counts, id_digests, text_digests = [], [], []
             for at in range(0, batch.num_rows, 64):
@@ -321,6 +327,8 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
                     text_digests.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests), pa.array(text_digests)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         codec.pieces.clear()
+        if not keep:
+            Codec.kept.clear()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), shared.text_column(docs).alias("text"))
     return rows.mapInArrow(shared.trimmed(work), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
