@@ -5,9 +5,9 @@ with O or a kind. Its features are word shapes: of the token, and of its two nei
 trained in numpy from the small labelled table below by gradient ascent on the conditional
 likelihood, and decoded by Viterbi over batches of sequences of one length class.
 
-A sequence is a stretch of tokens around those with a digit or an @: stretches of plain words, where
-every label but O has weight below the field's largest transition, cut the text. All of every
-text is read; no prefix or window is left out.
+Every token of every text is scored. Before decoding, tokens are set aside that the weights prove to be
+O in the text's best labelling (Field.surely_plain); what lies between them is decoded, and the
+labels are those of the whole text decoded in one piece.
 
 Spans that the field adds never touch a base span, and must hold what their kind holds at least: an
 @ or its spelling for e-mail, 7 to 15 digits for a phone, 12 to 19 that pass Luhn for a card, four numbers for an ip.
@@ -34,8 +34,9 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"\S+")
-MARK = re.compile(r"[0-9@]|\b(?:at|AT)\b|\[")
-REACH = 2
+BLANK = re.compile(r"\s")
+PIECE, RUN = 1 << 20, 1 << 16  # characters of text cut into tokens at a time, tokens scored at a time
+MOST_SHAPES = 200_000
 
 # The labelled table: spans in <kind ...>; everything else is O.
 TABLE = """
@@ -109,13 +110,14 @@ def luhn(digits: list[int]) -> bool:
 
 
 BUCKETS = 512
+STOPS = ".,;:!?\"'"
 
 
 def shape(token: str) -> tuple[int, ...]:
     """Numbers of the word-shape features of a token."""
     digits = sum(c.isdigit() for c in token)
     letters = any(c.isalpha() for c in token)
-    plain = token.strip(".,;:!?\"'")
+    plain = token.strip(STOPS)
     parts = [
         1 + min(digits, 19),
         24 + ("@" in token),
@@ -136,6 +138,15 @@ def shape(token: str) -> tuple[int, ...]:
     return tuple(parts)
 
 
+def alike(token: str) -> str:
+    """A token of the same shape; words of the same length and stops become one, so that few shapes are worked out."""
+    plain = token.strip(STOPS)
+    if not plain.isalpha() or plain.lower() in ("at", "dot"):
+        return token
+    start = token.index(plain)
+    return token[:start] + "a" * min(len(plain), 12) + token[start + len(plain) :]
+
+
 def _examples() -> list[tuple[list[str], list[int]]]:
     out = []
     for line in TABLE.strip().split("\n"):
@@ -197,6 +208,26 @@ class Field:
                 w += rate * s / np.sqrt(q)
         return self
 
+    def gain(self, scores: np.ndarray) -> np.ndarray:
+        """The most that giving a token a kind instead of O can add to a labelling, with the move to it from another kind."""
+        return (scores[:, 1:] + self.moves[1:, 1:].max(axis=0) - self.moves[0, 0]).max(axis=1) - scores[:, 0]
+
+    def surely_plain(self, gain: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Which tokens are O in the best labelling of each text; the texts follow each other and begin at `begins`.
+
+        Making a run of tokens with kinds O instead takes away at most their gains, less the move to the first,
+        and the moves in and out. A token is O where no run over it adds anything.
+        """
+        o = self.moves[0, 0]
+        edges = max(0.0, (self.moves[0, 1:] - o).max()) + max(0.0, (self.moves[1:, 0] - o).max()) - (self.moves[1:, 1:].max(axis=0) - o).min()
+        # A token of great loss stands between texts; a run that crosses it all the same only makes the bound weaker.
+        at = np.arange(len(gain)) + np.cumsum(np.bincount(begins, minlength=len(gain) + 1)[: len(gain)])
+        steps = np.full(len(gain) + len(begins), -1000.0)
+        steps[at] = gain
+        after = np.cumsum(steps)
+        most = np.maximum.accumulate(after[::-1])[::-1] - np.minimum.accumulate(np.concatenate(([0.0], after[:-1])))
+        return most[at] + edges < -1e-6
+
     def decode(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
         """The best labels of each sequence of scores, all sequences of a run stepping together."""
         out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(sequences)
@@ -234,41 +265,82 @@ class Field:
         return out
 
 
-def _sequences(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Token spans of each stretch around tokens that may matter."""
-    open_: list[tuple[int, int]] = []
-    left = 0
-    # Only the surroundings of marks are cut into tokens: between them lie plain words.
-    edge = 0
-    for mark in MARK.finditer(text):
-        if mark.start() < edge:
-            continue
-        begin = mark.start()
-        for _ in range(REACH + 1):
-            while begin > 0 and text[begin - 1].isspace():
-                begin -= 1
-            while begin > 0 and not text[begin - 1].isspace():
-                begin -= 1
-        end = mark.end()
-        token = TOKEN.match(text, mark.start())
-        end = token.end() if token else end
-        for _ in range(REACH):
-            following = TOKEN.search(text, end)
-            if not following:
-                break
-            end = following.end()
-        if begin > left or not open_:
-            if open_:
-                yield open_
-            open_, left = [], begin
-            recent = [(m.start(), m.end()) for m in TOKEN.finditer(text, begin, end)]
-        else:
-            recent = [(m.start(), m.end()) for m in TOKEN.finditer(text, left, end)]
-        open_ += recent
-        left = end
-        edge = token.end() if token else mark.end()
-    if open_:
-        yield open_
+class Shapes(dict):
+    """Numbers of tokens' shapes, and of each shape its weights: own, for the token after it, for the one before. 0 is no token."""
+
+    def __init__(self, field: Field) -> None:
+        self.field = field
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.known: dict[tuple[int, ...], int] = {}
+        self.weights = np.zeros((1024, 3, self.field.labels))
+
+    def __missing__(self, token: str) -> int:
+        if (same := alike(token)) != token:
+            number = self[same]
+        elif (number := self.known.get(own := shape(token))) is None:
+            number = self.known[own] = len(self.known) + 1
+            if number == len(self.weights):
+                self.weights = np.concatenate((self.weights, np.zeros_like(self.weights)))
+            of = list(own)
+            self.weights[number] = self.field.own[of].sum(axis=0), self.field.left[of].sum(axis=0), self.field.right[of].sum(axis=0)
+        if len(self) >= MOST_SHAPES:
+            self.clear()
+        if len(token) <= 64:
+            self[token] = number
+        return number
+
+    def numbers(self, text: str) -> np.ndarray:
+        """Of every token of the text."""
+        out, at = [], 0
+        while at < len(text):
+            cut = BLANK.search(text, at + PIECE)
+            to = cut.end() if cut else len(text)
+            out.append(np.array([self[t] for t in text[at:to].split()], dtype=np.int32))
+            at = to
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
+
+
+def labelled(texts: list[str], shapes: Shapes) -> Iterator[tuple[int, int, int, int]]:
+    """(text number, first token, last token, label) of each run of tokens with one kind in the best labelling of each whole text."""
+    field = shapes.field
+    if len(shapes.known) > MOST_SHAPES:
+        shapes.forget()
+    numbers = [shapes.numbers(t) for t in texts]
+    begins = np.concatenate(([0], np.cumsum([len(n) for n in numbers]))).astype(np.int64)
+    every = np.concatenate((np.zeros(1, dtype=np.int32), *numbers, np.zeros(1, dtype=np.int32)))
+    n = len(every) - 2
+    first, last = np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
+    first[begins[:-1]] = True
+    last[begins[1:] - 1] = True  # of an empty text at the start, the place past the end
+
+    def scores(at: np.ndarray) -> np.ndarray:
+        before, after = np.where(first[at], 0, every[at]), np.where(last[at], 0, every[at + 2])
+        return shapes.weights[every[at + 1], 0] + shapes.weights[before, 1] + shapes.weights[after, 2]
+
+    gain = np.concatenate([np.zeros(0), *(field.gain(scores(np.arange(at, min(at + RUN, n)))) for at in range(0, n, RUN))])
+    plain = field.surely_plain(gain, begins[:-1])
+    # What may have a kind is decoded between neighbours that are O for certain.
+    live = np.flatnonzero(~plain)
+    keep = ~plain
+    keep[live[~first[live]] - 1] = True
+    keep[live[~last[live]] + 1] = True
+    kept = np.flatnonzero(keep)
+    if not len(kept):
+        return
+    own = scores(kept)
+    own[plain[kept], 1:] = -1e9
+    starts = np.flatnonzero(np.concatenate(([True], (np.diff(kept) > 1) | first[kept[1:]])))
+    labels = np.concatenate(field.decode(np.split(own, starts[1:])))
+    sequence = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(kept))))
+    edge = np.concatenate(([True], (np.diff(labels) != 0) | (np.diff(sequence) != 0), [True]))
+    edge = np.flatnonzero(edge)
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        if labels[a]:
+            text = int(np.searchsorted(begins, kept[a], side="right")) - 1
+            yield text, int(kept[a] - begins[text]), int(kept[b - 1] - begins[text]), int(labels[a])
 
 
 def _enough(kind: int, text: str) -> bool:
@@ -283,37 +355,39 @@ def _enough(kind: int, text: str) -> bool:
     return 7 <= digits <= 15 and not re.search(r"[^\d\s().+-]", text)
 
 
-def found_spans(texts: list[str], field: Field, cache: dict[str, tuple[int, ...]]) -> Iterator[tuple[list, list]]:
+def _places(text: str, wanted: set[int]) -> dict[int, tuple[int, int]]:
+    """Where the tokens of the wanted numbers stand."""
+    out: dict[int, tuple[int, int]] = {}
+    for k, m in enumerate(TOKEN.finditer(text)):
+        if k in wanted:
+            out[k] = m.span()
+            if len(out) == len(wanted):
+                break
+    return out
+
+
+def found_spans(texts: list[str], shapes: Shapes) -> Iterator[tuple[list, list]]:
     """Per text: base spans, and all spans with those that the field adds."""
-    owners, spans, scored = [], [], []
-    for i, text in enumerate(texts):
-        for sequence in _sequences(text):
-            shapes = []
-            for start, end in sequence:
-                token = text[start:end]
-                if (own := cache.get(token)) is None:
-                    if len(cache) > 200_000:
-                        cache.clear()
-                    own = cache[token] = shape(token)
-                shapes.append(own)
-            owners.append(i)
-            spans.append(sequence)
-            scored.append(field.scores(shapes))
+    runs: dict[int, list] = {}
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= PIECE):
+            size += len(texts[to])
+            to += 1
+        for i, *run in labelled(texts[at:to], shapes):
+            runs.setdefault(at + i, []).append(run)
+        at = to
     added: dict[int, list] = {}
-    for i, sequence, labels in zip(owners, spans, field.decode(scored) if scored else [], strict=True):
-        at = 0
-        while at < len(labels):
-            to = at
-            while to < len(labels) and labels[to] == labels[at]:
-                to += 1
-            if labels[at]:
-                start, end = sequence[at][0], sequence[to - 1][1]
-                inner = texts[i][start:end]
-                trimmed = inner.strip(".,;:!?\"'")
-                start += inner.find(trimmed) if trimmed else 0
-                if trimmed and _enough(labels[at] - 1, trimmed):
-                    added.setdefault(i, []).append((start, start + len(trimmed), int(labels[at]) - 1))
-            at = to
+    for i, own in runs.items():
+        places = _places(texts[i], {k for first, last, _ in own for k in (first, last)})
+        for first, last, label in own:
+            start, end = places[first][0], places[last][1]
+            inner = texts[i][start:end]
+            trimmed = inner.strip(STOPS)
+            start += inner.find(trimmed) if trimmed else 0
+            if trimmed and _enough(label - 1, trimmed):
+                added.setdefault(i, []).append((start, start + len(trimmed), label - 1))
     for i, text in enumerate(texts):
         base = base_spans(text)
         extra = [s for s in dict.fromkeys(added.get(i, ())) if not any(s[0] < b[1] and b[0] < s[1] for b in base)]
@@ -331,12 +405,12 @@ def find(docs: DataFrame) -> DataFrame:
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[int, ...]] = {}
+        shapes = Shapes(field)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 counts, digests, lists = [], [], []
-                for base, every in found_spans([t or "" for t in part.column(1).to_pylist()], field, cache):
+                for base, every in found_spans([t or "" for t in part.column(1).to_pylist()], shapes):
                     counts.append([sum(s[2] == k for s in base) for k in range(len(KINDS))])
                     digests.append(hashlib.sha256(written_out(base).encode()).hexdigest())
                     lists.append(written_out(every))

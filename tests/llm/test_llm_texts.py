@@ -356,6 +356,33 @@ def test_the_field_learns_its_table():
         assert field.decode([field.scores([pii.shape(t) for t in tokens])])[0].tolist() == labels
 
 
+def test_whole_texts_are_labelled_as_if_uncut(corpus):
+    field = pii.Field().train()
+    lines = [" ".join(tokens) for tokens, _ in pii._examples()]
+    rng = random.Random(3)
+    made = [" ".join(rng.choice(lines if rng.random() < 0.3 else corpus).strip() or "x" for _ in range(3)) for _ in range(20)]
+    texts = ["", *lines, *made, *corpus, " ", *(t for t in ODD if t), "Anna At example dot org", " ".join(lines), ""]
+    shapes = pii.Shapes(field)
+    got = [[0] * len(t.split()) for t in texts]
+    for i, first, last, label in pii.labelled(texts, shapes):
+        got[i][first : last + 1] = [label] * (last + 1 - first)
+    for t, labels in zip(texts, got, strict=True):
+        tokens = t.split()
+        assert not tokens or labels == field.decode([field.scores([pii.shape(x) for x in tokens])])[0].tolist()
+        assert all(pii.shape(pii.alike(x)) == pii.shape(x) for x in tokens)
+
+
+def test_spelled_out_mail_is_found_whole(spark):
+    mails = ["j.smith at mail dot example dot com", "help at example dot org", "lena [at] post [dot] example [dot] net", "Anna At example dot org"]
+    texts = [f"write to {mails[0]} for details", f"reach us: {mails[1]} or at the desk", f"her address is {mails[2]} she said", mails[3]]
+    far = " ".join(["plain words"] * 50)
+    texts = [*texts, *(f"{far} {t} {far}" for t in texts[:3])]
+    out = {r.doc_id: r.spans for r in pii.find(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        mail = mails[i % 4] if i < 4 else mails[i - 4]
+        assert out[i] == f"email:{t.index(mail)}:{t.index(mail) + len(mail)}"
+
+
 # --- sound --------------------------------------------------------------------------------------
 
 
