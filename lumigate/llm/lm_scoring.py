@@ -3,7 +3,7 @@
 Two byte n-gram models of the same order and estimator share one vocabulary (the byte alphabet with
 the border symbol, and the n-grams of the whole corpus as the wanted set, so that each
 position has a value under both). The background is counted on every document, the target on
-trusted ones (of those, at most TARGET_LIMIT by hash order, a documented bound of the fitted part).
+every trusted one, found by a join of the labels on doc_id.
 A document's score is the mean over its bytes of the target's loss minus the background's;
 lower is nearer to the target.
 
@@ -13,22 +13,31 @@ uniform; repeated rows get equal scores; an empty table gives no rows; other col
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import lm, quality, shared
+from . import lm, shared
 
-TARGET_LIMIT = quality.TRUSTED_LIMIT
+NONE = np.zeros(0, dtype=np.int64)
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, limit: int = TARGET_LIMIT) -> DataFrame:
+def trusted_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every row with text whose doc_id is trusted. Only rows that a filter of the ids lets through are shuffled."""
+    good = labels.filter("quality = 1 and doc_id is not null").select(F.xxhash64(F.col("doc_id").cast("long")).alias("id_key"), F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    _, maybe = shared.split_by_keys(rows.withColumn("id_key", F.xxhash64("doc_id")), "id_key", good)
+    return maybe.drop("id_key").join(good.select("doc_id"), "doc_id", "left_semi")
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, difference (nats a byte)."""
     lm.pin_splits(docs.sparkSession)
-    chosen = quality.trusted_ids(labels, limit)
 
     def scored(rows: DataFrame) -> DataFrame:
-        requests = lm.gram_requests(rows, chosen)
-        counts = lm.each_request(requests).groupBy("gram").agg(F.sum("times").alias("all"), F.sum("picked").alias("target"))
+        requests = lm.gram_requests(rows, NONE)
+        every = lm.each_request(requests).groupBy("gram").agg(F.sum("times").alias("all"))
+        trusted = lm.each_request(lm.gram_requests(trusted_rows(rows, labels), NONE)).groupBy("gram").agg(F.sum("times").alias("target"))
+        counts = every.join(trusted, "gram", "left").select("gram", "all", F.coalesce("target", F.lit(0)).alias("target"))
         counts = shared.written(counts, "counts")
         wanted = counts.select("gram")
         target = lm.kneser_ney(counts.select("gram", F.col("target").alias("c")), wanted).withColumnRenamed("logp", "t")

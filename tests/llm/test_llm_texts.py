@@ -197,6 +197,14 @@ def test_cross_entropy_difference_equals_brute_force(spark, small):
         assert out[i].difference == pytest.approx(want, abs=1e-5) and out[i].n_bytes == len(t)
 
 
+def test_the_target_counts_every_trusted_row(spark):
+    """With every row trusted the two models are one, however many rows there are."""
+    docs = spark.range(20_400).select(F.col("id").alias("doc_id"), F.substring(F.md5(F.col("id").cast("string")), 1, 8).alias("text"))
+    labels = spark.range(20_400).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    out = lm_scoring.cross_entropy_difference(docs, labels).agg(F.count("difference").alias("n"), F.max(F.abs("difference")).alias("most")).first()
+    assert out.n == 20_400 and out.most < 1e-9
+
+
 def test_blocks_do_not_depend_on_batches(monkeypatch, corpus):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 20_000)
     table = pa.table({"text": pa.array(corpus[:80]), "row_key": pa.array(range(80))})
