@@ -9,7 +9,9 @@ largest logit of all its windows. Windows without any evidence share one input,
 which is computed once.
 
 Fitting takes a bounded sample of labelled rows, at most FIT_TOXIC of label 1 and FIT_CLEAN of
-label 0 by hash order. Labels of rows held out never enter it, and lang, source and doc_id are no inputs.
+label 0 by hash order. The calibration weights the sample's documents so that the two labels have the shares
+they have in the whole table, so scores do not depend on where the bounds fall. Labels of rows held
+out never enter any of this, and lang, source and doc_id are no inputs.
 
 Defined cases: a null or empty text is one window without words; a long text has as many windows as it
 needs; without labelled rows of both kinds every score is 0; repeated rows get equal scores; other
@@ -257,8 +259,10 @@ def _own_texts(column: pa.Array) -> np.ndarray:
     return np.array(keep, dtype=np.int64)
 
 
-def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Model | None:
-    """A model from labelled texts; None without both labels."""
+def fit(texts: list[str], labels: np.ndarray, seed: int = 5, share: float | None = None) -> Model | None:
+    """A model from labelled texts; None without both labels. share: of toxic rows in the table they come from (without it, in the texts)."""
+    if share is None and len(labels):
+        share = float(labels.mean())
     column = pa.array(texts, pa.string())
     kept = _own_texts(column)
     column, labels = column.take(pa.array(kept)), labels[kept]
@@ -314,16 +318,16 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Model | None:
             v += 0.01 * (g * g - v)
             model.weights[k] = (model.weights[k] - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     model.blank = float(forward(model.weights, np.zeros((1, WINDOW, 2), dtype=np.float32))[0][0])
-    model.slope, model.offset = _calibrated(_logits(model, column), labels)
+    model.slope, model.offset = _calibrated(_logits(model, column), labels, share)
     return model
 
 
-def _calibrated(logit: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through the documents' largest logits.
+def _calibrated(logit: np.ndarray, labels: np.ndarray, share: float) -> tuple[float, float]:
+    """Slope and offset of a logistic curve through the documents' largest logits, toxic ones weighing `share` of all.
 
     A weak pull to slope 1 keeps the curve finite where the labels part fully; steps that do not lower the loss are halved.
     """
-    weight = np.full(len(labels), 1 / len(labels))
+    weight = np.where(labels == 1, share / (labels == 1).sum(), (1 - share) / (labels == 0).sum())
     centre = float((weight * logit).sum())
     x = logit - centre
 
@@ -344,10 +348,19 @@ def _calibrated(logit: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(max(ab[0], 1e-3)), float(ab[1] - max(ab[0], 1e-3) * centre)
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
+    return known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def toxic_share(docs: DataFrame, labels: DataFrame) -> float | None:
+    """The share of toxic rows among all labelled rows that are not held out; None if there are none."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id")).join(_known(labels), "doc_id").agg(F.avg("toxic").alias("share")).first()["share"]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, clean: int = FIT_CLEAN) -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most so many rows of either label, by hash order, none of them held out."""
-    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
-    known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = _known(labels)
     order = F.xxhash64(F.lit(17), "doc_id")
     chosen = [known.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(n) for k, n in ((1, toxic), (0, clean))]
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # at most toxic + clean rows
@@ -374,4 +387,4 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, fit(*labelled_sample(docs, labels)))
+    return score(docs, fit(*labelled_sample(docs, labels), share=toxic_share(docs, labels)))

@@ -271,6 +271,23 @@ def test_held_out_labels_are_never_read(spark):
     assert a[0] == b[0] and (a[1] == b[1]).all()
 
 
+def test_scores_do_not_depend_on_the_bounds_of_the_sample(spark):
+    """A sample with fewer clean rows than the table has calibrates as the whole table does."""
+    rng = np.random.default_rng(3)
+    labels = (rng.random(20_000) < 0.1).astype(np.int64)
+    logit = rng.normal(np.where(labels == 1, 1.0, -1.0), 1.5)
+    some = np.flatnonzero((labels == 1) | (rng.random(len(labels)) < 0.2))
+    whole, part = (toxicity._calibrated(logit[at], labels[at], float(labels.mean())) for at in (np.arange(len(labels)), some))
+    for x in (-2.0, 0.0, 2.0):
+        assert toxicity._sigmoid(whole[0] * x + whole[1]) == pytest.approx(toxicity._sigmoid(part[0] * x + part[1]), abs=0.02)
+    texts, own = toxic_corpus(300, 4)
+    docs = docs_of(spark, texts)
+    table = labels_of(spark, [(i, 1, y) for i, y in enumerate(own)] + [(None, 1, 1), (9999, 0, 1)])
+    free = [y for i, y in enumerate(own) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert toxicity.toxic_share(docs, table) == pytest.approx(np.mean(free))
+    assert toxicity.toxic_share(docs, labels_of(spark, [])) is None
+
+
 def test_toxicity_without_labels(spark):
     assert {r.score for r in toxicity.toxicity(docs_of(spark, ["a b", None]), labels_of(spark, [])).collect()} == {0.0}
     assert toxicity.toxicity(docs_of(spark, []), labels_of(spark, [(1, 1, 1)])).count() == 0
