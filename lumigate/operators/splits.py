@@ -73,12 +73,13 @@ def only(df: DataFrame, split: str) -> DataFrame:
 def balanced_sample(df: DataFrame, n: int, label: str = "label", key: str = "image_path", seed: int = 42) -> DataFrame:
     """n / 2 rows of each class, first by hash, in hash order.
 
-    A cut of the hash's first digits, taken from the class counts with room to spare, thins the rows
-    before the exact window, so that two classes do not mean two large tasks.
+    A cut of the hash's first digits, taken from the classes' counts of distinct hashes (rows that share a
+    key share its hash) with room to spare, thins the rows before the exact window, so that two classes
+    do not mean two large tasks.
     """
     half = n // 2
-    counts = df.filter(F.col(label).isNotNull()).groupBy(label).count()
     order = hash_order(seed, key)
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.greatest(F.count_distinct(order), F.lit(1)).alias("count"))
     share = F.conv(F.substring(order, 1, 8), 16, 10).cast("double") / F.lit(float(16**8))
     # 10 deviations of a binomial count above the wanted one.
     bound = (F.lit(half) + 10 * F.sqrt(F.lit(float(half))) + 10) / F.col("count")

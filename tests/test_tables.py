@@ -143,6 +143,14 @@ def test_balanced_sample_is_exact(spark):
     assert {(r.label, r["count"]) for r in splits.balanced_sample(df, 200).groupBy("label").count().collect()} == {(0, 100), (1, 100)}
 
 
+def test_balanced_sample_is_exact_with_a_hot_key(spark):
+    """Most rows of a class share a key that comes late in hash order."""
+    keys = spark.range(50).select(F.concat(F.lit("hot"), "id").alias("k"))
+    hot = keys.orderBy(splits.hash_order(42, "k").desc()).first()["k"]
+    rows = spark.range(20_000).select(F.when(F.col("id") < 18_000, F.lit(hot)).otherwise(F.col("id").cast("string")).alias("image_path"), F.lit(0).alias("label"))
+    assert splits.balanced_sample(rows, 200).count() == 100
+
+
 def test_scalar_edges(spark):
     df = spark.createDataFrame([("2",), ("2.7",), ("0",), ("7",), ("nan",), (None,), (" media ",), ("6",)], "t string")
     c = F.col("t")
