@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import correlation
 
 def rater_agreement(df: DataFrame, raters: Sequence[str]) -> DataFrame:
     """df with n_valoraciones, suma and unanime (more than one rating, all equal)."""
@@ -32,7 +33,7 @@ def pairwise_kappa(df: DataFrame, raters: Sequence[str]) -> DataFrame:
 
 
 def ordinal_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
-    """n, exacto, mas_menos_1, corr of two ordinal annotations."""
+    """n, exacto, mas_menos_1, corr (null where either is constant) of two ordinal annotations."""
     rows = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna()
     off = F.abs(F.col("a") - F.col("b"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.avg((off == 0).cast("double")).alias("exacto"), F.avg((off <= 1).cast("double")).alias("mas_menos_1"), F.corr("a", "b").alias("corr"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.avg((off == 0).cast("double")).alias("exacto"), F.avg((off <= 1).cast("double")).alias("mas_menos_1"), correlation("a", "b").alias("corr"))

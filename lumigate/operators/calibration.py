@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.gate import Thresholds
 from . import roc
+from .ranked import quantiles_of_cells
 
 # In which direction each measure is expected to speak for "not gradable".
 DIRECTIONS = {
@@ -44,41 +45,47 @@ def _finite(c: Column) -> Column:
     return F.when(F.abs(F.nanvl(c, F.lit(None).cast("double"))) < float("inf"), c)
 
 
-def directed_scores(df: DataFrame, label: str, directions: dict[str, str] | None = None, by: str | None = None) -> DataFrame:
-    """medida, sentido, x, score, y (and by): every measure of every row in one unpivot."""
+def directed_cells(df: DataFrame, label: str, directions: dict[str, str] | None = None, by: str | None = None) -> DataFrame:
+    """(by), medida, sentido, score, pos, neg: each measure's values, turned so that high speaks for the label, as cells.
+
+    Rows are unpivoted and counted once; the centres of two-sided measures and their scores come from the counts.
+    """
     directions = directions or {m: d for m, d in DIRECTIONS.items() if m in df.columns}
     parts = F.array(*(F.struct(F.lit(m).alias("medida"), F.lit(d).alias("sentido"), _finite(F.col(m).cast("double")).alias("x")) for m, d in directions.items()))
     keep = [by] if by else []
-    long = df.select(*keep, F.col(label).cast("int").alias("y"), F.explode(parts).alias("m")).select(*keep, "y", "m.*").filter("x is not null and y is not null")
-    both = [m for m, d in directions.items() if d == "ambos"]
-    score = F.when(F.col("sentido") == "alto", F.col("x")).when(F.col("sentido") == "bajo", -F.col("x"))
-    if both:
-        # The centre of a two-sided measure is the median of the gradable rows: a row a measure (and group).
-        centres = long.filter("sentido = 'ambos' and y = 0").groupBy(*keep, "medida").agg(F.percentile("x", F.lit(0.5)).alias("centro"))
-        long = long.join(centres, [*keep, "medida"], "left")
-        score = score.otherwise(F.abs(F.col("x") - F.col("centro")))
-    return long.withColumn("score", score)
+    long = df.select(*keep, F.col(label).cast("int").alias("y"), F.explode(parts).alias("m")).select(*keep, "y", "m.*")
+    values = roc.cells(long, "x", "y", [*keep, "medida", "sentido"]).withColumnRenamed("score", "x")
+    one_sided = values.filter("sentido <> 'ambos'").withColumn("score", F.when(F.col("sentido") == "alto", F.col("x")).otherwise(-F.col("x"))).drop("x")
+    if "ambos" not in directions.values():
+        return one_sided
+    # The centre of a two-sided measure is the median of the gradable rows: a row a measure (and group).
+    two_sided = values.filter("sentido = 'ambos'")
+    keys = [*keep, "medida"]
+    centres = quantiles_of_cells(two_sided.filter("neg > 0").select(*keys, F.col("x").alias("v"), F.col("neg").alias("times")), 0.5, keys).select(*keys, F.col("quantile").alias("centro"))
+    away = two_sided.join(centres, keys).withColumn("score", F.abs(F.col("x") - F.col("centro")))
+    away = away.groupBy(*keys, "sentido", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return one_sided.unionByName(away)
 
 
 def directed_auc(df: DataFrame, label: str = "no_evaluable", directions: dict[str, str] | None = None, by: str | None = None) -> DataFrame:
     """medida, sentido, auc, lectura (by group if asked): null under 30 finite values or with one class."""
     keys = ([by] if by else []) + ["medida", "sentido"]
-    points = roc.curve(roc.cells(directed_scores(df, label, directions, by), "score", "y", keys), keys)
-    auc = F.when(F.max("p") + F.max("n") >= LEAST_FINITE, roc.area())
-    return points.groupBy(*keys).agg(auc.alias("auc")).withColumn("lectura", reading(F.col("auc")))
+    found = roc.summary(directed_cells(df, label, directions, by), keys)
+    auc = F.when(F.col("p") + F.col("n") >= LEAST_FINITE, F.col("auroc"))
+    return found.select(*keys, auc.alias("auc")).withColumn("lectura", reading(F.col("auc")))
 
 
 def suggested_cuts(df: DataFrame, label: str = "no_evaluable", directions: dict[str, str] | None = None, least: float = TELLING) -> DataFrame:
     """medida, corte, sens, esp by Youden, for one-sided measures that tell something; with the threshold in use."""
     keys = ["medida", "sentido"]
-    scored = directed_scores(df, label, directions).filter("sentido <> 'ambos'")
-    points = roc.curve(roc.cells(scored, "score", "y", keys), keys)
-    j = F.struct((F.col("tp") / F.col("p") - F.col("fp") / F.col("n")).alias("j"), "score")
+    directions = {m: d for m, d in (directions or DIRECTIONS).items() if m in df.columns and d != "ambos"}
+    points = roc.curve(directed_cells(df, label, directions), keys)
+    j = F.struct((roc.rate("tp", "p") - roc.rate("fp", "n")).alias("j"), "score")
     best = points.filter("p > 0 and n > 0").groupBy(*keys).agg(
         F.when(F.max("p") + F.max("n") >= LEAST_FINITE, roc.area()).alias("auc"),
         F.max_by("score", j).alias("corte"),
-        F.max_by(F.col("tp") / F.col("p"), j).alias("sens"),
-        F.max_by(F.lit(1.0) - F.col("fp") / F.col("n"), j).alias("esp"),
+        F.max_by(roc.rate("tp", "p"), j).alias("sens"),
+        F.max_by(F.lit(1.0) - roc.rate("fp", "n"), j).alias("esp"),
     )
     use = Thresholds()
     current = F.create_map(*(x for m, t in THRESHOLD_OF.items() for x in (F.lit(m), F.lit(float(getattr(use, t))))))

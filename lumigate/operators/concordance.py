@@ -20,32 +20,48 @@ def predictions(df: DataFrame, group: str = "group_id", prob: str = "prob", devi
     return out.select(group, "n", F.round("m", 4).alias("media"), F.round("s", 4).alias("desviacion"), F.round("r", 4).alias("rango"), good.alias("coherente"), text.alias("mensaje"))
 
 
+BLOCK = 64  # photos of a subject that meet in one task
+
+
 def photo_pairs(df: DataFrame, group: str = "group_id", position: str = "pos") -> DataFrame:
-    """Pairs a < b inside a group, each side as a struct. Meant for the few photos of one subject."""
+    """Pairs a < b inside a group, each side as a struct. Meant for the few photos of one subject.
+
+    A larger group is dealt over blocks of about BLOCK photos and its pairs of blocks are keys of their own, so no group is one task.
+    """
     names = [c for c in df.columns if c != group]
-    a = df.select(group, F.struct(*names).alias("a"))
-    b = df.select(group, F.struct(*names).alias("b"))
-    return a.join(b, group).filter(F.col(f"a.{position}") < F.col(f"b.{position}"))
+    sizes = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("__n"))
+    held = df.join(sizes, group).select(group, F.struct(*names).alias("s"), F.pmod(F.xxhash64(position), F.col("__n")).cast("int").alias("__b"), "__n")
+    other = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
+    a = held.select(group, F.col("s").alias("a"), F.col("__b").alias("i"), other.alias("j"))
+    b = held.select(group, F.col("s").alias("b"), F.col("__b").alias("j"), other.alias("i"))
+    return a.join(b, [group, "i", "j"]).filter(F.col(f"a.{position}") < F.col(f"b.{position}")).drop("i", "j")
 
 
-def correlation(a, b):
-    """Pearson correlation of two arrays, all built in; 1 where both are flat, as comparing equal histograms gives."""
+def centred(values):
+    """An array less its mean, at length 1; null where it is flat."""
     zero = F.lit(0.0)
-    n = F.size(a)
-    mean = lambda v: F.aggregate(v, zero, lambda s, x: s + x) / n
-    ma, mb = mean(a), mean(b)
-    dot = lambda v, w, mv, mw: F.aggregate(F.zip_with(v, w, lambda x, y: (x - mv) * (y - mw)), zero, lambda s, x: s + x)
-    var = dot(a, a, ma, ma) * dot(b, b, mb, mb)
-    return F.when(var > 0, dot(a, b, ma, mb) / F.sqrt(var)).otherwise(1.0)
+    mean = F.aggregate(values, zero, lambda s, x: s + x) / F.size(values)
+    away = F.transform(values, lambda x: x - mean)
+    size = F.sqrt(F.aggregate(away, zero, lambda s, x: s + x * x))
+    return F.when(size > 0, F.transform(away, lambda x: x / size))
 
 
 def same_subject(df: DataFrame, group: str = "group_id", position: str = "pos", hist: str = "hist", least: float = SIMILARITY_MIN) -> DataFrame:
-    """Per group: n, similitud_minima, similitud_media, coherente, mensaje; one photo is coherent with 1.0."""
-    pairs = photo_pairs(df.select(group, position, F.col(hist).cast("array<double>").alias("hist")), group, position)
-    found = pairs.select(group, correlation(F.col("a.hist"), F.col("b.hist")).alias("c")).groupBy(group).agg(F.min("c").alias("low"), F.avg("c").alias("mean"))
-    out = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).join(found, group, "left")
+    """Per group: n, comparadas, similitud_minima, similitud_media, coherente, mensaje; one photo is coherent with 1.0.
+
+    A photo without a histogram is compared with none and not counted in comparadas. A flat histogram counts as like any
+    other (1.0). Histograms are centred and scaled once a photo; a pair is one sum of products.
+    """
+    values = F.col(hist).cast("array<double>")
+    rows = df.filter(values.isNotNull() & ~F.exists(values, lambda x: x.isNull())).select(group, position, values.alias("v"))
+    rows = rows.filter(F.size("v") > 0).select(group, position, centred(F.col("v")).alias("z"))
+    product = F.aggregate(F.zip_with("a.z", "b.z", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    alike = F.coalesce(product, F.lit(1.0))
+    found = photo_pairs(rows, group, position).select(group, alike.alias("c")).groupBy(group).agg(F.min("c").alias("low"), F.avg("c").alias("mean"))
+    usable = F.count_if(values.isNotNull() & (F.size(values) > 0) & ~F.coalesce(F.exists(values, lambda x: x.isNull()), F.lit(True)))
+    out = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), usable.alias("comparadas")).join(found, group, "left")
     low = F.coalesce("low", F.lit(1.0))
     return out.select(
-        group, "n", F.round(low, 4).alias("similitud_minima"), F.round("mean", 4).alias("similitud_media"), (low >= least).alias("coherente"),
-        F.when(F.col("n") == 1, ONE).when(low >= least, SAME).otherwise(OTHER).alias("mensaje"),
+        group, "n", "comparadas", F.round(low, 4).alias("similitud_minima"), F.round("mean", 4).alias("similitud_media"), (low >= least).alias("coherente"),
+        F.when(F.col("comparadas") <= 1, ONE).when(low >= least, SAME).otherwise(OTHER).alias("mensaje"),
     )

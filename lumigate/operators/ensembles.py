@@ -23,14 +23,13 @@ def mean_score(df: DataFrame, key: str = "image_path", prob: str = "prob") -> Da
 def crop_scores(df: DataFrame, key: str = "image_path", prob: str = "prob", choose: str = "max", top: int = 3) -> DataFrame:
     """prob, prob_max, prob_top3 (mean of the best three, fewer if there are fewer), n_recortes.
 
-    The rank window is cut to `top` rows a key before anything else is shuffled.
+    Rows meet once, by key.
     """
     if choose not in ("max", "top3"):
         raise ValueError("choose is 'max' or 'top3'")
-    w = Window.partitionBy(key).orderBy(F.desc(prob))
-    best = df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= top).groupBy(key).agg(F.avg(prob).alias("prob_top3"))
-    most = df.groupBy(key).agg(F.max(prob).alias("prob_max"), F.count(prob).alias("n_recortes"))
-    out = most.join(best, key)
+    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(prob))
+    first = F.when(F.row_number().over(w) <= top, F.col(prob))
+    out = df.select(key, F.col(prob).alias("__p"), first.alias("__t")).groupBy(key).agg(F.avg("__t").alias("prob_top3"), F.max("__p").alias("prob_max"), F.count("__p").alias("n_recortes"))
     return out.withColumn("prob", F.col("prob_max" if choose == "max" else "prob_top3"))
 
 

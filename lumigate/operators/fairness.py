@@ -27,39 +27,31 @@ def subgroup_report(
 ) -> DataFrame:
     """atributo, subgrupo, n, prevalencia, auroc, sensibilidad, especificidad, fnr_infradiagnostico, fpr.
 
-    Counts come from one pass with grouping sets, one set an attribute or intersection; subgroups with
-    fewer than min_n rows or one class are left out. Order for display: attribute, then FNR from
-    the worst (`ordered`).
+    Rows are first collapsed to one cell per combination of all attributes and score, and only the cells are
+    repeated, once an attribute or intersection; counts and area come from the same sums. Subgroups with fewer than
+    min_n rows or one class are left out. Order for display: attribute, then FNR from the worst (`ordered`).
     """
     sets = [(a, (a,)) for a in attributes] + [(f"{a} x {b}", (a, b)) for a, b in intersections]
     used = list(dict.fromkeys(c for _, cs in sets for c in cs))
-    rows = df.dropna(subset=[label, prob]).select(*(F.col(c).cast("string").alias(c) for c in used), F.col(label).alias("label"), F.col(prob).alias("prob"))
-    counted = rows.groupingSets([[F.col(c) for c in cs] for _, cs in sets], *used).agg(
-        *(c.alias(k) for k, c in metrics.confusion(F.col("label"), F.col("prob"), F.lit(float(threshold))).items()),
-        *(F.grouping(c).alias(f"g_{c}") for c in used),
-    )
-
-    def named(off: Sequence[str], value: Column, name: str) -> tuple[Column, Column, Column]:
-        inside = reduce(lambda a, b: a & b, [F.col(f"g_{c}") == (0 if c in off else 1) for c in used])
-        return inside, F.lit(name), value
-
-    def text(cs: Sequence[str]) -> Column:
-        return F.concat_ws(" | ", *cs)
-
-    attribute, subgroup = F, F
-    for name, cs in sets:
-        inside, label_of, value = named(cs, text(cs), name)
-        whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cs])
-        attribute = attribute.when(inside & whole, label_of)
-        subgroup = subgroup.when(inside & whole, value)
-    table = counted.select("*", attribute.alias("atributo"), subgroup.alias("subgrupo")).filter("atributo is not null")
-    table = table.filter((F.col("n") >= min_n) & (F.col("tp") + F.col("fn") > 0) & (F.col("tn") + F.col("fp") > 0))
-    # For the areas only label, score and key are repeated, once an attribute.
-    kinds = F.array(*(F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cs]), F.struct(F.lit(n).alias("atributo"), text(cs).alias("subgrupo"))) for n, cs in sets))
-    long = rows.select("label", "prob", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("k")).select("label", "prob", "k.*")
-    areas = roc.auroc(long, "prob", "label", ["atributo", "subgrupo"])
-    out = table.join(areas, ["atributo", "subgrupo"])
-    return out.select("atributo", "subgrupo", "n", "prevalencia", "auroc", "sensibilidad", "especificidad", F.col("fnr").alias("fnr_infradiagnostico"), "fpr")
+    text = {c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in used}  # "" is missing
+    found = roc.cells(df.select(*(text[c].alias(c) for c in used), F.col(label).alias("label"), F.col(prob).alias("prob")), "prob", "label", used)
+
+    def kind(name: str, cs: Sequence[str]) -> Column:
+        whole = reduce(lambda a, b: a & b, [F.col(c) != "" for c in cs])
+        return F.when(whole, F.struct(F.lit(name).alias("atributo"), F.concat_ws(" | ", *(F.substr(c, F.lit(2)) for c in cs)).alias("subgrupo")))
+
+    kinds = F.filter(F.array(*(kind(n, cs) for n, cs in sets)), lambda x: x.isNotNull())
+    keys = ["atributo", "subgrupo"]
+    long = found.select("score", "pos", "neg", F.explode(kinds).alias("k")).select("score", "pos", "neg", "k.*")
+    long = long.groupBy(*keys, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    called = F.col("score") >= F.lit(float(threshold))
+    table = roc.summary(long, keys, {"tp": F.when(called, F.col("pos")).otherwise(0), "fp": F.when(called, F.col("neg")).otherwise(0)})
+    table = table.withColumn("total", F.col("p") + F.col("n")).filter((F.col("total") >= min_n) & (F.col("p") > 0) & (F.col("n") > 0))
+    fpr = roc.rate("fp", "n")
+    return table.select(
+        *keys, F.col("total").alias("n"), roc.rate("p", "total").alias("prevalencia"), "auroc", roc.rate("tp", "p").alias("sensibilidad"), (F.lit(1.0) - fpr).alias("especificidad"),
+        F.try_divide((F.col("p") - F.col("tp")).cast("double"), F.col("p").cast("double")).alias("fnr_infradiagnostico"), fpr.alias("fpr"),
+    )
 
 
 def ordered(report: DataFrame) -> DataFrame:
@@ -99,9 +91,9 @@ def not_gradable_by_tone(df: DataFrame, tone: str = "fitzpatrick", not_gradable:
 
 
 def bias_verdict(report: DataFrame, attribute: str = "fitzpatrick") -> DataFrame:
-    """One row from the numeric tones of a subgroup table: correlation of tone and FPR, FPR gap, verdict."""
+    """One row from the numeric tones of a subgroup table: correlation of tone and FPR (null where either is constant), FPR gap, verdict."""
     tone = F.col("subgrupo").try_cast("double")
     rows = report.filter(F.col("atributo") == attribute).select(tone.alias("tono"), "fpr").dropna()
-    n, gap, corr = F.count(F.lit(1)), F.max("fpr") - F.min("fpr"), F.corr("tono", "fpr")
-    verdict = F.when(n < 3, "SIN_DATOS").when((corr > 0.5) & (gap > 0.10), "NO_DESPLEGAR").when(gap > 0.15, "CAUTELA").otherwise("LIMPIO")
+    n, gap, corr = F.count(F.lit(1)), F.max("fpr") - F.min("fpr"), metrics.correlation("tono", "fpr")
+    verdict = F.when(n < 3, "SIN_DATOS").when(F.coalesce(corr > 0.5, F.lit(False)) & (gap > 0.10), "NO_DESPLEGAR").when(gap > 0.15, "CAUTELA").otherwise("LIMPIO")
     return rows.agg(n.alias("tonos"), F.when(n >= 3, corr).alias("correlacion"), F.when(n >= 3, gap).alias("brecha"), verdict.alias("veredicto"))

@@ -53,9 +53,9 @@ def measure(photos: DataFrame, side: int = pixels.CANONICAL_SIDE) -> DataFrame:
     return _each(photos, PHOTO, lambda row: [{"photo_id": row.photo_id} | pixels.measure(image(row), side)], "photo_id string, " + MEASURES)
 
 
-def histograms(photos: DataFrame) -> DataFrame:
+def histograms(photos: DataFrame, side: int = pixels.HISTOGRAM_SIDE) -> DataFrame:
     """photo_id, hist: the hue-saturation histogram (1024 numbers), made once a photo."""
-    return _each(photos, PHOTO, lambda row: [{"photo_id": row.photo_id, "hist": pixels.hue_saturation(image(row))}], "photo_id string, hist array<double>")
+    return _each(photos, PHOTO, lambda row: [{"photo_id": row.photo_id, "hist": pixels.hue_saturation(image(row), side)}], "photo_id string, hist array<double>")
 
 
 def _row(row, data: np.ndarray | None, **more) -> dict:
@@ -89,7 +89,7 @@ def flip_views(photos: DataFrame) -> DataFrame:
 def crops(photos: DataFrame, scales: tuple[float, ...] = (1.0, 0.6, 0.4), step: float = 0.5, least: int = 64) -> DataFrame:
     """photo_id, x, y, side: squares at several scales of the short side, half overlapping; geometry only.
 
-    A photo in which no square has the least side gives one crop of the whole of its short side.
+    A photo in which no square has the least side gives one row for the whole photo, with side null.
     """
     short = F.least("width", "height")
 
@@ -98,7 +98,7 @@ def crops(photos: DataFrame, scales: tuple[float, ...] = (1.0, 0.6, 0.4), step:
         return F.sequence(F.lit(0), length - side, hop)
 
     sides = F.filter(F.array_distinct(F.transform(F.array(*map(F.lit, scales)), lambda s: (short * s).cast("int"))), lambda s: s >= least)
-    sides = F.when(F.size(sides) > 0, sides).otherwise(F.array(short))
-    out = photos.filter("height > 0 and width > 0").select("photo_id", "width", "height", F.explode(sides).alias("side"))
-    out = out.select("photo_id", "height", "side", F.explode(starts(F.col("width"), F.col("side"))).alias("x"))
-    return out.select("photo_id", "x", F.explode(starts(F.col("height"), F.col("side"))).alias("y"), "side")
+    out = photos.filter("height > 0 and width > 0").select("photo_id", "width", "height", F.explode_outer(sides).alias("side"))
+    places = lambda length: F.when(F.col("side").isNull(), F.array(F.lit(0))).otherwise(starts(F.col(length), F.col("side")))
+    out = out.select("photo_id", "height", "side", F.explode(places("width")).alias("x"))
+    return out.select("photo_id", "x", F.explode(places("height")).alias("y"), "side")

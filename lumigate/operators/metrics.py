@@ -12,7 +12,14 @@ from . import roc
 
 
 def _ratio(a: Column, b: Column) -> Column:
-    return F.when(b > 0, a / b)
+    return F.when(b > 0, F.try_divide(a, b))
+
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation as an aggregate; null where either column is constant (which is an error in ANSI mode otherwise)."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def confusion(label: Column, prob: Column, threshold: Column) -> dict[str, Column]:
@@ -49,7 +56,7 @@ def binary_metrics(df: DataFrame, threshold: float | str, label: str = "label",
 def report(df: DataFrame, threshold: float | str, by: Sequence[str], label: str = "label", prob: str = "prob", min_n: int = 1) -> DataFrame:
     """Metrics and AUROC by group, for groups with both classes and at least min_n rows."""
     base = binary_metrics(df, threshold, label, prob, by).filter((F.col("n") >= min_n) & (F.col("tp") + F.col("fn") > 0) & (F.col("tn") + F.col("fp") > 0))
-    return base.join(roc.auroc(df, prob, label, by), list(by))
+    return base.join(roc.auroc(df, prob, label, by), list(by)) if by else base.withColumn("auroc", roc.auroc(df, prob, label).scalar())
 
 
 def subsets(df: DataFrame, named: dict[str, Column], threshold: float, label: str = "label", prob: str = "prob") -> DataFrame:
@@ -78,12 +85,12 @@ def reliability(df: DataFrame, label: str = "label", prob: str = "prob") -> Data
 
 
 def operating_points(df: DataFrame, scores: Sequence[str], targets: Sequence[float], label: str = "label") -> DataFrame:
-    """Per score column and target sensitivity: threshold and specificity there."""
+    """Per score column and target sensitivity: threshold and specificity there (null without negatives); no row without positives."""
     long = df.select(F.col(label), F.explode(F.array(*(F.struct(F.lit(s).alias("puntuacion"), F.col(s).cast("double").alias("prob")) for s in scores))).alias("x")).select(label, "x.*")
     points = roc.curve(roc.cells(long, "prob", label, ["puntuacion"]), ["puntuacion"])
     points = points.withColumn("objetivo", F.explode(F.array(*map(F.lit, targets))))
-    reached = points.filter(F.col("tp") / F.col("p") >= F.col("objetivo"))
-    spec = F.lit(1.0) - F.col("fp") / F.col("n")
+    reached = points.filter(roc.rate("tp", "p") >= F.col("objetivo"))
+    spec = F.lit(1.0) - roc.rate("fp", "n")
     return reached.groupBy("puntuacion", "objetivo").agg(F.max("score").alias("umbral"), F.max_by(spec, "score").alias("especificidad"))
 
 

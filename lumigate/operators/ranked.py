@@ -32,7 +32,12 @@ def bucket(value: Column, cuts: Column) -> Column:
 
 
 def bucketed(cells: DataFrame, value: str, count: str, parts: int = PARTS) -> DataFrame:
-    """cells with their bucket; one bucket for parts = 0."""
+    """cells with their bucket, unless they have one; one bucket for parts = 0.
+
+    Cells that are joined or repeated before they are summed are best bucketed first, so that the subquery is small.
+    """
+    if "bucket" in cells.columns:
+        return cells
     if not parts:
         return cells.withColumn("bucket", F.lit(0))
     return cells.withColumn("__cuts", cut_points(cells, value, count, parts)).withColumn("bucket", bucket(F.col(value), F.col("__cuts"))).drop("__cuts")
@@ -47,6 +52,12 @@ def exact_quantiles(df: DataFrame, value: str, share: float, by: Sequence[str] =
     by = list(by)
     v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
     cells = df.select(*by, v.alias("v")).filter("v is not null").groupBy(*by, "v").agg(F.count(F.lit(1)).alias("times"))
+    return quantiles_of_cells(cells, share, by, parts)
+
+
+def quantiles_of_cells(cells: DataFrame, share: float, by: Sequence[str] = (), parts: int = PARTS) -> DataFrame:
+    """The same from cells (by..., v, times) of distinct values."""
+    by = list(by)
     cells = bucketed(cells, "v", "times", parts)
     totals = cells.groupBy(*by, "bucket").agg(F.sum("times").alias("held"))
     below = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

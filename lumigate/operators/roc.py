@@ -1,9 +1,9 @@
 """Cumulative counts by falling score, and what is read from them.
 
 Rows are first collapsed to one cell per distinct score. The running sums over cells are taken at
-two levels, so that no group, and not the whole table, has to pass through one task: scores
-fall into buckets with fixed boundaries, evenly spaced in their logarithm, bucket totals are summed
-over the few buckets, and each bucket then runs on its own from the sum above it.
+two levels, so that no group, and not the whole table, has to pass through one task: scores are cut at
+quantiles of the cells (`ranked`), bucket totals are summed over the few buckets, and each bucket then runs on its
+own from the sum above it. Areas need no more than a few sums of each bucket, so they join nothing back.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_OCTAVE = 64  # buckets between a score and its double
+from .ranked import PARTS, bucketed
 
 
 def cells(df: DataFrame, score: str, label: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -26,22 +26,22 @@ def cells(df: DataFrame, score: str, label: str, by: Sequence[str] = (), weight:
     return rows.groupBy(*by, "score").agg(F.sum(F.when(F.col("__y") == 1, one).otherwise(0)).alias("pos"), F.sum(F.when(F.col("__y") == 1, 0).otherwise(one)).alias("neg"))
 
 
-def bucket(score: Column, per_octave: int) -> Column:
-    """A whole number that never falls as the score rises; the boundaries do not depend on the data."""
-    if not per_octave:
-        return F.lit(0)
-    size = F.greatest(F.least(F.abs(score), F.lit(1e300)), F.lit(1e-300))
-    place = F.floor(F.log2(size) * per_octave).cast("long") + 2000 * per_octave  # over 0 for every double
-    return F.when(score > 0, place).when(score < 0, -place).otherwise(0)
+def _down(by: Sequence[str]) -> Window:
+    """From the highest bucket to the one above this."""
+    return Window.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def curve(found: DataFrame, by: Sequence[str] = (), per_octave: int = PER_OCTAVE) -> DataFrame:
-    """cells with tp, fp (counts at score >= this one) and p, n (the group's totals)."""
+def _run(by: Sequence[str]) -> Window:
+    return Window.partitionBy(*by, "bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def curve(found: DataFrame, by: Sequence[str] = (), parts: int = PARTS) -> DataFrame:
+    """cells with tp, fp (counts at score >= this one), p, n (the group's totals), and next_pos, next_neg (the cell below; null for the last)."""
     by = list(by)
-    found = found.withColumn("bucket", bucket(F.col("score"), per_octave))
-    totals = found.groupBy(*by, "bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    above = Window.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
+    found = bucketed(found, "score", "pos", parts)
+    top = F.max_by(F.struct("pos", "neg"), "score")
+    totals = found.groupBy(*by, "bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"), top.alias("top"))
+    above, whole = _down(by), Window.partitionBy(*by)
     # A row per bucket and group comes here, not per score.
     totals = totals.select(
         *by,
@@ -50,87 +50,120 @@ def curve(found: DataFrame, by: Sequence[str] = (), per_octave: int = PER_OCTAVE
         F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("above_n"),
         F.sum("bp").over(whole).alias("p"),
         F.sum("bn").over(whole).alias("n"),
+        F.lead("top").over(Window.partitionBy(*by).orderBy(F.desc("bucket"))).alias("below"),
     )
-    run = Window.partitionBy(*by, "bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy(*by, "bucket").orderBy(F.desc("score"))
     return (
         found.join(totals, [*by, "bucket"])
-        .withColumn("tp", F.col("above_p") + F.sum("pos").over(run))
-        .withColumn("fp", F.col("above_n") + F.sum("neg").over(run))
-        .drop("bucket", "above_p", "above_n")
+        .withColumns({"tp": F.col("above_p") + F.sum("pos").over(_run(by)), "fp": F.col("above_n") + F.sum("neg").over(_run(by))})
+        .withColumns({f"next_{c}": F.coalesce(F.lead(c).over(order), F.col(f"below.{c}")) for c in ("pos", "neg")})
+        .drop("bucket", "above_p", "above_n", "below")
     )
 
 
-def collinear_dropped(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Points that do not lie on a straight run of the curve; the first and the last stay."""
-    w = Window.partitionBy(*by).orderBy(F.desc("score"))
-    bend = lambda c: F.lead(c).over(w) - 2 * F.col(c) + F.lag(c, 1, 0).over(w)
-    first, last = F.row_number().over(w) == 1, F.lead("score").over(w).isNull()
-    keep = F.coalesce((bend("tp") != 0) | (bend("fp") != 0), F.lit(True)) | first | last
-    return points.withColumn("__keep", keep).filter("__keep").drop("__keep")
+def summary(found: DataFrame, by: Sequence[str] = (), sums: dict[str, Column] | None = None, parts: int = PARTS) -> DataFrame:
+    """Per group of cells: p, n, auroc (ties count half; null with one class), and sums over the cells by name."""
+    by = list(by)
+    sums = sums or {}
+    found = bucketed(found, "score", "pos", parts)
+    found = found.withColumn("here", F.sum("pos").over(_run(by)))
+    won = F.sum(F.col("neg") * (F.col("here") - F.col("pos") / 2))
+    totals = found.groupBy(*by, "bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"), won.alias("won"), *(F.sum(c).alias(k) for k, c in sums.items()))
+    totals = totals.withColumn("above", F.coalesce(F.sum("bp").over(_down(by)), F.lit(0)))
+    p, n = F.sum("bp"), F.sum("bn")
+    area = F.when((p > 0) & (n > 0), F.try_divide(F.sum(F.col("won") + F.col("bn") * F.col("above")), p.cast("double") * n))
+    return totals.groupBy(*by).agg(p.alias("p"), n.alias("n"), area.alias("auroc"), *(F.sum(k).alias(k) for k in sums))
 
 
-def _grouped(points: DataFrame, by: Sequence[str]):
-    return points.groupBy(*by)
+def collinear_dropped(points: DataFrame) -> DataFrame:
+    """Points of `curve` that do not lie on a straight run of it; the first and the last stay."""
+    bend = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    return points.filter(F.coalesce(bend, F.lit(True)) | first)
 
 
 def area() -> Column:
     """AUROC over the points of a group: ties count half; null with one class."""
     won = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
     p, n = F.max("p"), F.max("n")
-    return F.when((p > 0) & (n > 0), won / (p.cast("double") * n))
+    return F.when((p > 0) & (n > 0), F.try_divide(won, p.cast("double") * n))
 
 
 def average_precision() -> Column:
-    """Sum of the recall gained times the precision at each score (the formula is assumed)."""
+    """Sum of the recall gained times the precision at each score (the formula is assumed); null without positives."""
     p = F.max("p")
-    return F.when(p > 0, F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / p)
+    return F.when(p > 0, F.try_divide(F.sum(F.col("pos") * F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))), p))
+
+
+def rate(part: str, whole: str) -> Column:
+    """part / whole, null where the whole is 0 (a division by 0 is an error in ANSI mode, in rows that a filter would drop too)."""
+    return F.try_divide(F.col(part).cast("double"), F.col(whole).cast("double"))
 
 
 def youden() -> Column:
     """The score of the largest TPR - FPR; of equals the highest; null with one class."""
-    p, n = F.col("p"), F.col("n")
-    j = F.when((p > 0) & (n > 0), F.col("tp") / p - F.col("fp") / n)
-    return F.max_by("score", F.struct(j.alias("j"), "score"))
+    j = rate("tp", "p") - rate("fp", "n")
+    return F.max_by("score", F.when(j.isNotNull(), F.struct(j.alias("j"), "score")))
 
 
 def at_sensitivity(target: Column | float) -> Column:
     """The highest score whose TPR reaches the target; the lowest if none does; 0.5 with one class."""
     target = target if isinstance(target, Column) else F.lit(target)
     both = (F.max("p") > 0) & (F.max("n") > 0)
-    return F.when(both, F.coalesce(F.max(F.when(F.col("tp") / F.col("p") >= target, F.col("score"))), F.min("score"))).otherwise(0.5)
+    return F.when(both, F.coalesce(F.max(F.when(rate("tp", "p") >= target, F.col("score"))), F.min("score"))).otherwise(0.5)
 
 
 def auroc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    return _grouped(curve(cells(df, score, label, by), by), by).agg(area().alias("auroc"))
+    return summary(cells(df, score, label, by), by).drop("p", "n")
 
 
 def auprc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    return _grouped(curve(cells(df, score, label, by), by), by).agg(average_precision().alias("auprc"))
+    return curve(cells(df, score, label, by), by).groupBy(*by).agg(average_precision().alias("auprc"))
 
 
 def youden_threshold(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    return _grouped(curve(cells(df, score, label, by), by), by).agg(youden().alias("umbral"))
+    return curve(cells(df, score, label, by), by).groupBy(*by).agg(youden().alias("umbral"))
 
 
 def sensitivity_threshold(df: DataFrame, score: str, label: str, target: float, by: Sequence[str] = (), drop_intermediate: bool = False) -> DataFrame:
     points = curve(cells(df, score, label, by), by)
     if drop_intermediate:
-        points = collinear_dropped(points, by)
-    return _grouped(points, by).agg(at_sensitivity(target).alias("umbral"))
+        points = collinear_dropped(points)
+    return points.groupBy(*by).agg(at_sensitivity(target).alias("umbral"))
 
 
-def bootstrap_auroc(df: DataFrame, score: str, label: str, n_boot: int = 200, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
-    """lo, hi: the 2.5 and 97.5 percentiles of AUROC over replicates with Poisson(1) weights.
+def bootstrap(df: DataFrame, score: str, label: str, n_boot: int = 1000, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """auroc_lo, auroc_hi, auprc_lo, auprc_hi: the 2.5 and 97.5 percentiles over replicates with Poisson(1) weights.
 
-    A row's weight in a replicate comes from a hash of the row, so the result repeats. Weights meet
-    in cells (replicate, score) before anything is sorted.
+    Rows of a cell are alike, so a cell is repeated per replicate, not a row; the weight of c rows is drawn from Poisson(c), in
+    parts of at most CHUNK. A draw comes from the md5 of (seed, replicate, group, score, class, number), so the result repeats.
     """
-    # Cumulative Poisson(1) probabilities, by rule.
-    sums = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
-    key = [c for c in df.columns]
-    u = F.pmod(F.xxhash64(F.lit(seed), "replica", *key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    weight = sum(F.when(u >= s, 1).otherwise(0) for s in sums)
-    rows = df.withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("__weight", weight).filter("__weight > 0")
+    found = bucketed(cells(df, score, label, by), "score", "pos")
+    draws = found.withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).repartition(*by, "replica")
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("replica").cast("string"), *(F.col(c).cast("string") for c in by), F.col("score").cast("string"))
+
+    def weight(count: str, side: str) -> Column:
+        name, c = F.concat(key, F.lit(f":{side}:")), F.col(count).cast("long")
+        u = lambda i: F.conv(F.substring(F.md5(F.concat(name, i.cast("string"))), 1, 8), 16, 10).cast("long")
+        rest = F.coalesce(*(F.when(c % CHUNK == k, poisson(u(F.lit(0)), k)) for k in range(1, CHUNK)), F.lit(0))
+        full = F.aggregate(F.sequence(F.lit(1).cast("long"), F.floor(c / CHUNK)), F.lit(0).cast("long"), lambda a, i: a + poisson(u(i), CHUNK))
+        return rest.cast("long") + F.when(c >= CHUNK, full).otherwise(0)
+
     keys = [*by, "replica"]
-    each = curve(cells(rows, score, label, keys, "__weight"), keys).groupBy(*keys).agg(area().alias("auroc"))
-    return each.groupBy(*by).agg(F.percentile("auroc", F.lit(0.025)).alias("lo"), F.percentile("auroc", F.lit(0.975)).alias("hi"))
+    drawn = draws.select(*keys, "bucket", "score", weight("pos", "p").alias("pos"), weight("neg", "n").alias("neg")).filter("pos + neg > 0")
+    each = curve(drawn, keys).groupBy(*keys).agg(area().alias("auroc"), average_precision().alias("auprc"))
+    ends = [F.percentile(m, F.lit(q)).alias(f"{m}_{end}") for m in ("auroc", "auprc") for end, q in (("lo", 0.025), ("hi", 0.975))]
+    return each.groupBy(*by).agg(*ends)  # n_boot numbers a group
+
+
+CHUNK = 8
+
+
+def poisson_cuts(mean: int) -> list[int]:
+    """The shares of 2**32 below which Poisson(mean) draws 0, 0 or 1, 0 to 2 ..., by rule."""
+    return [math.floor(2**32 * sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(k + 1))) for k in range(3 * mean + 8)]
+
+
+def poisson(u: Column, mean: int) -> Column:
+    """A draw from a whole number below 2**32."""
+    return F.size(F.filter(F.array(*map(F.lit, poisson_cuts(mean))), lambda c: c <= u)).cast("long")

@@ -18,14 +18,21 @@ def folds(fraction: float) -> int:
 def patient_folds(patients: DataFrame, k: int, seed: int, key: str = "patient_id") -> DataFrame:
     """patients (key, n, positivos) with a fold: patients of like counts are dealt round in hash order.
 
-    A stratum is one pair of counts, dealt within its own window; strata start where the one before
-    ended, so small ones do not all fill the first fold. The table of strata is small (pairs of counts).
+    A stratum is one pair of counts; strata start where the one before ended, so small ones do not all fill the
+    first fold. Most patients may be in one stratum, so it is dealt by ranges of the hash: counts per range tell where each
+    starts, and only a range is ordered. The table of strata is small (pairs of counts), that of ranges 4,096 a stratum.
     """
-    strata = patients.groupBy("positivos", "n").agg(F.count(F.lit(1)).alias("__c"))
+    hashed = patients.withColumn("__h", hash_order(seed, key)).withColumn("__r", F.substring("__h", 1, 3))
+    ranges = hashed.groupBy("positivos", "n", "__r").agg(F.count(F.lit(1)).alias("__c"))
+    first = Window.partitionBy("positivos", "n").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("__in", F.coalesce(F.sum("__c").over(first), F.lit(0)))
+    strata = ranges.groupBy("positivos", "n").agg(F.sum("__c").alias("__s"))
     before = Window.orderBy("positivos", "n").rowsBetween(Window.unboundedPreceding, -1)
-    strata = strata.select("positivos", "n", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
-    nth = F.row_number().over(Window.partitionBy("positivos", "n").orderBy(hash_order(seed, key), key))
-    return patients.join(strata, ["positivos", "n"]).withColumn("fold", F.pmod(nth - 1 + F.col("__off"), F.lit(k)).cast("int")).drop("__off")
+    strata = strata.select("positivos", "n", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__off"))
+    start = ranges.join(strata, ["positivos", "n"]).select("positivos", "n", "__r", (F.col("__in") + F.col("__off")).alias("__start"))
+    nth = F.row_number().over(Window.partitionBy("positivos", "n", "__r").orderBy("__h", key))
+    dealt = hashed.join(start, ["positivos", "n", "__r"]).withColumn("fold", F.pmod(nth - 1 + F.col("__start"), F.lit(k)).cast("int"))
+    return dealt.select(*patients.columns, "fold")
 
 
 def grouped_split(df: DataFrame, patient: str = "patient_id", label: str = "label", test: float = 0.20, val: float = 0.15, seed: int = 42) -> DataFrame:

@@ -5,57 +5,75 @@ Thresholds never see test rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import metrics, roc
+from . import roc
+from .ranked import bucketed
 
 
-def strategies(val: DataFrame, group: str = "grupo", label: str = "label", prob: str = "prob", target: float = 0.85, min_n: int = 25) -> tuple[float, DataFrame]:
-    """(the single threshold, per group of val its thresholds u_grupo and u_sens).
+def strategies(val: DataFrame, group: str = "grupo", label: str = "label", prob: str = "prob", target: float = 0.85, min_n: int = 25) -> DataFrame:
+    """u_unico, u_grupo, u_sens per group of val, and with a null group the single threshold of all of val.
 
-    Groups with fewer than min_n rows or one class take the single threshold.
+    Groups with fewer than min_n rows or one class take the single threshold (0.5 where val as a whole has one class).
+    Rows are collapsed to cells once; the curve of all is that of the groups' cells summed.
     """
-    by = [group]
-    single = roc.youden_threshold(val, prob, label).first()["umbral"]
-    points = roc.curve(roc.cells(val, prob, label, by), by)
-    small = (F.max("p") + F.max("n") < min_n) | (F.max("p") == 0) | (F.max("n") == 0)
-    one = F.lit(single).cast("double")
-    own = points.groupBy(group).agg(F.when(small, one).otherwise(roc.youden()).alias("u_grupo"), F.when(small, one).otherwise(roc.at_sensitivity(target)).alias("u_sens"))
-    return single, own
-
-
-def attach(test: DataFrame, own: DataFrame, single: float, group: str = "grupo") -> DataFrame:
-    """Test rows with their thresholds; groups that val lacks take the single one. A left join on the group."""
-    out = test.join(own, group, "left")
-    fallback = F.lit(single).cast("double")
-    return out.withColumns({"u_unico": fallback, "u_grupo": F.coalesce("u_grupo", fallback), "u_sens": F.coalesce("u_sens", fallback)})
+    found = roc.cells(val, prob, label, [group]).withColumn("todo", F.lit(False))
+    every = found.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).select(F.lit(None).cast(found.schema[group].dataType).alias(group), "score", "pos", "neg", F.lit(True).alias("todo"))
+    by = ["todo", "g"]
+    both = bucketed(found, "score", "pos").unionByName(bucketed(every, "score", "pos")).withColumn("g", F.coalesce(F.col(group).cast("string"), F.lit("")))
+    points = roc.curve(both, by)
+    enough = (F.max("p") + F.max("n") >= min_n) & (F.max("p") > 0) & (F.max("n") > 0)
+    own = points.groupBy(*by).agg(F.max(group).alias(group), roc.youden().alias("youden"), roc.at_sensitivity(target).alias("reached"), enough.alias("enough"))
+    # The row of all of val is one more row of a small table; every other row reads it.
+    single = F.coalesce(F.max(F.when(F.col("todo"), F.col("youden"))).over(Window.partitionBy()), F.lit(0.5))
+    own = own.select(group, "todo", single.alias("u_unico"), "youden", "reached", "enough")
+    pick = lambda c: F.when(F.col("enough") & ~F.col("todo"), F.col(c)).otherwise(F.col("u_unico"))
+    return own.select(group, "u_unico", pick("youden").alias("u_grupo"), pick("reached").alias("u_sens"))
+
+
+def attach(test: DataFrame, own: DataFrame, group: str = "grupo") -> DataFrame:
+    """Test rows (or cells) with their thresholds; groups that val lacks take the single one. A left join on the group."""
+    single = own.filter(F.col(group).isNull()).select("u_unico").scalar()
+    out = test.join(own.filter(F.col(group).isNotNull()).drop("u_unico"), group, "left").withColumn("u_unico", F.coalesce(single, F.lit(0.5)))
+    return out.withColumns({c: F.coalesce(c, "u_unico") for c in ("u_grupo", "u_sens")})
 
 
 def evaluate(val: DataFrame, test: DataFrame, group: str = "grupo", label: str = "label", prob: str = "prob", target: float = 0.85, min_n: int = 25) -> DataFrame:
-    """estrategia, grupo, umbral, n, auroc, sensibilidad, especificidad, fnr: three strategies on test, by group."""
-    single, own = strategies(val, group, label, prob, target, min_n)
-    ready = attach(test, own, single, group)
+    """estrategia, grupo, umbral, n, auroc, sensibilidad, especificidad, fnr, tp, fn, p: three strategies on test, by group.
+
+    Test rows are collapsed to cells once; all counts and the area come from them. p: positives of all of test (for `summary`).
+    """
+    found = bucketed(roc.cells(test, prob, label, [group]), "score", "pos")
+    ready = attach(found, strategies(val, group, label, prob, target, min_n), group)
     names = [("umbral_unico", "u_unico"), ("umbral_por_grupo", "u_grupo"), (f"sensibilidad_{target:.2f}_por_grupo", "u_sens")]
-    kinds = F.array(*(F.struct(F.lit(k).alias("orden"), F.lit(n).alias("estrategia"), F.col(c).alias("umbral")) for k, (n, c) in enumerate(names)))
-    long = ready.select(group, label, prob, F.explode(kinds).alias("x")).select(group, label, prob, "x.*")
-    # One pass counts all strategies; the area does not depend on the threshold.
-    by = ["orden", "estrategia", group]
-    base = long.dropna(subset=[label, prob, group]).groupBy(*by).agg(F.max("umbral").alias("umbral"), *(c.alias(k) for k, c in metrics.confusion(F.col(label), F.col(prob), F.col("umbral")).items()))
-    base = base.filter((F.col("n") >= min_n) & (F.col("tp") + F.col("fn") > 0) & (F.col("tn") + F.col("fp") > 0))
-    out = base.join(roc.auroc(test, prob, label, [group]), group)
-    return out.select("orden", "estrategia", F.col(group).cast("string").alias("grupo"), "n", "umbral", "auroc", "sensibilidad", "especificidad", "fnr", "tp", "fn")
+    sums = {f"{side}_{c}": F.when(F.col("score") >= F.col(c), F.col(side)).otherwise(0) for _, c in names for side in ("pos", "neg")}
+    found = roc.summary(ready, [group, *(c for _, c in names)], sums)
+    rows = F.array(*(F.struct(F.lit(k).alias("orden"), F.lit(n).alias("estrategia"), F.col(c).alias("umbral"), F.col(f"pos_{c}").alias("tp"), F.col(f"neg_{c}").alias("fp")) for k, (n, c) in enumerate(names)))
+    long = found.select(group, "p", "n", "auroc", F.explode(rows).alias("x")).select(group, F.col("p").alias("pos"), F.col("n").alias("neg"), "auroc", "x.*")
+    long = long.withColumn("positivos", F.sum("pos").over(Window.partitionBy("orden"))).withColumn("detectados", F.sum("tp").over(Window.partitionBy("orden")))  # over groups
+    out = long.filter((F.col("pos") + F.col("neg") >= min_n) & (F.col("pos") > 0) & (F.col("neg") > 0))
+    return out.select(
+        "orden", "estrategia", F.col(group).cast("string").alias("grupo"), (F.col("pos") + F.col("neg")).alias("n"), "umbral", "auroc",
+        roc.rate("tp", "pos").alias("sensibilidad"), (F.lit(1.0) - roc.rate("fp", "neg")).alias("especificidad"), (F.lit(1.0) - roc.rate("tp", "pos")).alias("fnr"),
+        "tp", (F.col("pos") - F.col("tp")).alias("fn"), "detectados", "positivos",
+    )
 
 
 def summary(evaluated: DataFrame) -> DataFrame:
-    """Per strategy: brecha_fnr, fnr_maximo, peor_grupo (the first by name of equals), and its own overall sensitivity."""
+    """Per strategy: brecha_fnr, fnr_maximo, peor_grupo (the first by name of equals), and overall sensitivities.
+
+    sensibilidad_propia is over the groups that are judged, sensibilidad_todos over all of test, small groups too, each
+    at its own thresholds; sensibilidad_global is that of the single threshold, which the published tables give beside every strategy.
+    """
     worst = F.max_by("grupo", F.struct("fnr", F.expr("transform(split(grupo, ''), c -> -ascii(c))").alias("back")))
     return evaluated.groupBy("orden", "estrategia").agg(
         (F.max("fnr") - F.min("fnr")).alias("brecha_fnr"),
         F.max("fnr").alias("fnr_maximo"),
         worst.alias("peor_grupo"),
-        (F.sum("tp") / F.sum(F.col("tp") + F.col("fn"))).alias("sensibilidad_propia"),
-    )
+        F.try_divide(F.sum("tp").cast("double"), F.sum(F.col("tp") + F.col("fn")).cast("double")).alias("sensibilidad_propia"),
+        F.max(roc.rate("detectados", "positivos")).alias("sensibilidad_todos"),
+    ).withColumn("sensibilidad_global", F.max(F.when(F.col("orden") == 0, F.col("sensibilidad_todos"))).over(Window.partitionBy()))  # a row a strategy
 
 
 def choose(summed: DataFrame) -> DataFrame:

@@ -88,15 +88,16 @@ def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(STRATEGIES + "select estrategia, grupo, n, round(umbral, 6) as umbral, round(auroc, 6) as auroc, round(sensibilidad, 6) as sensibilidad, round(especificidad, 6) as especificidad, round(fnr, 6) as fnr from evaluated")
 def threshold_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds from val, applied to test, by group, under three strategies."""
-    return rounded(_evaluated(spark, sf_dir).drop("orden", "tp", "fn"))
+    return rounded(_evaluated(spark, sf_dir).drop("orden", "tp", "fn", "detectados", "positivos"))
 
 
 SUMMARY = STRATEGIES + """, summed as (select orden, estrategia, max(fnr) - min(fnr) as brecha_fnr, max(fnr) as fnr_maximo, (list(grupo order by fnr desc, grupo))[1] as peor_grupo,
-  cast(sum(tp) as double) / sum(tp + fn) as sensibilidad_propia from evaluated group by orden, estrategia)
+  cast(sum(tp) as double) / sum(tp + fn) as sensibilidad_propia from evaluated group by orden, estrategia),
+every as (select orden, cast(sum(tp) as double) / sum(tp + fn) as todos from counted group by orden)
 """
 
 
-@query(SUMMARY + "select estrategia, round(brecha_fnr, 6) as brecha_fnr, round(fnr_maximo, 6) as fnr_maximo, peor_grupo, round(sensibilidad_propia, 6) as sensibilidad_propia from summed")
+@query(SUMMARY + "select estrategia, round(brecha_fnr, 6) as brecha_fnr, round(fnr_maximo, 6) as fnr_maximo, peor_grupo, round(sensibilidad_propia, 6) as sensibilidad_propia, round(todos, 6) as sensibilidad_todos, round((select todos from every where orden = 0), 6) as sensibilidad_global from summed join every using (orden)")
 def strategy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(thresholds.summary(_evaluated(spark, sf_dir)).drop("orden"))
 
@@ -121,14 +122,23 @@ def auprc_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(roc.auprc(A.predictions(spark, sf_dir), "prob", "label", ["grupo"]))
 
 
-@query(f"select grupo, round({BEST_J}, 6) as umbral from ({curve_sql(P, 'grupo')}) group by grupo")
+# Two more groups: one of negatives alone, one of positives alone.
+ONE_CLASS = f"select * replace (case when l_quantity = 50 then case when label = 1 then 'P' else 'N' end else grupo end as grupo) from ({P})"
+
+
+def _one_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alone = F.when(F.col("label") == 1, "P").otherwise("N")
+    return A.predictions(spark, sf_dir).withColumn("grupo", F.when(F.col("l_quantity") == 50, alone).otherwise(F.col("grupo")))
+
+
+@query(f"select grupo, round(case when max(p) > 0 and max(n) > 0 then arg_max(score, tp / nullif(p, 0) - fp / nullif(n, 0) + score * 1e-13) end, 6) as umbral from ({curve_sql(ONE_CLASS, 'grupo')}) group by grupo")
 def youden_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(roc.youden_threshold(A.predictions(spark, sf_dir), "prob", "label", ["grupo"]))
+    return rounded(roc.youden_threshold(_one_class(spark, sf_dir), "prob", "label", ["grupo"]))
 
 
-@query(f"select grupo, round({REACHED.format(t='0.9e0')}, 6) as umbral from ({curve_sql(P, 'grupo')}) group by grupo")
+@query(f"select grupo, round(case when max(p) > 0 and max(n) > 0 then max(case when tp / nullif(p, 0) >= 0.9e0 then score end) else 0.5e0 end, 6) as umbral from ({curve_sql(ONE_CLASS, 'grupo')}) group by grupo")
 def sensitivity_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(roc.sensitivity_threshold(A.predictions(spark, sf_dir), "prob", "label", 0.9, ["grupo"]))
+    return rounded(roc.sensitivity_threshold(_one_class(spark, sf_dir), "prob", "label", 0.9, ["grupo"]))
 
 
 @query(f"""
@@ -139,11 +149,22 @@ def sensitivity_threshold_collinear(spark: SparkSession, sf_dir: str) -> DataFra
     return rounded(roc.sensitivity_threshold(A.predictions(spark, sf_dir), "prob", "label", 0.9, ["grupo"], drop_intermediate=True))
 
 
-@query()
-def auroc_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 95 % interval by hash-made Poisson weights; beyond SQL only because the hash is Spark's."""
-    rows = A.predictions(spark, sf_dir).select("image_path", "label", "prob", "grupo")
-    return roc.bootstrap_auroc(rows, "prob", "label", 20, 7, ["grupo"])
+REPLICAS = 100
+POISSON = "case least(" + str(roc.CHUNK) + ", c - 8 * i0) " + " ".join(f"when {k} then " + " + ".join(f"cast(u >= {c} as bigint)" for c in roc.poisson_cuts(k)) for k in range(1, roc.CHUNK + 1)) + " end"
+DRAWN = f"""with cells as (select grupo, prob as score, sum(label) as pos, sum(1 - label) as neg from ({P}) group by 1, 2),
+sides as (select grupo, score, 'p' as side, pos as c from cells where pos > 0 union all select grupo, score, 'n', neg from cells where neg > 0),
+draws as (select grupo, score, side, replica, c, i0, cast('0x' || substr(md5('7:' || replica || ':' || grupo || ':' || score || ':' || side || ':' || case when c - 8 * i0 < 8 then 0 else i0 + 1 end), 1, 8) as bigint) as u
+  from (select *, unnest(generate_series(0, cast((c + 7) // 8 as bigint) - 1)) as i0 from sides), generate_series(1, {REPLICAS}) r(replica)),
+weighed as (select grupo, replica, score, cast(coalesce(sum({POISSON}) filter (side = 'p'), 0) as double) as pos, cast(coalesce(sum({POISSON}) filter (side = 'n'), 0) as double) as neg from draws group by 1, 2, 3),
+points as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over (partition by grupo, replica) as p, sum(neg) over (partition by grupo, replica) as n from weighed where pos + neg > 0 window w as (partition by grupo, replica order by score desc rows unbounded preceding)),
+each as (select grupo, replica, {AREA} as auroc, sum(pos * tp / (tp + fp)) / max(p) as auprc from points group by 1, 2)
+select grupo, {", ".join(f"round(quantile_cont({m}, {q}), 6) as {m}_{e}" for m in ("auroc", "auprc") for e, q in (("lo", 0.025), ("hi", 0.975)))} from each group by grupo"""
+
+
+@query(DRAWN)
+def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """95 % intervals of both areas, from weights that md5 makes."""
+    return rounded(roc.bootstrap(A.predictions(spark, sf_dir), "prob", "label", REPLICAS, 7, ["grupo"]))
 
 
 # --- metrics ------------------------------------------------------------------------------------
@@ -256,9 +277,20 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.judge(A.measures(spark, sf_dir))
 
 
-@query(JUDGED + "select photo_id, veredicto, reglas, veredicto <> 'rechazada' as aceptable from judged")
+ADVICE = "case split_part(reglas, '|', 1) " + " ".join(f"when '{r.name}' then '{r.advice}'" for r in gate.RULES) + f" else '{gate.NO_PROBLEM}' end"
+
+
+@query(JUDGED + f"select photo_id, veredicto, reglas, veredicto <> 'rechazada' as aceptable, {ADVICE} as mensaje from judged")
 def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _judged(spark, sf_dir).select("photo_id", "veredicto", "reglas", "aceptable")
+    return _judged(spark, sf_dir).select("photo_id", "veredicto", "reglas", "aceptable", "mensaje")
+
+
+@query(f"""select count(*) filter (coalesce(lado_corto < 250, false) or coalesce(nitidez_normalizada < 0.005e0, false) or brillo_medio < 0.1e0 or fraccion_apagada > 0.2e0 or brillo_medio > 0.95e0 or fraccion_quemada > 0.1e0 or fraccion_reflejo_mayor > 0.045e0
+ or rango_dinamico < 0.25e0 or estructura < 0.04e0 or tinte > 0.45e0) as rechazada, count(*) as total from ({A.MEASURES})""")
+def gate_overridden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate with some thresholds replaced by name, as text or number."""
+    u = gate.thresholds(lado_corto_min="250", nitidez_min=0.005, brillo_min="0.1", brillo_max=0.95, apagada_max=0.2, reflejo_max="0.045")
+    return gate.verdict_counts(gate.judge(A.measures(spark, sf_dir), u)).select("rechazada", "total")
 
 
 @query(JUDGED + "select count(*) filter (veredicto = 'aceptada') as aceptada, count(*) filter (veredicto = 'dudosa') as dudosa, count(*) filter (veredicto = 'rechazada') as rechazada, count(*) as total, round(cast(count(*) filter (veredicto = 'rechazada') as double) / count(*), 6) as tasa from judged")
@@ -319,11 +351,21 @@ def directed_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(calibration.directed_auc(A.measures(spark, sf_dir)))
 
 
-@query(DIRECTED + ", best as (select medida, sentido, arg_max(score, tp / p - fp / n + score * 1e-13) as cut, arg_max(tp / p, tp / p - fp / n + score * 1e-13) as sens from points where sentido <> 'ambos' group by all) "
-       "select medida, round(auc, 6) as auc, round(case when sentido = 'bajo' then -cut else cut end, 6) as corte, round(sens, 6) as sens from best join areas using (medida, sentido) where auc >= 0.5e0")
+# A label that two of the measures tell something about.
+TELLING = f"select * replace (case when nitidez_global * 200 + lado_corto % 5 < 5.5e0 or tinte > 0.5e0 then 1 else 0 end as no_evaluable) from ({A.MEASURES})"
+
+
+def _in_use() -> str:
+    use = gate.Thresholds()
+    return "case medida " + " ".join(f"when '{m}' then {float(getattr(use, t))}" for m, t in calibration.THRESHOLD_OF.items()) + " end"
+
+
+@query(DIRECTED.replace(A.MEASURES, TELLING) + f""", best as (select medida, sentido, arg_max(score, j) as cut, arg_max(tp / p, j) as sens, arg_max(1 - fp / n, j) as esp from (select *, tp / p - fp / n + score * 1e-13 as j from points) where sentido <> 'ambos' group by all)
+select medida, round(auc, 6) as auc, round(case when sentido = 'bajo' then -cut else cut end, 6) as corte, round(sens, 6) as sens, round(esp, 6) as esp, round(cast({_in_use()} as double), 6) as actual from best join areas using (medida, sentido) where auc >= 0.57e0""")
 def suggested_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On these tables no measure tells anything, so the bar for a cut is 0.5 here."""
-    return rounded(calibration.suggested_cuts(A.measures(spark, sf_dir), least=0.5).select("medida", "auc", "corte", "sens"))
+    df = A.measures(spark, sf_dir)
+    told = (F.col("nitidez_global") * 200 + F.col("lado_corto") % 5 < 5.5) | (F.col("tinte") > 0.5)
+    return rounded(calibration.suggested_cuts(df.withColumn("no_evaluable", told.cast("int"))))
 
 
 # --- raters -------------------------------------------------------------------------------------
@@ -409,9 +451,13 @@ def unknown_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.unknown_diagnoses(_meta(spark, sf_dir))
 
 
-@query("select page_id, case when regexp_matches(lower(url), '\\.(png|jpg|jpeg)$') then 'https://x/' || url end as url from pages")
+@query("""select page_id, case when regexp_matches(lower(path), '\\.(png|jpg|jpeg)$') then 'https://x/' || ltrim(path, '/') end as url
+ from (select page_id, case when page_id % 2 = 0 then '/' else '' end || 'p/' || page_id || case page_id % 5 when 0 then '.png' when 1 then '.JPG' when 2 then '.jpeg' when 3 then '.gif' else '' end as path from pages)""")
 def image_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.table(spark, sf_dir, "pages").select("page_id", scalars.image_url("https://x", F.col("url")).alias("url"))
+    k = F.col("page_id")
+    suffix = F.when(k % 5 == 0, ".png").when(k % 5 == 1, ".JPG").when(k % 5 == 2, ".jpeg").when(k % 5 == 3, ".gif").otherwise("")
+    path = F.concat(F.when(k % 2 == 0, "/").otherwise(""), F.lit("p/"), k.cast("string"), suffix)
+    return A.table(spark, sf_dir, "pages").select("page_id", scalars.image_url("https://x/", path).alias("url"))
 
 
 # --- joins and manifests ------------------------------------------------------------------------
@@ -541,14 +587,20 @@ def simple_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.sample(A.predictions(spark, sf_dir).select("image_path"), 500)
 
 
-@query(FILED + f""", parts as (select image_path, 's1_' || img_id as patient_id, {LABEL} as label, 's1' as source from filed where {LABEL} is not null union all select image_path || '#2', 's2_' || img_id, {LABEL}, 's2' from filed where {LABEL} is not null)
-select source, count(*) as n, count(distinct patient_id) as pacientes, cast(sum(label) as bigint) as positivos from parts group by 1""")
+def _split_sql(rows: str, taken: str) -> str:
+    """CTEs that end in `done`: the rows of the named CTE (patient_id, label) with their split."""
+    return f"""people as (select patient_id, count(*) as n, cast(sum(label) as bigint) as positivos from {rows} group by 1), a as ({_deal("select * from people", 5, 42)}),
+rest as (select patient_id, n, positivos from a where fold <> 0), b as ({_deal("select * from rest", 5, 43)}),
+named as (select patient_id, 'test' as split from a where fold = 0 union all select patient_id, case when fold = 0 then 'val' else 'train' end from b), {taken} as (select r.*, named.split from {rows} r join named using (patient_id))"""
+
+
+@query(FILED + f""", parts as (select image_path, 's1_' || img_id as patient_id, {LABEL} as label, 's1' as source from filed where {LABEL} is not null union all select image_path || '#2', 's2_' || img_id, {LABEL}, 's2' from filed where {LABEL} is not null),
+{_split_sql("parts", "done")} select image_path, patient_id, cast(label as bigint) as label, source, split from done""")
 def combined_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = _phone(spark, sf_dir).withColumn("source", F.lit("s1"))
     one = one.withColumn("patient_id", F.regexp_extract("image_path", r"/fotos/(.*)\.[^.]+$", 1))
     two = one.withColumns({"source": F.lit("s2"), "image_path": F.concat("image_path", F.lit("#2"))})
-    done = manifest.combine([one, two])
-    return done.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("patient_id").alias("pacientes"), F.sum("label").alias("positivos"))
+    return rounded(manifest.combine([one, two]).select("image_path", "patient_id", "label", "source", "split"))
 
 
 # --- several photos of one subject --------------------------------------------------------------
@@ -560,19 +612,23 @@ def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "events").select(F.col("user_id").alias("group_id"), F.col("event_id").alias("photo_id"), F.col("event_type").alias("view"), ((F.floor("value").cast("long") % 100) / 100.0).alias("prob"))
 
 
-@query(f"select group_id, n, round(m, 4) as media, round(s, 4) as desviacion, round(r, 4) as rango, s <= 0.15e0 and r <= 0.3e0 as coherente from (select group_id, count(*) as n, avg(prob) as m, coalesce(stddev_samp(prob), 0) as s, max(prob) - min(prob) as r from ({VIEWS}) group by 1)")
+@query(f"select group_id, n, round(m, 4) as media, round(s, 4) as desviacion, round(r, 4) as rango, s <= 0.15e0 and r <= 0.3e0 as coherente, case when n = 1 then '{concordance.ONE}' when s <= 0.15e0 and r <= 0.3e0 then '{concordance.AGREE}' else '{concordance.DISAGREE}' end as mensaje from (select group_id, count(*) as n, avg(prob) as m, coalesce(stddev_samp(prob), 0) as s, max(prob) - min(prob) as r from ({VIEWS}) group by 1)")
 def concordance_of_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return concordance.predictions(_views(spark, sf_dir)).drop("mensaje")
+    return concordance.predictions(_views(spark, sf_dir))
 
 
-HISTS = "select vec_id // 4 as group_id, vec_id % 4 as pos, list_transform(embedding, lambda x: cast(x as double)) as h from embeddings"
+# Every ninth photo has no histogram, and every 25th a flat one.
+HISTS = "select vec_id // 4 as group_id, vec_id % 4 as pos, case when vec_id % 9 = 4 then null when vec_id % 25 = 7 then list_transform(embedding, lambda x: 1e0) else list_transform(embedding, lambda x: cast(x as double)) end as h from embeddings"
 
 
-@query(f"""with h as ({HISTS}), c as (select a.group_id, (s12 - s1 * s2 / 64) / sqrt((s11 - s1 * s1 / 64) * (s22 - s2 * s2 / 64)) as c from (select a.group_id, a.pos, b.pos as bpos, list_sum(a.h) as s1, list_sum(b.h) as s2, list_inner_product(a.h, b.h) as s12, list_inner_product(a.h, a.h) as s11, list_inner_product(b.h, b.h) as s22 from h a join h b on a.group_id = b.group_id and a.pos < b.pos) a)
-select group_id, n, round(coalesce(lo, 1), 4) as similitud_minima, round(mean, 4) as similitud_media, coalesce(lo, 1) >= 0.55e0 as coherente from (select group_id, count(*) as n from h group by 1) left join (select group_id, min(c) as lo, avg(c) as mean from c group by 1) using (group_id)""")
+@query(f"""with h as ({HISTS}), c as (select a.group_id, case when s11 - s1 * s1 / 64 < 1e-9 or s22 - s2 * s2 / 64 < 1e-9 then 1 else (s12 - s1 * s2 / 64) / sqrt((s11 - s1 * s1 / 64) * (s22 - s2 * s2 / 64)) end as c from (select a.group_id, a.pos, b.pos as bpos, list_sum(a.h) as s1, list_sum(b.h) as s2, list_inner_product(a.h, b.h) as s12, list_inner_product(a.h, a.h) as s11, list_inner_product(b.h, b.h) as s22 from h a join h b on a.group_id = b.group_id and a.pos < b.pos where a.h is not null and b.h is not null) a)
+select group_id, n, comparadas, round(coalesce(lo, 1), 4) as similitud_minima, round(mean, 4) as similitud_media, coalesce(lo, 1) >= 0.55e0 as coherente,
+ case when comparadas <= 1 then '{concordance.ONE}' when coalesce(lo, 1) >= 0.55e0 then '{concordance.SAME}' else '{concordance.OTHER}' end as mensaje from (select group_id, count(*) as n, count(h) as comparadas from h group by 1) left join (select group_id, min(c) as lo, avg(c) as mean from c group by 1) using (group_id)""")
 def same_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = A.table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("group_id"), (F.col("vec_id") % 4).alias("pos"), F.col("embedding").alias("hist"))
-    return concordance.same_subject(df).drop("mensaje")
+    own = F.col("embedding").cast("array<double>")
+    hist = F.when(F.col("vec_id") % 9 == 4, None).when(F.col("vec_id") % 25 == 7, F.transform(own, lambda x: F.lit(1.0))).otherwise(own)
+    df = A.table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("group_id"), (F.col("vec_id") % 4).alias("pos"), hist.alias("hist"))
+    return concordance.same_subject(df)
 
 
 @query(f"select group_id, round(avg(prob), 6) as prob from ({VIEWS}) group by 1")
@@ -590,11 +646,40 @@ def top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ensembles.top_scores(_views(spark, sf_dir), "group_id", tie="photo_id").select("group_id", "photo_id", "prob", "rank"))
 
 
-@query(f"with s as (select seed, avg(prob) as a, avg(cast(label as double)) as b from ({P}) group by 1) select 'a' as metrica, round(avg(a), 6) as media, round(stddev_samp(a), 6) as std, cast(count(*) as bigint) as semillas from s union all select 'b', round(avg(b), 6), round(stddev_samp(b), 6), count(*) from s")
+SHOWN = "string_agg(cast(cast(round({0}, 6) as decimal(18, 6)) as varchar), ' ' order by seed)"
+
+
+@query(f"with s as (select seed, avg(prob) as a, avg(cast(label as double)) as b from ({P}) group by 1) select 'a' as metrica, round(avg(a), 6) as media, round(stddev_samp(a), 6) as std, {SHOWN.format("a")} as valores from s union all select 'b', round(avg(b), 6), round(stddev_samp(b), 6), {SHOWN.format("b")} from s")
 def seed_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = A.predictions(spark, sf_dir).groupBy("seed").agg(F.avg("prob").alias("a"), F.avg("label").alias("b"))
     out = ensembles.seed_spread(one, ["a", "b"])
-    return rounded(out.select("metrica", "media", "std", F.size("valores").alias("semillas")))
+    shown = F.array_join(F.transform("valores", lambda v: F.round(v, 6).cast("decimal(18,6)").cast("string")), " ")
+    return rounded(out.select("metrica", "media", "std", shown.alias("valores")))
+
+
+SEEDED = f"""with f as (select seed, source as estrategia, grupo, cast(count(*) filter (label = 1 and prob < 0.5e0) as double) / count(*) filter (label = 1) as fnr from ({P}) group by all),
+gaps as (select seed, estrategia, max(fnr) - min(fnr) as brecha_fnr, max(case when grupo = 'O1' then fnr end) as banda from f group by all)
+"""
+
+
+def _gaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    each = metrics.binary_metrics(A.predictions(spark, sf_dir), 0.5, by=["seed", "source", "grupo"]).withColumnRenamed("source", "estrategia")
+    return each.groupBy("seed", "estrategia").agg((F.max("fnr") - F.min("fnr")).alias("brecha_fnr")), each.filter("grupo = 'O1'").select("estrategia", "seed", "fnr")
+
+
+@query(SEEDED + "select estrategia, round(avg(brecha_fnr), 6) as brecha_media, round(stddev_samp(brecha_fnr), 6) as brecha_std, count(*) as semillas, round(avg(banda), 6) as fnr_medio_banda from gaps group by 1")
+def strategies_over_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(thresholds.over_seeds(*_gaps(spark, sf_dir)))
+
+
+CONFIGURED = f"select seed as orden, 'c' || seed as configuracion, round(avg(abs(prob - label)), 3) as error, seed % 3 <> 0 as desplegable from ({P}) group by seed"
+
+
+@query(f"select (list(configuracion order by error desc, orden))[1] as mejor, (list(configuracion order by error desc, orden) filter (desplegable))[1] as mejor_desplegable from ({CONFIGURED})")
+def best_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = A.predictions(spark, sf_dir).groupBy(F.col("seed").alias("orden")).agg(F.round(F.avg(F.abs(F.col("prob") - F.col("label"))), 3).alias("error"))
+    table = table.withColumns({"configuracion": F.concat(F.lit("c"), F.col("orden").cast("string")), "desplegable": F.col("orden") % 3 != 0})
+    return thresholds.best_configuration(table, "error")
 
 
 HISTORY = "select o_custkey as run, row_number() over (partition by o_custkey order by o_orderkey) as epoch, cast(cast(floor(o_totalprice) as bigint) % 100 as double) / 100e0 as val_auroc, cast(o_orderkey % 100 as double) / 100e0 as train_auroc from orders"
@@ -619,25 +704,24 @@ def photo_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def photo_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All measures and the verdict of every photo, at the canonical size."""
+    """All measures and the verdict of every photo, enlarged to the side of 64; photo_queries has the same with SQL, without enlarging."""
     return gate.judge(measures.measure(A.photos(spark, sf_dir), 64)).drop("problemas")
 
 
-@query()
-def photo_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measures.histograms(A.photos(spark, sf_dir))
+FLIPPED = {"original": "i - 1", "horizontal": "(i - 1) // 8 * 8 + 7 - (i - 1) % 8", "vertical": "(7 - (i - 1) // 8) * 8 + (i - 1) % 8", "ambos": "64 - i"}
 
 
-@query("select cast(vec_id as varchar) as photo_id, view, 64 as n from embeddings, (values ('original'), ('horizontal'), ('vertical'), ('ambos')) v(view)")
+@query(" union all ".join(f"select cast(vec_id as varchar) as photo_id, '{v}' as view, string_agg(printf('%02X', g), '' order by {at}) as datos from ({A.GRAY}) group by vec_id" for v, at in FLIPPED.items()))
 def flip_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measures.flip_views(A.photos(spark, sf_dir)).select("photo_id", "view", F.length("data").alias("n"))
+    return measures.flip_views(A.photos(spark, sf_dir)).select("photo_id", "view", F.hex("data").alias("datos"))
 
 
-@query("""with s as (select p_partkey, 100 + p_size * 10 as width, 90 + p_size * 7 as height from part), d as (select distinct p_partkey, width, height, cast(floor(least(width, height) * k) as int) as side from s, (values (1e0), (0.6e0), (0.4e0)) t(k)),
+@query("""with s as (select p_partkey, 40 + p_size * 10 as width, 30 + p_size * 7 as height from part), d as (select distinct p_partkey, width, height, cast(floor(least(width, height) * k) as int) as side from s, (values (1e0), (0.6e0), (0.4e0)) t(k)),
 k as (select * from d where side >= 64)
+select cast(p_partkey as varchar) as photo_id, 0 as x, 0 as y, null as side from s where least(width, height) < 64 union all
 select cast(p_partkey as varchar) as photo_id, cast(x as bigint) as x, cast(y as bigint) as y, cast(side as bigint) as side from (select *, unnest(generate_series(0, width - side, greatest(1, side // 2))) as x from k) a, lateral (select unnest(generate_series(0, height - side, greatest(1, side // 2))) as y)""")
 def crop_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = A.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("photo_id"), (100 + F.col("p_size") * 10).alias("width"), (90 + F.col("p_size") * 7).alias("height"))
+    size = A.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("photo_id"), (40 + F.col("p_size") * 10).alias("width"), (30 + F.col("p_size") * 7).alias("height"))
     return rounded(measures.crops(size))
 
 
