@@ -17,21 +17,20 @@ import zstandard
 from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shared
 from .textblocks import chunks, utf8_column
 
 ORDER = 4
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 50_000
 SYMBOLS = 257  # bytes, and the border before a text
 
 
-def pin_splits(spark: SparkSession) -> None:
-    """Two scans of a table cut it alike, however many executors there are at the time."""
-    shared.bound_batches(spark)
+def settings(spark: SparkSession) -> dict[str, str]:
+    """Small batches, and two scans of a table that cut it alike, however many executors there are at the time."""
     name = "spark.sql.files.minPartitionNum"
-    if not spark.conf.get(name, None):
-        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    return shared.small_batches(spark, BLOCK_BYTES) | {name: spark.conf.get(name, None) or str(spark.sparkContext.defaultParallelism)}
 
 
 def _grams(part: np.ndarray, inner: np.ndarray, order: int) -> np.ndarray:
@@ -57,11 +56,11 @@ def _key(column: pa.Array) -> int:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Runs of rows, each with a name made from its rows.
 
-    A run ends with the row at which its texts reach BLOCK_BYTES, wherever batches end, since two scans
-    that select other columns may be cut into batches in other places.
+    A run ends with the row at which its texts reach BLOCK_BYTES or its rows BLOCK_ROWS, wherever batches end,
+    since two scans that select other columns may be cut into batches in other places.
     """
     held: list[pa.RecordBatch] = []
-    n_held = 0
+    n_held = rows_held = 0
 
     def block() -> tuple[int, pa.RecordBatch]:
         out = pa.concat_batches(held)
@@ -72,13 +71,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
         at = 0
         while at < batch.num_rows:
             to = int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES - n_held, side="left"))
-            to = min(max(to, at + 1), batch.num_rows)
+            to = min(max(to, at + 1), at + BLOCK_ROWS - rows_held, batch.num_rows)
             held.append(batch.slice(at, to - at))
             n_held += int(offsets[to] - offsets[at])
+            rows_held += to - at
             at = to
-            if n_held >= BLOCK_BYTES:
+            if n_held >= BLOCK_BYTES or rows_held >= BLOCK_ROWS:
                 yield block()
-                held, n_held = [], 0
+                held, n_held, rows_held = [], 0, 0
     if held:
         yield block()
 
@@ -86,24 +86,29 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
 CHANGED = "the rows changed between two scans"
 
 
-def twice_alike(rows: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """work(rows); if two scans of the rows turn out unlike (say, behind a shuffle), once more on a written copy."""
-    try:
-        return work(rows)
-    except PythonException as e:
-        if CHANGED not in str(e):
-            raise
-        return work(shared.written(rows, "rows"))
+def twice_alike(rows: DataFrame, work: Callable[[DataFrame, shared.Steps], DataFrame]) -> DataFrame:
+    """The written result of work(rows, steps); if two scans of the rows turn out unlike (say, behind a shuffle), once more on a written copy."""
+    spark = rows.sparkSession
+    with shared.held(spark, settings(spark)):
+        try:
+            with shared.Steps(spark) as steps:
+                return steps.write(work(rows, steps), "scores", keep=True)
+        except PythonException as e:
+            if CHANGED not in str(e):
+                raise
+        with shared.Steps(spark) as steps:
+            return steps.write(work(steps.write(rows, "rows"), steps), "scores", keep=True)
 
 
-def keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """doc_id, text and the named columns, with a key made of doc_id and text."""
+def keyed(docs: DataFrame, *columns: str, whole: bool = False) -> DataFrame:
+    """doc_id, text and the named columns, with a key made of doc_id and text; whole: with all other columns in `row`."""
     text = shared.text_column(docs)
-    chosen = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), *(docs[c].cast("string").alias(c) for c in columns))
+    more = [shared.boxed(docs)] if whole else []
+    chosen = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), *(docs[c].cast("string").alias(c) for c in columns), *more)
     return chosen.withColumn("row_key", F.xxhash64("doc_id", "text"))
 
 
-def gram_requests(rows: DataFrame, chosen: np.ndarray, order: int = ORDER) -> DataFrame:
+def gram_requests(rows: DataFrame, chosen: np.ndarray, steps: shared.Steps, order: int = ORDER) -> DataFrame:
     """Per block: its name, its distinct n-grams, how often each occurs, and how often in documents of the chosen ids (sorted)."""
     own_chosen = rows.sparkSession.sparkContext.broadcast(chosen)
 
@@ -128,14 +133,14 @@ def gram_requests(rows: DataFrame, chosen: np.ndarray, order: int = ORDER) -> Da
             yield pa.RecordBatch.from_arrays([pa.array([name]), *lists], names=["block", "gram", "times", "picked"])
 
     found = rows.select("doc_id", "text", "row_key").mapInArrow(shared.trimmed(scan), "block long, gram array<long>, times array<long>, picked array<long>")
-    return shared.written(found, "grams")
+    return steps.write(found, "grams")
 
 
 def each_request(requests: DataFrame) -> DataFrame:
     return requests.select("block", F.inline(F.arrays_zip("gram", "times", "picked")))
 
 
-def kneser_ney(counts: DataFrame, wanted: DataFrame, order: int = ORDER) -> DataFrame:
+def kneser_ney(counts: DataFrame, wanted: DataFrame, steps: shared.Steps, order: int = ORDER) -> DataFrame:
     """(gram, logp): natural logs of interpolated modified Kneser-Ney probabilities of the wanted n-grams.
 
     counts (gram, c) are the model's n-grams of full order; wanted (gram) may hold others.
@@ -146,7 +151,7 @@ def kneser_ney(counts: DataFrame, wanted: DataFrame, order: int = ORDER) -> Data
     for n in range(order - 1, 0, -1):
         tables[n] = tables[n + 1].groupBy(F.col("gram").bitwiseAND(F.lit(256**n - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
     # Each level is a small table; written once, as the levels above read it again.
-    tables = {n: shared.written(t, f"order{n}") for n, t in tables.items()}
+    tables = {n: steps.write(t, f"order{n}") for n, t in tables.items()}
     found = None
     for n, t in tables.items():
         one = t.agg(F.lit(n).alias("n"), F.sum("c").alias("total"), *(F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)))
@@ -171,16 +176,16 @@ def kneser_ney(counts: DataFrame, wanted: DataFrame, order: int = ORDER) -> Data
         p = F.when(F.col("total") > 0, (F.coalesce(F.greatest("kept", F.lit(0.0)), F.lit(0.0)) + F.col("freed") * below) / F.col("total")).otherwise(below)
         low = need.select("gram", p.alias("p_low"))
         if n > 1:
-            low = shared.written(low, f"p{n}")
+            low = steps.write(low, f"p{n}")
     return low.select("gram", F.log("p_low").alias("logp"))
 
 
 def block_scores(rows: DataFrame, requests: DataFrame, values: DataFrame, order: int = ORDER) -> DataFrame:
-    """Per row: doc_id, row_key, n_bytes, total (the sum of its n-grams' values), and the named columns of rows.
+    """Per row: its columns but text, n_bytes, and total (the sum of its n-grams' values); with `row` the text too.
 
     values: (gram, value). The blocks' texts, packed, meet the blocks' values in a shuffle by block.
     """
-    extra = [c for c in rows.columns if c not in ("doc_id", "text", "row_key")]
+    carried = [c for c in rows.columns if c != "text" or "row" in rows.columns]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -210,8 +215,8 @@ def block_scores(rows: DataFrame, requests: DataFrame, values: DataFrame, order:
                         raise ValueError(CHANGED)
                     sums = np.concatenate(([0.0], np.cumsum(value[at])))
                     total[start:end] = sums[inner[1:]] - sums[inner[:-1]]
-                columns = [block.column("doc_id"), block.column("row_key"), pa.array(np.diff(offsets)), pa.array(total)]
-                yield pa.RecordBatch.from_arrays([*columns, *(block.column(c) for c in extra)], names=["doc_id", "row_key", "n_bytes", "total", *extra])
+                columns = [*(block.column(c) for c in carried), pa.array(np.diff(offsets)), pa.array(total)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*carried, "n_bytes", "total"])
 
     packed = rows.mapInArrow(shared.trimmed(pack), "block long, packed binary")
     answers = (
@@ -220,5 +225,5 @@ def block_scores(rows: DataFrame, requests: DataFrame, values: DataFrame, order:
     )
     empty = F.array().cast("array<struct<gram:bigint,value:float>>")
     met = packed.join(answers, "block", "left").select("packed", F.coalesce("found", empty).alias("found"))
-    schema = "doc_id long, row_key long, n_bytes long, total double" + "".join(f", {c} string" for c in extra)
-    return shared.written(met.mapInArrow(shared.trimmed(score), schema), "scores")
+    schema = T.StructType([rows.schema[c] for c in carried]).add("n_bytes", "long").add("total", "double")
+    return met.mapInArrow(shared.trimmed(score), schema)

@@ -23,25 +23,23 @@ NONE = np.zeros(0, dtype=np.int64)
 
 
 def trusted_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every row with text whose doc_id is trusted. Only rows that a filter of the ids lets through are shuffled."""
-    good = labels.filter("quality = 1 and doc_id is not null").select(F.xxhash64(F.col("doc_id").cast("long")).alias("id_key"), F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    _, maybe = shared.split_by_keys(rows.withColumn("id_key", F.xxhash64("doc_id")), "id_key", good)
-    return maybe.drop("id_key").join(good.select("doc_id"), "doc_id", "left_semi")
+    """Every row whose doc_id is trusted."""
+    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return rows.join(good, "doc_id", "left_semi")
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, difference (nats a byte)."""
-    lm.pin_splits(docs.sparkSession)
 
-    def scored(rows: DataFrame) -> DataFrame:
-        requests = lm.gram_requests(rows, NONE)
+    def scored(rows: DataFrame, steps: shared.Steps) -> DataFrame:
+        requests = lm.gram_requests(rows, NONE, steps)
         every = lm.each_request(requests).groupBy("gram").agg(F.sum("times").alias("all"))
-        trusted = lm.each_request(lm.gram_requests(trusted_rows(rows, labels), NONE)).groupBy("gram").agg(F.sum("times").alias("target"))
+        trusted = lm.each_request(lm.gram_requests(trusted_rows(rows, labels), NONE, steps)).groupBy("gram").agg(F.sum("times").alias("target"))
         counts = every.join(trusted, "gram", "left").select("gram", "all", F.coalesce("target", F.lit(0)).alias("target"))
-        counts = shared.written(counts, "counts")
+        counts = steps.write(counts, "counts")
         wanted = counts.select("gram")
-        target = lm.kneser_ney(counts.select("gram", F.col("target").alias("c")), wanted).withColumnRenamed("logp", "t")
-        background = lm.kneser_ney(counts.select("gram", F.col("all").alias("c")), wanted).withColumnRenamed("logp", "b")
+        target = lm.kneser_ney(counts.select("gram", F.col("target").alias("c")), wanted, steps).withColumnRenamed("logp", "t")
+        background = lm.kneser_ney(counts.select("gram", F.col("all").alias("c")), wanted, steps).withColumnRenamed("logp", "b")
         values = target.join(background, "gram").select("gram", (F.col("b") - F.col("t")).alias("value"))
         return lm.block_scores(rows, requests, values)
 

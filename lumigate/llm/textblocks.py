@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 # Texts are worked through in runs of about this many bytes; a longer text is a run of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _RNG = np.random.default_rng(20240229)
 BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
