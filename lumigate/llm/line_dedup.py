@@ -1,18 +1,20 @@
 """Line dedup: repeated runs of lines, found by winnowed fingerprints over line hashes.
 
-From every line on, the shortest run of lines with at least MIN_WORDS words is a window. The
-line of least hash in it is its fingerprint, so a run of that many words that two places
-share holds a window, and the same fingerprint in it, at both. Positions join on fingerprint and
-window hash with the first such position of the corpus; the match is then extended line by line
-to both sides, and the lines of the later place go. What went is in an earlier place still.
+From every line on, the shortest run of lines with at least MIN_WORDS words is a window. The line of least hash
+in a window is selected: a run of that many words that two places share holds a window, and so the same
+selected line, at both. A selected line is posted once, by its hash, with hashes of the windows that selected it. Lines
+selected in one place only are dropped; the other positions join on line hash and window hash with the first
+such position of the corpus. Each match is extended to both sides, and the lines of the later place go. What went
+is in an earlier place still.
 
-Documents are ordered by (doc_id, hash of doc_id and text). The postings are one per line, joined
-with one first position each, so a line or passage in a third of all documents stays linear.
+Documents are ordered by (doc_id, hash of doc_id and text). Each window joins with one first position, so a line or
+passage in a third of all documents stays linear, and every join is between written tables, whose hot keys Spark may
+split. A match is extended by halving over prefix hashes, so its length costs nothing.
 
 Defined cases: a null text stays null; an empty text, blank lines and line ends stay as they are
-unless a removed run holds them; runs under MIN_WORDS words stay, however often they occur; rows
-with equal doc_id and text count as one document, and all keep the same text; an empty table gives no
-rows; other columns pass through.
+unless a removed run holds them; runs under MIN_WORDS words stay, however often they occur; a null doc_id sorts
+first; rows with equal doc_id and text count as one document, and all keep the same text; an empty table gives no
+rows; other columns pass through, whatever their names, but for n_lines_removed, which `dedup_lines` replaces.
 """
 
 from __future__ import annotations
@@ -20,9 +22,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -30,6 +31,8 @@ from .textblocks import IS_SPACE, chunks, mix64, span_hashes, spans, utf8_column
 
 MIN_WORDS = 50
 _NEWLINE = 10
+_BASE = 0x9E3779B97F4A7C15
+_BASE_INV = pow(_BASE, -1, 2**64)
 
 
 def _lines(part: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,26 +82,31 @@ def _windows(hashes: np.ndarray, words: np.ndarray, first: np.ndarray, least: in
 
 
 def _postings(rows: DataFrame, min_words: int) -> DataFrame:
-    """(fingerprint, doc_id, row_key, line): a row per window."""
+    """(fingerprint, id, row_key, line, windows): a row per selected line, with a hash of each window that selected it."""
+    names = ["fingerprint", "id", "row_key", "line", "windows"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8_column(batch.column("text"))
-            for start, end, part, inner in chunks(data, offsets):
+            for start, _, part, inner in chunks(data, offsets):
                 starts, ends, first, words = _lines(part, inner)
                 hashes = span_hashes(part, starts, ends)
-                begin, anchor, digest = _windows(hashes, words, first, min_words)
-                text = start + np.searchsorted(first, begin, side="right") - 1
-                key = mix64(hashes[anchor] ^ digest).view(np.int64)
-                line = (anchor - first[text - start]).astype(np.int32)
+                _, anchor, digest = _windows(hashes, words, first, min_words)
+                by = np.lexsort((digest, anchor))
+                anchor, digest = anchor[by], digest[by]
+                edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))[: len(anchor)]
+                chosen = anchor[edge]
+                text = start + np.searchsorted(first, chosen, side="right") - 1
+                line = (chosen - first[text - start]).astype(np.int32)
                 take = pa.array(text)
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("doc_id").take(take), batch.column("row_key").take(take), pa.array(line)], names=["fingerprint", "doc_id", "row_key", "line"])
+                windows = pa.ListArray.from_arrays(pa.array(np.append(edge, len(anchor)).astype(np.int32)), pa.array(digest.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[chosen].view(np.int64)), batch.column("id").take(take), batch.column("row_key").take(take), pa.array(line), windows], names=names)
 
-    return rows.select("doc_id", "text", "row_key").mapInArrow(shared.trimmed(scan), "fingerprint long, doc_id long, row_key long, line int")
+    return rows.select("id", "text", "row_key").mapInArrow(shared.trimmed(scan), "fingerprint long, id long, row_key long, line int, windows array<long>")
 
 
 def _line_hashes(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(row_key, hashes, words): the lines of each document that the filter lets through."""
+    """(id, row_key, hashes, words): the lines of each document that the filter lets through."""
     own_wanted = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,71 +117,130 @@ def _line_hashes(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
                 starts, ends, first, words = _lines(part, inner)
                 cuts = pa.array(first.astype(np.int32))
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (span_hashes(part, starts, ends).view(np.int64), words.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([batch.column("row_key").slice(start, end - start), *lists], names=["row_key", "hashes", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(start, end - start) for c in ("id", "row_key")] + lists, names=["id", "row_key", "hashes", "words"])
+
+    found = rows.select("id", "text", "row_key").mapInArrow(shared.trimmed(scan), "id long, row_key long, hashes array<long>, words array<int>")
+    return found.groupBy("id", "row_key").agg(F.first("hashes").alias("hashes"), F.first("words").alias("words"))
+
+
+class Runs:
+    """Hashes of any run of lines in constant time, from prefix sums."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        steps = np.full(len(hashes) + 1, _BASE, dtype=np.uint64)
+        steps[0] = 1
+        self.sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+        np.cumsum(mix64(hashes.view(np.uint64)) * np.cumprod(steps)[:-1], out=self.sums[1:])
+        steps[1:] = _BASE_INV
+        self.down = np.cumprod(steps)
+
+    def at(self, first: np.ndarray, past: np.ndarray) -> np.ndarray:
+        return (self.sums[past] - self.sums[first]) * self.down[first]
 
-    found = rows.select("text", "row_key").mapInArrow(shared.trimmed(scan), "row_key long, hashes array<long>, words array<int>")
-    return found.groupBy("row_key").agg(F.first("hashes").alias("hashes"), F.first("words").alias("words"))
 
+def extend(target: np.ndarray, source: np.ndarray, at: np.ndarray, from_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of places the run of target lines around `at` that equals the source lines around `from_`: [first, past the last)."""
+    own, other = Runs(target), Runs(source)
 
-def extend(target: np.ndarray, source: np.ndarray, at: int, from_: int) -> tuple[int, int]:
-    """The run of target lines around `at` that equals the source lines around `from_`: [first, past the last)."""
-    back = min(at, from_)
-    same = target[at - back : at] == source[from_ - back : from_]
-    left = back if same.all() else int(np.argmin(same[::-1]))
-    ahead = min(len(target) - at, len(source) - from_)
-    same = target[at : at + ahead] == source[from_ : from_ + ahead]
-    right = ahead if same.all() else int(np.argmin(same))
+    def reach(most: np.ndarray, same) -> np.ndarray:
+        low, high = np.zeros_like(most), most.copy()  # the run of length low is alike, none longer than high is
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            good = same(middle)
+            low, high = np.where(good, middle, low), np.where(good, high, middle - 1)
+        return low
+
+    left = reach(np.minimum(at, from_), lambda n: own.at(at - n, at) == other.at(from_ - n, from_))
+    right = reach(np.minimum(len(target) - at, len(source) - from_), lambda n: own.at(at, at + n) == other.at(from_, from_ + n))
     return at - left, at + right
 
 
-def repeated_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(row_key, gone): for each document that repeats an earlier run, the numbers of its lines to delete."""
-    postings = shared.written(_postings(rows, min_words), "postings")
-    order = F.struct("doc_id", "row_key", "line")
-    firsts = postings.groupBy("fingerprint").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("fingerprint", "f")
-    later = postings.join(firsts, "fingerprint").filter((F.col("row_key") != F.col("f.row_key")) | (F.col("line") != F.col("f.line")))
-    matches = shared.written(
-        later.groupBy("row_key", F.col("f.row_key").alias("from_key")).agg(F.collect_set(F.struct("line", F.col("f.line").alias("from_line"))).alias("pairs")),
-        "matches",
-    )
-    hashes = _line_hashes(rows, shared.bitmap(matches.select("row_key").union(matches.select("from_key")), "row_key"))
-    own = matches.join(hashes, "row_key")
-    source = hashes.select(F.col("row_key").alias("from_key"), F.col("hashes").alias("from_hashes"))
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _merged(runs: np.ndarray) -> np.ndarray:
+    """(n, 2) runs [first, past) as ordered runs that do not touch."""
+    runs = runs[np.argsort(runs[:, 0], kind="stable")]
+    most = np.maximum.accumulate(runs[:, 1])
+    new = np.flatnonzero(np.concatenate(([True], runs[1:, 0] > most[:-1])))
+    return np.stack((runs[new, 0], most[np.append(new[1:], len(runs)) - 1]), axis=1)
+
+
+def _pairs_of(column: pa.Array) -> np.ndarray:
+    """(n, 2) from a value of type array<struct<two ints>>."""
+    held = column.values
+    return np.stack([np.asarray(held.field(k), dtype=np.int64) for k in (0, 1)], axis=1)
+
+
+def repeated_lines(rows: DataFrame, steps: shared.Steps, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, row_key, kept, n_gone): for each document that repeats an earlier run, the runs of lines that stay (first, number)."""
+    postings = steps.write(_postings(rows, min_words), "postings")
+    often = steps.write(postings.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fingerprint"), "often")
+    places = postings.join(often, "fingerprint", "left_semi").select(F.explode(F.transform("windows", lambda w: F.xxhash64("fingerprint", w))).alias("window"), "id", "row_key", "line")
+    places = steps.write(places, "places")
+    steps.drop(postings, often)
+    position = F.struct("id", "row_key", "line")
+    firsts = steps.write(places.groupBy("window").agg(F.min(position).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("window", "f"), "firsts")
+    later = places.join(firsts, "window").filter(position != F.col("f"))
+    pairs = F.collect_set(F.struct("line", F.col("f.line").alias("from_line"))).alias("pairs")
+    matches = steps.write(later.groupBy("id", "row_key", F.col("f.id").alias("from_id"), F.col("f.row_key").alias("from_key")).agg(pairs), "matches")
+    steps.drop(places, firsts)
+    hashes = steps.write(_line_hashes(rows, shared.bitmap(matches.select("row_key").union(matches.select(F.col("from_key").alias("row_key"))), "row_key")), "hashes")
+    own = steps.write(matches.join(hashes, ["id", "row_key"]), "own")
+    source = hashes.select(F.col("id").alias("from_id"), F.col("row_key").alias("from_key"), F.col("hashes").alias("from_hashes"))
+
+    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone = []
-            for row in batch.itertuples(index=False):
-                drop = np.zeros(len(row.hashes), dtype=bool)
-                for pair in row.pairs:
-                    first, past = extend(row.hashes, row.from_hashes, pair["line"], pair["from_line"])
-                    if row.words[first:past].sum() >= min_words:
-                        drop[first:past] = True
-                gone.append(np.flatnonzero(drop).astype(np.int32))
-            yield pd.DataFrame({"row_key": batch["row_key"], "gone": gone})
-
-    found = own.join(source, "from_key").select("row_key", "pairs", "hashes", "words", "from_hashes").mapInPandas(shared.trimmed(work), "row_key long, gone array<int>")
-    return found.groupBy("row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")).filter(F.size("gone") > 0)
+            for k in range(batch.num_rows):
+                target, source, words = (np.asarray(batch.column(c)[k].values) for c in ("hashes", "from_hashes", "words"))
+                pairs = _pairs_of(batch.column("pairs")[k])
+                first, past = extend(target, source, pairs[:, 0], pairs[:, 1])
+                total = np.concatenate(([0], np.cumsum(words)))
+                enough = total[past] - total[first] >= min_words
+                gone.append(_merged(np.stack((first, past), axis=1)[enough]) if enough.any() else np.zeros((0, 2), dtype=np.int64))
+            held = np.concatenate(gone)
+            runs = pa.StructArray.from_arrays([pa.array(held[:, k].astype(np.int32)) for k in (0, 1)], names=["first", "past"])
+            cuts = pa.array(np.concatenate(([0], np.cumsum([len(g) for g in gone]))).astype(np.int32))
+            lines = pa.array([len(x) for x in batch.column("hashes")], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row_key"), lines, pa.ListArray.from_arrays(cuts, runs)], names=["id", "row_key", "lines", "gone"])
+
+    def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, n_gone = [], []
+            for k in range(batch.num_rows):
+                gone, lines = _merged(_pairs_of(batch.column("gone")[k])), batch.column("lines")[k].as_py()
+                edges = np.concatenate(([0], gone.ravel(), [lines])).reshape(-1, 2)  # between the runs that go
+                kept.append([{"first": int(a), "n": int(b - a)} for a, b in edges if b > a])
+                n_gone.append(int((gone[:, 1] - gone[:, 0]).sum()))
+            kind = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row_key"), pa.array(kept, kind), pa.array(n_gone, pa.int32())], names=["id", "row_key", "kept", "n_gone"])
+
+    met = own.join(source, ["from_id", "from_key"]).select("id", "row_key", "pairs", "hashes", "words", "from_hashes")
+    runs = met.mapInArrow(shared.trimmed(runs_of), "id long, row_key long, lines int, gone array<struct<first int, past int>>").filter(F.size("gone") > 0)
+    runs = runs.groupBy("id", "row_key").agg(F.first("lines").alias("lines"), F.flatten(F.collect_list("gone")).alias("gone"))
+    return runs.mapInArrow(shared.trimmed(stay), "id long, row_key long, kept array<struct<first int, n int>>, n_gone int")
+
+
+def _cleaned(docs: DataFrame, min_words: int) -> DataFrame:
+    """text (without the later repeats), row (the other columns) and n_gone."""
+    spark = docs.sparkSession
+    own = docs.select(shared.text_column(docs).alias("text"), shared.boxed(docs), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("id"))
+    own = own.withColumn("row_key", F.xxhash64("id", "text"))
+    with shared.held(spark, shared.small_batches(spark)), shared.Steps(spark) as steps:
+        gone = shared.written(repeated_lines(own.select("id", "text", "row_key"), steps, min_words), "gone")
+        clear, touched = shared.split_by_keys(own, "row_key", gone, steps)
+    lines = F.split("text", "\n")
+    text: Column = F.array_join(F.flatten(F.transform("kept", lambda r: F.slice(lines, r["first"] + 1, r["n"]))), "\n")
+    done = touched.join(gone, ["id", "row_key"], "left")
+    done = done.select(F.when(F.col("kept").isNull(), F.col("text")).otherwise(text).alias("text"), "row", F.coalesce("n_gone", F.lit(0)).alias("n_gone"))
+    return clear.select("text", "row", F.lit(0).alias("n_gone")).unionByName(done)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the later repeats of runs of lines deleted from text, and n_lines_removed; other columns as they are."""
-    shared.bound_batches(docs.sparkSession)
-    keyed = docs.withColumn("row_key", F.xxhash64(docs["doc_id"].cast("long"), shared.text_column(docs)))
-    rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "row_key")
-    gone = shared.written(repeated_lines(rows, min_words), "gone")
-    clear, touched = shared.split_by_keys(keyed, "row_key", gone)
-
-    @F.pandas_udf("string")
-    def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
-        out = []
-        for text, drop in zip(texts, gone, strict=True):
-            if text is not None and drop is not None:
-                lines, drop = text.split("\n"), set(drop)
-                text = "\n".join([x for i, x in enumerate(lines) if i not in drop])
-            out.append(text)
-        return pd.Series(out, dtype=object)
-
-    touched = touched.join(gone, "row_key", "left").withColumn("n_lines_removed", F.coalesce(F.size("gone"), F.lit(0)))
-    touched = touched.withColumn("text", without("text", "gone")).drop("gone", "row_key")
-    return clear.drop("row_key").withColumn("n_lines_removed", F.lit(0)).unionByName(touched.select(*docs.columns, "n_lines_removed"))
+    docs = docs.drop("n_lines_removed")
+    return shared.unboxed(_cleaned(docs, min_words), docs, F.col("n_gone").alias("n_lines_removed"))
+
+
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The same with the columns of docs alone; a document of which only blanks are left is left out."""
+    emptied = (F.col("n_gone") > 0) & (F.length(F.trim(F.translate("text", "\n\t\r\x0b\x0c", "     "))) == 0)
+    return shared.unboxed(_cleaned(docs, min_words).filter(~F.coalesce(emptied, F.lit(False))), docs)
