@@ -17,11 +17,15 @@ are accumulated block by block and pairs below the bound that their sizes imply
 4. In a pair of blocks the product of the incidence rows counts overlaps: first over the part
    of the n-grams with the least hashes (PART_BELOW), where a row stays only if a partner can
    still reach the bound with all the rest; then, for those rows, over all of them. A spanning forest of
-   the links leaves the task, never the pairs. (Blocks carry 40 bits of each hash.)
+   the links leaves the task, never the pairs. The overlaps that decide are counted over all 64 bits of the hashes.
+
+What is common to many rows (a set, an n-gram, a component) is summed up before it is shuffled, and goes back to its
+rows by joins of written tables, whose hot keys Spark may split.
 
 Defined cases: a null or blank text has an empty set and links to nothing; a null doc_id keeps
 its row (component null) and lends its class nothing; repeated rows keep their rows; equal sets
-link; an empty table gives no rows; other columns are ignored.
+link; a text of any length is one set; an empty table gives no rows; other columns are ignored by the join
+and kept by `first_of_each`, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,13 +69,13 @@ def _signature(values: np.ndarray) -> int:
     return int(mix64(np.array([(summed + 3 * folded) % 2**64], dtype=np.uint64)).view(np.int64)[0])
 
 
-SIGNED = "doc_id long, n_shingles long, class long, gram long, times long"
+SIGNED = "doc_id long, row_key long, n_shingles long, class long, gram long, times long"
 
 
 def signed_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """A row per document (set size, class) and rows for n-grams that many documents of one run of texts hold."""
 
-    names = ["doc_id", "n_shingles", "class", "gram", "times"]
+    names = ["doc_id", "row_key", "n_shingles", "class", "gram", "times"]
 
     def frequent(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         grams = np.sort(np.concatenate(held))
@@ -80,7 +84,7 @@ def signed_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         if len(often):
             times = np.searchsorted(grams, often, "right") - np.searchsorted(grams, often, "left")
             none = pa.nulls(len(often), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(_signed(often)), pa.array(times.astype(np.int64))], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(_signed(often)), pa.array(times.astype(np.int64))], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
@@ -96,11 +100,12 @@ def signed_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     yield from frequent(held)
                     held, n_held = [], 0
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(classes), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes), pa.array(classes), none, none], names=names)
         if held:
             yield from frequent(held)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), shared.text_column(docs).alias("text")).mapInArrow(shared.trimmed(scan), SIGNED)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), shared.text_column(docs).alias("text"))
+    return rows.withColumn("row_key", F.xxhash64("doc_id", "text")).mapInArrow(shared.trimmed(scan), SIGNED)
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -136,14 +141,11 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """The low 40 bits of each hash."""
-    return values.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return values.tobytes()
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).ravel()
+    return np.frombuffer(raw, dtype=np.uint64)
 
 
 def _packed_part(values: np.ndarray) -> bytes:
@@ -298,33 +300,45 @@ def _met(member: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.agg(F.collect_list(F.struct("class", "n", "side", "shingles")).alias("members"))
 
 
-def linked_classes(docs: DataFrame, signed: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def _shared_grams(prefixes: DataFrame, steps: shared.Steps, percent: int) -> DataFrame:
+    """(class, n, home) of each class and prefix n-gram that another class of fitting size may share; home: the least hash of those that hold it."""
+    every = prefixes.select("low", "n", F.explode("prefix").alias("gram"))
+    held = every.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"), F.min("low").alias("home"), F.min("n").alias("least"), F.max("n").alias("most"))
+    common = steps.write(held.filter((F.col("classes") > 2) | ((F.col("classes") == 2) & (100 * F.col("least").cast("long") >= percent * F.col("most").cast("long")))).select("gram", "home"), "common")
+    own_bits = prefixes.sparkSession.sparkContext.broadcast(shared.bitmap(common.select(F.xxhash64("gram").alias("key")), "key"))
+
+    # Most n-grams are in one class: a filter of the others spares their way through the join.
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, sizes, grams, keys = (batch.column(c) for c in ("class", "n", "prefix", "keys"))
+            keep = shared.in_bitmap(own_bits.value, np.asarray(keys.flatten()))
+            owner = np.repeat(np.arange(batch.num_rows), np.asarray(grams.value_lengths()))[keep]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(owner)), sizes.take(pa.array(owner)), grams.flatten().filter(pa.array(keep))], names=["class", "n", "gram"])
+
+    keyed = prefixes.select("class", "n", "prefix", F.transform("prefix", lambda g: F.xxhash64(g)).alias("keys"))
+    return keyed.mapInArrow(shared.trimmed(thinned), "class long, n int, gram long").join(common, "gram").select("class", "n", "home")
+
+
+def linked_classes(docs: DataFrame, signed: DataFrame, steps: shared.Steps, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(a, b) edges that connect every two classes that a chain of links joins."""
     frequent = (
         signed.filter("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).filter(F.col("times") >= FREQUENT_LEAST)
         .orderBy(F.desc("times"), "gram").limit(FREQUENT_LIMIT).select("gram").toPandas()["gram"].to_numpy(dtype=np.int64)
     )
     frequent = np.sort(frequent.view(np.uint64))
-    prefixes = _prefixes(docs, frequent, width, percent)
-    by_gram, by_size = Window.partitionBy("gram"), Window.partitionBy("gram").orderBy("n")
-    smaller, larger = F.lag("n").over(by_size), F.lead("n").over(by_size)
-    # In a list sorted by size, a class whose two neighbours are both out of its size bounds has no partner there.
-    met = (
-        prefixes.select("class", "low", "n", F.explode("prefix").alias("gram"))
-        .select("class", "n", F.min("low").over(by_gram).alias("home"), ((100 * smaller >= percent * F.col("n")) | (100 * F.col("n") >= percent * larger)).alias("near"))
-        .filter("near")
-        .groupBy("home", "class", "n")
-        .agg(F.count(F.lit(1)).alias("grams"))
-    )
+    prefixes = steps.write(_prefixes(docs, frequent, width, percent), "prefixes")
+    met = _shared_grams(prefixes, steps, percent).groupBy("home", "class", "n").agg(F.count(F.lit(1)).alias("grams"))
     # A linked pair has at least n / EXTRA - 1 n-grams in common within the two prefixes, whichever of them n is the size of.
     enough = F.sum("grams").over(Window.partitionBy("class")) >= F.col("n") / EXTRA - 1
-    homes = shared.written(met.withColumn("enough", enough).filter("enough").select("home", "class", "n"), "homes")
+    homes = steps.write(met.withColumn("enough", enough).filter("enough").select("home", "class", "n"), "homes")
+    steps.drop(prefixes)
     cut = (
         homes.groupBy("home")
         .agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("classes"))
         .filter("classes > 1")
         .select("home", F.greatest(F.ceil(F.col("held") / BLOCK_SHINGLES), F.ceil(F.col("classes") / BLOCK_ROWS)).cast("int").alias("blocks"))
     )
+    cut = steps.write(cut, "blocks")
     member = homes.select("home", "class").join(cut, "home").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     # Block i meets itself and each j > i; side 1 is the first and side 2 the second of two blocks, side 0 a block alone.
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -335,23 +349,61 @@ def linked_classes(docs: DataFrame, signed: DataFrame, width: int = WIDTH, perce
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"),
     )
     parts = _candidate_sets(docs, shared.bitmap(homes, "class"), width, True)
-    left = shared.written(_survivors(_met(member, parts), percent), "survivors")
+    left = steps.write(_survivors(_met(member, parts), percent), "survivors")
     wholes = _candidate_sets(docs, shared.bitmap(left, "class"), width, False)
-    return _block_edges(_met(left, wholes), percent)
+    return steps.write(_block_edges(_met(left, wholes), percent), "links")
+
+
+def _classified(docs: DataFrame, steps: shared.Steps, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): doc_id, row_key, n_shingles, class of each document, and class, component of each class with words."""
+    signed = steps.write(signed_sets(docs, width), "signed")
+    joined = shared.components(linked_classes(docs, signed, steps, width, percent), steps=steps)
+    rows = signed.filter("gram is null").select("doc_id", "row_key", "n_shingles", "class")
+    classes = steps.write(rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("class_id")), "classes")
+    classes = classes.join(joined, classes["class"] == joined["node"], "left").select("class", "class_id", F.coalesce("component", "class").alias("component"))
+    return rows, steps.write(classes, "classes")
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id that links reach, itself included), class_id (least doc_id with an equal set)."""
-    shared.bound_batches(docs.sparkSession)
-    signed = shared.written(signed_sets(docs, width), "signed")
-    edges = linked_classes(docs, signed, width, percent)
-    joined = shared.components(edges)
-    rows = signed.filter("gram is null").select("doc_id", "n_shingles", "class")
-    classes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    classes = classes.join(joined, classes["class"] == joined["node"], "left").select("class", "class_id", F.coalesce("component", "class").alias("component"))
-    names = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = classes.join(names, "component").select("class", "class_id", "component_id")
-    words = rows.filter("n_shingles > 0").join(named, "class", "left").drop("class")
-    blank = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    known = F.col("doc_id").isNotNull()
-    return words.unionByName(blank).select("doc_id", "n_shingles", *(F.when(known, F.col(c)).alias(c) for c in ("component_id", "class_id")))
+    spark = docs.sparkSession
+    with shared.held(spark, shared.small_batches(spark)), shared.Steps(spark) as steps:
+        rows, classes = _classified(docs, steps, width, percent)
+        names = steps.write(classes.groupBy("component").agg(F.min("class_id").alias("component_id")), "names")
+        named = steps.write(classes.join(shared.broadcast_if_small(names), "component").select("class", "class_id", "component_id"), "named")
+        words = rows.filter("n_shingles > 0").join(named, "class", "left").drop("class", "row_key")
+        blank = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+        known = F.col("doc_id").isNotNull()
+        out = words.unionByName(blank).select("doc_id", "n_shingles", *(F.when(known, F.col(c)).alias(c) for c in ("component_id", "class_id")))
+        return steps.write(out, "joined", keep=True)
+
+
+def first_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """docs without those that links join to an earlier one: of each component one row stays, that of least doc_id (null last), then of least key.
+
+    Texts without words all stay.
+    """
+    spark = docs.sparkSession
+    with shared.held(spark, shared.small_batches(spark)), shared.Steps(spark) as steps:
+        rows, classes = _classified(docs, steps, width, percent)
+        place = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id"), F.col("row_key"))
+        # Per class first, so that a set in very many rows is summed up before it meets its component.
+        best = rows.filter("n_shingles > 0").groupBy("class").agg(F.min(place).alias("best"))
+        best = steps.write(best, "best")
+        first = classes.join(best, "class").groupBy("component").agg(F.min("best").alias("best")).select("best.doc_id", "best.row_key")
+        first = steps.write(first, "first")
+        times = rows.groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("times"))
+        same = first["doc_id"].eqNullSafe(F.col("d")) & (first["row_key"] == F.col("k"))
+        first = first.join(times.select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), "times"), same).select("doc_id", "row_key", "times")
+        first = steps.write(first, "first")
+        once, again = (shared.written(first.filter(c).select(F.col("doc_id").alias("d"), F.col("row_key").alias("k")), "kept") for c in ("times = 1", "times > 1"))
+        own = docs.select(shared.text_column(docs).alias("text"), shared.boxed(docs), docs["doc_id"].cast("long").alias("doc_id")).withColumn("row_key", F.xxhash64("doc_id", "text"))
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k"))
+        # All rows with words but those that are first and alone; the others need no look.
+        others = rows.filter("n_shingles > 0").select("doc_id", "row_key").join(once, same, "left_anti").select("row_key")
+        clear, touched = shared.split_by_keys(own, "row_key", others, steps)
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    single = touched.join(once, same, "left").filter(~words | F.col("k").isNotNull()).select("text", "row")
+    # Rows alike in doc_id and text: the copies of one task become one before they are shuffled.
+    copies = touched.join(shared.broadcast_if_small(again), same).groupBy("d", "k").agg(F.first(F.struct("text", "row")).alias("one")).select("one.text", "one.row")
+    return shared.unboxed(clear.select("text", "row").unionByName(single).unionByName(copies), docs)
