@@ -4,14 +4,16 @@ The transducer reads bytes and emits tokens. A state holds, for the bytes not ye
 last token of the encoding of each prefix that still matters and the vocabulary prefixes that
 are open there; a token leaves as soon as every open continuation has it in common, so the
 lookahead is bounded by the longest token. States and transitions come into being when first
-met and are kept for the life of a worker.
+met. They are kept from task to task of a worker up to MOST_STATES, within a piece too: then all but the present
+state are forgotten, and come again as they are met.
 
 That the last token of each prefix decides the rest rests on one property of BPE: a sequence of
 tokens is the encoding of its bytes if and only if each neighbouring pair is the encoding of
 its own bytes.
 
-Defined cases: a null text is an empty one, of no tokens; a text of any length goes through
-piece by piece; repeated rows get equal results; other columns pass through or are ignored.
+Defined cases: a null text is an empty one, of no tokens; a null doc_id stays null; a text or piece of any length
+goes through with the same bounds; repeated rows get equal results; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from pyspark.sql import DataFrame
 
 from . import shared
 
-CACHE_PIECES = 800_000  # of about 230 bytes each, kept for a task
-MOST_STATES = 600_000  # of about 400 bytes each with their transitions, kept for the life of a worker
+CACHE_PIECES = 100_000  # of about 230 bytes each, kept for the life of a worker
+LONG_PIECE = 64  # letters from which a piece is not kept
+MOST_STATES = 150_000  # of about 400 bytes each with their transitions, kept for the life of a worker
+MOST_FITS = 150_000  # pairs of tokens of about 130 bytes each
 NEVER_ASKED, NO_LINK = -2, (-1, -1)
 
 
@@ -70,9 +74,12 @@ class Transducer:
                 node = self.child[key]
             self.token_at[node] = token
         self.fits: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
         self._forget()
 
-    def _forget(self) -> None:
+    def _forget(self, but: int = 0) -> int:
+        """Forgets all states but the first and one, and tells that one's new number."""
+        kept = self.states[but] if but else b""
         #: Of each state, as packed whole numbers: the token before the unsent bytes, their count, the number of open
         #: starts, then (place before, token) of the last token of each prefix and (start, trie node) of each open start.
         first = array("i", (-1, 0, 0)).tobytes()
@@ -82,6 +89,10 @@ class Transducer:
         self.moves: dict[int, int] = {}
         self.many: list[tuple[int, tuple[int, ...]]] = [(0, ())]
         self.ends: dict[int, tuple[int, ...]] = {}
+        if kept:
+            self.number[kept] = len(self.states)
+            self.states.append(kept)
+        return len(self.states) - 1
 
     def _merge(self, word: bytes, to: int = 1) -> list[bytes]:
         parts = [word[i : i + 1] for i in range(len(word))]
@@ -92,74 +103,103 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that the last merge of a token's own bytes joins; None for a byte, and for what merging never makes."""
+        found = self.halves.get(token, 0)
+        if found == 0:
+            parts = self._merge(self.bytes_of[token], 2)
+            found = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+            self.halves[token] = found
+        return found
+
     def _fit(self, left: int, right: int) -> bool:
-        """Whether two tokens side by side are the encoding of their bytes; left -1: whether right alone is that of its own."""
-        if left < 0:
-            return self._merge(self.bytes_of[right]) == [self.bytes_of[right]]
-        a, b = self.bytes_of[left], self.bytes_of[right]
-        return self._merge(a + b, 2) == [a, b] and a + b not in self.ranks
+        """Whether two tokens side by side are the encoding of their bytes; left -1: whether right alone is that of its own.
 
-    def _state(self, number: int) -> tuple[int, list[tuple[int, int]], list[tuple[int, int]], int]:
-        flat = array("i")
-        flat.frombytes(self.states[number])
-        pairs = list(zip(flat[3::2], flat[4::2], strict=True))
-        return flat[0], pairs[: flat[1]], pairs[flat[1] :], flat[1]
+        Going back in time, the later of the two tokens at the border is taken apart. Two that lie there at the same
+        time must not have a merge of their own before one of them goes into a larger token; of equal ranks the left comes first.
+        """
+        if left < 0:
+            return len(self.bytes_of[right]) == 1 or self._halves(right) is not None
+        bytes_of, ranks = self.bytes_of, self.ranks
+        before = 1 << 60
+        while True:
+            own = ranks.get(bytes_of[left] + bytes_of[right])
+            if own is not None and own < before:
+                return False
+            if left > right and (halves := self._halves(left)):
+                before, left = left, halves[1]
+            elif halves := self._halves(right):
+                before, right = right + 1, halves[0]
+            elif halves := self._halves(left):
+                before, left = left, halves[1]
+            else:
+                return True
 
     def _move(self, state: int, byte: int) -> int:
-        before, links, opened, at = self._state(state)
-        fits, child, token_at, inner = self.fits, self.child, self.token_at, self.inner
-        still, found = [], None
-        opened.append((at, 0))
-        for start, node in opened:
-            node = child.get(node << 8 | byte)
+        flat = memoryview(self.states[state]).cast("i").tolist()
+        before, at = flat[0], flat[1]
+        child, token_at, inner, fits = self.child, self.token_at, self.inner, self.fits
+        still, found, last = [], False, 0
+        flat += (at, 0)
+        for i in range(3 + 2 * at, len(flat), 2):
+            node = child.get(flat[i + 1] << 8 | byte)
             if node is None:
                 continue
+            start = flat[i]
             if inner[node]:
                 still.append((start, node))
-            token = token_at[node]
-            if found is None and token >= 0:
-                last = links[start - 1][1] if start else before
-                key = last << 24 | token
+            if not found and (token := token_at[node]) >= 0:
+                left = flat[2 + 2 * start] if start else before
+                key = left << 24 | token
                 good = fits.get(key)
                 if good is None:
-                    good = fits[key] = self._fit(last, token)
+                    if len(fits) >= MOST_FITS:
+                        fits.clear()
+                    good = fits[key] = self._fit(left, token)
                 if good:
-                    found = start, token
-        if found is None:
+                    found, last = True, (start, token)
+        if not found:
             raise ValueError("the vocabulary lacks a byte")
-        links.append(found)
+        # The link of place q, (place before, token), stands at 1 + 2 q and the next.
+        flat[3 + 2 * at : 5 + 2 * at] = last
         at += 1
         # What every open start and the end have in common can leave; walking back from the highest
         # of the ends that are left keeps them all above the common place.
-        ends = {start for start, _ in still}
-        ends.add(at)
-        needed = set()
-        while len(ends) > 1:
-            top = max(ends)
-            ends.discard(top)
-            needed.add(top)
-            ends.add(links[top - 1][0])
-        common = ends.pop()
-        sent, p = [], common
+        ends = bytearray(at + 1)
+        ends[at] = left_over = 1
+        for start, _ in still:
+            if not ends[start]:
+                ends[start] = 1
+                left_over += 1
+        q = at
+        while left_over > 1:
+            if ends[q]:
+                ends[q] = 2
+                back = flat[1 + 2 * q]
+                if ends[back]:
+                    left_over -= 1
+                else:
+                    ends[back] = 1
+            q -= 1
+        while ends[q] != 1:
+            q -= 1
+        common, sent, p = q, [], q
         while p:
-            p, token = links[p - 1]
-            sent.append(token)
-        if not (common == at or any(start == common for start, _ in still)):
+            sent.append(flat[2 + 2 * p])
+            p = flat[1 + 2 * p]
+        if common != at and not any(start == common for start, _ in still):
             before = NEVER_ASKED
         elif sent:
             before = sent[0]
-        flat = [before, at - common, len(still)]
+        new = [before, at - common, len(still)]
         for q in range(common + 1, at + 1):
-            if q in needed:
-                flat += (links[q - 1][0] - common, links[q - 1][1])
-            else:
-                flat += NO_LINK
+            new += (flat[1 + 2 * q] - common, flat[2 + 2 * q]) if ends[q] == 2 else NO_LINK
         for start, node in still:
-            flat += (start - common, node)
-        new = array("i", flat).tobytes()
-        to = self.number.setdefault(new, len(self.states))
+            new += (start - common, node)
+        packed = array("i", new).tobytes()
+        to = self.number.setdefault(packed, len(self.states))
         if to == len(self.states):
-            self.states.append(new)
+            self.states.append(packed)
         if len(sent) > 1:
             move = -len(self.many)
             self.many.append((to, tuple(sent[::-1])))
@@ -169,11 +209,11 @@ class Transducer:
         return move
 
     def _end(self, state: int) -> tuple[int, ...]:
-        _, links, _, at = self._state(state)
-        left = []
+        flat = memoryview(self.states[state]).cast("i").tolist()
+        at, left = flat[1], []
         while at:
-            at, token = links[at - 1]
-            left.append(token)
+            left.append(flat[2 + 2 * at])
+            at = flat[1 + 2 * at]
         self.ends[state] = out = tuple(left[::-1])
         return out
 
@@ -181,12 +221,13 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.states) > MOST_STATES:
-            self._forget()
         moves, state, out = self.moves, 0, []
         for byte in piece:
             move = moves.get(state << 8 | byte)
             if move is None:
+                if len(self.states) >= MOST_STATES:
+                    state = self._forget(state)
+                    moves = self.moves
                 move = self._move(state, byte)
             if move < 0:
                 state, sent = self.many[-move]
@@ -229,7 +270,7 @@ class Utf8Stream:
 
 
 class Codec:
-    """A vocabulary with its pattern; keeps the ids of pieces already met."""
+    """A vocabulary with its pattern; keeps the ids of pieces already met, as decimal numbers joined by a space."""
 
     kept: dict[tuple[str, str], Codec] = {}
 
@@ -237,8 +278,8 @@ class Codec:
         self.transducer = Transducer(read_ranks(ranks_path))
         self.split = regex.compile(pattern).findall
         self.bytes_of = self.transducer.bytes_of
+        self.bytes_named = {str(i): b for i, b in self.bytes_of.items()}
         self.pieces: dict[str, str] = {}
-        self.most_pieces = CACHE_PIECES
 
     @classmethod
     def of(cls, ranks_path: str, pattern: str) -> Codec:
@@ -248,20 +289,30 @@ class Codec:
 
     def _new(self, piece: str) -> str:
         numbers = " ".join(map(str, self.transducer.encode(piece.encode())))
-        if len(self.pieces) >= self.most_pieces:
-            self.pieces.clear()
-        self.pieces[piece] = numbers
+        if len(piece) <= LONG_PIECE:
+            if len(self.pieces) >= CACHE_PIECES:
+                self.pieces.clear()
+            self.pieces[piece] = numbers
         return numbers
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """The ids, and the same as decimal numbers joined by a space."""
+    def numbers(self, text: str) -> str:
+        """The ids as decimal numbers joined by a space."""
         get, new = self.pieces.get, self._new
-        numbers = " ".join([get(p) or new(p) for p in self.split(text)])
-        return list(map(int, numbers.split())), numbers
+        return " ".join([get(p) or new(p) for p in self.split(text)])
+
+    def encode(self, text: str) -> list[int]:
+        return list(map(int, self.numbers(text).split()))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def decode_numbers(self, numbers: str) -> Iterator[str]:
+        """The text of ids written as decimal numbers, run by run."""
+        stream, named = Utf8Stream(), numbers.split()
+        for at in range(0, len(named), 4096):
+            yield stream.push(b"".join(map(self.bytes_named.__getitem__, named[at : at + 4096])))
+        yield stream.close()
+
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         stream = Utf8Stream()
         for i in ids:
@@ -281,9 +332,8 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [codec.encode(t or "")[0] for t in part.column(1).to_pylist()]
+                rows = [codec.encode(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-        codec.pieces.clear()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), shared.text_column(docs).alias("text")).mapInArrow(shared.trimmed(work), "doc_id long, ids array<int>")
 
@@ -301,34 +351,25 @@ def decode(rows: DataFrame, ranks_path: str | None = None, pattern: str | None =
     return rows.select("doc_id", "ids").mapInArrow(shared.trimmed(work), "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, pieces: int = CACHE_PIECES, keep: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded and its ids decoded again, as digests.
-
-    pieces bounds the pieces whose ids a task remembers. With keep=False a worker forgets the transducer
-    with the task: more work, but nothing stays in the workers that other jobs share.
-    """
+def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded and its ids decoded again, as digests."""
     path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
     shared.bound_batches(docs.sparkSession, 4 << 20)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
-        codec.most_pieces = pieces
         for batch in batches:
             counts, id_digests, text_digests = [], [], []
             for at in range(0, batch.num_rows, 64):
                 for text in batch.column(1).slice(at, 64).to_pylist():
-                    ids, numbers = codec.encode(text or "")
-                    counts.append(len(ids))
+                    numbers = codec.numbers(text or "")
+                    counts.append(numbers.count(" ") + bool(numbers))
                     id_digests.append(hashlib.sha256(numbers.encode()).hexdigest())
-                    digest, stream = hashlib.sha256(), Utf8Stream()
-                    for k in range(0, len(ids), 4096):
-                        digest.update(stream.push(codec.decode(ids[k : k + 4096])).encode())
-                    digest.update(stream.close().encode())
+                    digest = hashlib.sha256()
+                    for run in codec.decode_numbers(numbers):
+                        digest.update(run.encode())
                     text_digests.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests), pa.array(text_digests)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        codec.pieces.clear()
-        if not keep:
-            Codec.kept.clear()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), shared.text_column(docs).alias("text"))
     return rows.mapInArrow(shared.trimmed(work), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
