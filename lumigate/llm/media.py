@@ -7,9 +7,9 @@ samples are resampled and stored as 16-bit PCM in WAV.
 A text can be stored as such a sound without loss: its UTF-8 bytes, padded with spaces to a multiple
 of BLOCK_BYTES, are the 8-bit samples of a mu-law WAV.
 
-Defined cases: a null or empty text pads to one block of spaces; a null sound reads as none and
-gives nulls; a sound that is not WAV of a known format is an error that names the format; equal
-texts give equal rows; other columns are ignored.
+Defined cases: a null or empty text pads to one block of spaces; a null doc_id stays null; a null sound reads as none
+and gives nulls; a sound that is not WAV of a known format is an error that names the format; a text of any length is one
+sound; equal texts give equal rows; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -157,14 +157,24 @@ def payload(text: str | None) -> tuple[int, bytes]:
 
 def text_to_sound(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each text as the samples of a mu-law WAV."""
+    shared.bound_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "n_bytes", "media"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [payload(t) for t in part.column(1).to_pylist()]
-                media = [wav(MULAW, data) for _, data in rows]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            rows, held = [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                n, data = payload(text.as_py())
+                rows.append((doc_id, n, wav(MULAW, data)))
+                held += len(data)
+                if held > RUN_BYTES:
+                    yield flush(rows)
+                    rows, held = [], 0
+            if rows:
+                yield flush(rows)
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), shared.text_column(docs).alias("text"))
     return rows.mapInArrow(shared.trimmed(work), "doc_id long, n_bytes long, media binary")
@@ -195,33 +205,33 @@ def _features(sounds: list[bytes]) -> list[str]:
     return out
 
 
-def sound_digests(docs: DataFrame) -> DataFrame:
-    """Per text stored as a sound and read back: its payload's and its file's digests, and features of its samples."""
-    shared.bound_batches(docs.sparkSession)
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def sound_digests(sounds: DataFrame) -> DataFrame:
+    """Per stored sound (doc_id, n_bytes, media): its payload's and its file's digests, and features of its samples.
+
+    A null sound has nulls but for doc_id and n_bytes.
+    """
+    shared.bound_batches(sounds.sparkSession)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    names = [c.split(" ")[0] for c in DIGESTS.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows: list[tuple]) -> pa.RecordBatch:
-            features = _features([r[2] for r in rows])
-            columns = [
-                pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([len(r[2]) for r in rows], pa.int64()),
-                pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows]),
-                pa.array([zlib.crc32(r[2][-16:]) for r in rows], pa.int64()),
-                pa.array([r[3] for r in rows], pa.int64()),
-                pa.array([r[4] for r in rows]),
-                pa.array(features),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=names)
+            features = iter(_features([back for *_, back in rows if back]) if any(back for *_, back in rows) else ())
+            out = [(*r, None if back is None else next(features)) for *r, back in rows]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
 
         for batch in batches:
             rows, held = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                n, data = payload(text.as_py())
-                media = wav(MULAW, data)
+            for doc_id, n, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                media = media.as_py()
+                if media is None:
+                    rows.append((doc_id, n, None, None, None, None, None, None))
+                    continue
                 _, _, back = read_wav(media)
-                rows.append((doc_id, n, back, len(media), hashlib.sha256(media).hexdigest()))
+                rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), back))
                 held += len(back)
                 if held > RUN_BYTES:
                     yield flush(rows)
@@ -229,5 +239,11 @@ def sound_digests(docs: DataFrame) -> DataFrame:
             if rows:
                 yield flush(rows)
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), shared.text_column(docs).alias("text"))
-    return rows.mapInArrow(shared.trimmed(work), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return sounds.select("doc_id", "n_bytes", "media").mapInArrow(shared.trimmed(work), DIGESTS)
+
+
+def stored_digests(docs: DataFrame) -> DataFrame:
+    """The texts stored as a column of sounds in the shared folder, read back from there and digested; the stored column goes with the job."""
+    with shared.Steps(docs.sparkSession) as steps:
+        sounds = steps.write(text_to_sound(docs), "sounds")
+        return steps.write(sound_digests(sounds), "digests", keep=True)

@@ -46,7 +46,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.sound_digests(_table(spark, sf_dir, "documents"))
+    return media.stored_digests(_table(spark, sf_dir, "documents"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,26 @@ m as (select md5(array_to_string(g, '|')) as k, min(doc_id) as class_id from l w
 select l.doc_id, cast(len(g) as bigint) as n_shingles, component_id, coalesce(class_id, l.doc_id) as class_id
 from l join (select id, min(root) as component_id from r group by id) on id = l.doc_id left join m on len(g) > 0 and k = md5(array_to_string(g, '|'))
 """
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": NGRAM_JOIN_SQL}
+#: The mixing in SQL: the bisection as a recursion of halvings, then each source's cut by running sums.
+MIXING_SQL = r"""
+with recursive small as (select doc_id, source as s, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as t,
+    cast('0x' || substr(md5('0:' || coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')), 1, 15) as bigint) as k from documents),
+sources as (select s, sum(t) as tokens from small group by s),
+shares as (select sum(tokens) as total, cast(min(tokens) as double) / sum(tokens) as p_least, cast(max(tokens) as double) / sum(tokens) as p_most from sources where tokens > 0),
+halved as (select 0 as i, 0e0 as lo, 1e0 as hi union all
+  select i + 1, case when good then lo else mid end, case when good then mid else hi end from (
+    select i, lo, hi, (lo + hi) / 2 as mid, pow(p_most, 1 - (lo + hi) / 2) * pow(p_least, (lo + hi) / 2 - 1) <= 4 * (1 + 1e-12) as good from halved, shares) where i < 40),
+chosen as (select case when p_most / p_least <= 4 * (1 + 1e-12) then 0e0 else hi end as e from halved, shares where i = 40),
+timed as (select s, tokens, case when tokens > 0 then pow(p_most, 1 - e) * pow(cast(tokens as double) / total, e - 1) else 1e0 end as times from sources, shares, chosen),
+budgets as (select s, cast(floor(times + 1e-9) as bigint) as whole, (times - floor(times + 1e-9)) * tokens as rest, greatest(1, cast(floor(cast(tokens as double) / 65536) as bigint)) as blocks from timed),
+placed as (select doc_id, small.s, t, k, whole, rest, blocks, cast('0x' || substr(md5('0:' || whole || ':' || k % blocks), 1, 15) as bigint) as o,
+  cast('0x' || substr(md5('0:' || whole || ':' || k), 1, 15) as bigint) as p from small join budgets on small.s is not distinct from budgets.s),
+blocked as (select s, o, any_value(rest) as rest, sum(t) as t, sum(sum(t)) over (partition by s order by o) - sum(t) as before from placed where t > 0 and rest > 0 group by s, o),
+last as (select * from blocked where before < rest and before + t >= rest),
+ends as (select s, o as lo, coalesce(max(p) filter (before + run <= rest), -1) as lp from (
+  select p.s, p.o, p.p, l.before, l.rest, sum(p.t) over (partition by p.s order by p.p) as run from placed p join last l on p.s is not distinct from l.s and p.o = l.o where p.t > 0) group by s, o),
+taken as (select doc_id, placed.s, k, blocks, whole + cast(coalesce(o < lo or (o = lo and p <= lp), false) as bigint) as copies from placed left join ends on placed.s is not distinct from ends.s)
+select doc_id, s as source, cast(epoch as int) as mix_epoch, cast('0x' || substr(md5('0:' || epoch || ':' || k % blocks), 1, 15) as bigint) as mix_block,
+  cast('0x' || substr(md5('0:' || epoch || ':' || k), 1, 15) as bigint) as mix_place from (select *, unnest(generate_series(0, copies - 1)) as epoch from taken where copies > 0)
+"""
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": NGRAM_JOIN_SQL, "op5_mixing": MIXING_SQL}
