@@ -2,60 +2,63 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes it as Parquet to the
 shared folder and rereads it as the next stage's docs.
+
+In every stage columns beyond those of documents pass through, whatever their names, and an empty table gives
+no rows; what becomes of nulls, blank and repeated rows is stated with each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from lumigate.llm import byte_bpe, line_dedup, mixing, ngram_join, quality, shared
 
 MAX_REPETITION = 1.25
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row_key", F.xxhash64(docs["doc_id"].cast("long"), shared.text_column(docs)))
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity under the model of trusted text is above their language's quantile go."""
-    judged = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = shared.written(judged.filter("not keep").select("row_key").distinct(), "rejected")
-    clear, touched = shared.split_by_keys(_keyed(docs), "row_key", rejected)
-    return clear.unionByName(touched.join(rejected, "row_key", "left_anti")).select(*docs.columns)
+    """Documents whose perplexity under the model of trusted text is above their language's quantile go.
+
+    A null or empty text goes; a null doc_id or language is judged like any other (by all languages together);
+    repeated rows stay or go together; a text of any length is scored whole.
+    """
+    return quality.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of 50 words or more are deleted; a document of which only blanks are left goes."""
-    done = line_dedup.dedup_lines(docs)
-    emptied = (F.col("n_lines_removed") > 0) & (F.length(F.trim(F.translate("text", "\n\t\r", "   "))) == 0)
-    return done.filter(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
+    """Later repeats of runs of 50 words or more are deleted; a document of which only blanks are left goes.
+
+    Null, empty and blank texts stay as they are; a null doc_id sorts first; rows alike in doc_id and text count
+    as one document and keep the same text.
+    """
+    return line_dedup.without_repeats(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one of least doc_id stays; of rows alike in doc_id and text, one."""
-    found = ngram_join.ngram_jaccard_join(docs).filter("n_shingles > 0 and doc_id is not null")
-    found = shared.written(found.select("doc_id", "component_id"), "found")
-    key = F.xxhash64("doc_id")
-    dropped = found.filter("doc_id <> component_id").select(key.alias("id_key")).distinct()
-    repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(key.alias("id_key"))
-    marked = shared.written(dropped.withColumn("once", F.lit(False)).unionByName(repeated.withColumn("once", F.lit(True))), "marked")
-    clear, touched = shared.split_by_keys(docs.withColumn("id_key", F.xxhash64(F.col("doc_id").cast("long"))), "id_key", marked)
-    touched = touched.join(marked.groupBy("id_key").agg(F.bool_and("once").alias("once")), "id_key", "left").filter("once is null or once")
-    again = touched.filter("once").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("doc_id")))
-    kept = touched.filter("once is null").select(*docs.columns).unionByName(again.filter("nth = 1").select(*docs.columns))
-    return clear.select(*docs.columns).unionByName(kept)
+    """Of each component of linked documents the one of least doc_id stays.
+
+    Of rows alike in doc_id and text one stays, and of rows that share a doc_id only those whose own text is linked to a
+    smaller doc_id go. Texts without words stay. A row with a null doc_id goes where its component holds a doc_id;
+    without one, all of the component stay, as none comes first.
+    """
+    return ngram_join.first_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought as near to each other as a repetition of 1.25 allows; every document stays at least once."""
-    return mixing.mix(docs, max_repetition=MAX_REPETITION).select(*docs.columns)
+    """Sources are brought as near to each other as a repetition of 1.25 allows; every document stays at least once.
+
+    A null source is a source of its own; null and blank texts have no tokens and stay once, or twice where the
+    cut of their source's second round comes later; repeated rows are repeated alike.
+    """
+    return mixing.repeated(docs, max_repetition=MAX_REPETITION)
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each text encoded to token ids and decoded again."""
-    return byte_bpe.round_trip(docs, pieces=100_000, keep=False)
+    """Each text encoded to token ids and decoded again: a row of digests a row.
+
+    A null text is an empty one; a null doc_id stays null; repeated rows give equal rows.
+    """
+    return byte_bpe.round_trip(docs)
 
 
 STAGES = [
@@ -70,6 +73,9 @@ ORACLE_SQL = None  # perplexities, components and token ids are beyond SQL; test
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = shared.written(stage(spark, docs, sf_dir), f"stage{k}")
+    with shared.Steps(spark) as steps:
+        for k, (_, stage) in enumerate(STAGES):
+            before, docs = docs, steps.write(stage(spark, docs, sf_dir), f"stage{k}", keep=k == len(STAGES) - 1)
+            if k:
+                steps.drop(before)
     return docs
