@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumigate.functions import scalars
-from lumigate.operators import ensembles, fairness, manifest, metrics, roc, splits, thresholds
+from lumigate.operators import agreement, concordance, ensembles, fairness, manifest, metrics, ranked, roc, splits, thresholds
 from lumigate.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -114,11 +114,14 @@ def test_auc_of_the_negated_score(spark, rows):
 def test_groups_absent_from_val_fall_back(spark):
     val = predictions(spark, [("a", i % 2, (i * 13 % 40) / 40) for i in range(60)] + [("few", 1, 0.5)])
     test = predictions(spark, [(g, i % 2, (i * 11 % 40) / 40) for i in range(60) for g in ("a", "few", "new")])
-    single, own = thresholds.strategies(val)
-    cut = {r.grupo: (r.u_grupo, r.u_sens) for r in thresholds.attach(test, own, single).select("grupo", "u_grupo", "u_sens").distinct().collect()}
-    assert cut["few"] == cut["new"] == (single, single)
+    single = roc.youden_threshold(val, "prob", "label").first()["umbral"]
+    own = thresholds.strategies(val)
+    cut = {r.grupo: (r.u_unico, r.u_grupo, r.u_sens) for r in thresholds.attach(test, own).select("grupo", "u_unico", "u_grupo", "u_sens").distinct().collect()}
+    assert cut["few"] == cut["new"] == (single, single, single) and cut["a"][0] == single
     table = thresholds.evaluate(val, test)
     assert table.count() == 9 and thresholds.choose(thresholds.summary(table)).first().elegida
+    none = thresholds.evaluate(val.filter("label = 0"), test)
+    assert {r.umbral for r in none.collect()} == {0.5}
     both = thresholds.summary(table).withColumn("seed", F.lit(1)).unionByName(thresholds.summary(table).withColumn("seed", F.lit(2)))
     assert {r.semillas for r in thresholds.over_seeds(both).collect()} == {2}
 
@@ -191,6 +194,43 @@ def test_gradability_manifest(spark):
     assert ready == {"0": (0, "3"), "4": (1, "UNKNOWN")}
 
 
+def test_one_class_and_constant_columns_are_no_errors(spark):
+    df = predictions(spark, [("neg", 0, 0.4), ("neg", 0, 0.2), ("pos", 1, 0.3), ("both", 1, 0.8), ("both", 0, 0.1)])
+    assert {r.grupo: r.umbral for r in roc.youden_threshold(df, "prob", "label", ["grupo"]).collect()} == {"neg": None, "pos": None, "both": 0.8}
+    assert {r.grupo: r.umbral for r in roc.sensitivity_threshold(df, "prob", "label", 0.9, ["grupo"]).collect()} == {"neg": 0.5, "pos": 0.5, "both": 0.8}
+    assert {r.grupo: r.auprc for r in roc.auprc(df, "prob", "label", ["grupo"]).collect()} == {"neg": None, "pos": 1.0, "both": 1.0}
+    assert metrics.operating_points(df.filter("grupo = 'neg'"), ["prob"], [0.9]).count() == 0
+    assert metrics.operating_points(df.filter("grupo = 'pos'"), ["prob"], [0.9]).first().especificidad is None
+    same = spark.createDataFrame([("fitzpatrick", str(k), 0.2) for k in range(1, 6)], "atributo string, subgrupo string, fpr double")
+    row = fairness.bias_verdict(same).first()
+    assert (row.veredicto, row.correlacion, row.brecha) == ("LIMPIO", None, 0.0)
+    flat = agreement.ordinal_agreement(spark.createDataFrame([(2, 1), (2, 3)], "a int, b int"), "a", "b").first()
+    assert (flat.n, flat.exacto, flat.mas_menos_1, flat.corr) == (2, 0.0, 1.0, None)
+
+
+def test_exact_quantiles(spark):
+    values = [1 - (k % 97) ** 3 * 1e-9 for k in range(600)] + [0.5] * 300 + [float("nan"), None]
+    df = spark.createDataFrame([("ab"[k % 2], v) for k, v in enumerate(values)] + [(None, 7.0)], "g string, x double")
+    for share in (0.0, 0.37, 0.5, 0.995, 1.0):
+        want = {r.g: (r.n, r.q) for r in df.filter("not isnan(x)").groupBy("g").agg(F.count("x").alias("n"), F.percentile("x", F.lit(share)).alias("q")).collect()}
+        for parts in (0, 4, 256):
+            got = {r.g: (r.n, r.quantile) for r in ranked.exact_quantiles(df, "x", share, ["g"], parts).collect()}
+            assert got.keys() == want.keys() and all(got[g][0] == want[g][0] and got[g][1] == pytest.approx(want[g][1], abs=1e-12) for g in want)
+
+
+def test_photos_without_histograms_are_left_out(spark):
+    rows = [("a", 0, [1.0, 2.0]), ("a", 1, None), ("b", 0, [1.0, 2.0]), ("b", 1, [2.0, 1.0]), ("b", 2, None), ("c", 0, None), ("d", 0, [1.0, 1.0]), ("d", 1, [3.0, 4.0])]
+    out = {r.group_id: r for r in concordance.same_subject(spark.createDataFrame(rows, "group_id string, pos int, hist array<double>")).collect()}
+    assert {g: (r.n, r.comparadas, r.similitud_minima, r.coherente) for g, r in out.items()} == {"a": (2, 1, 1.0, True), "b": (3, 2, -1.0, False), "c": (1, 0, 1.0, True), "d": (2, 2, 1.0, True)}
+
+
+def test_pairs_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(concordance, "BLOCK", 3)
+    df = spark.createDataFrame([("g", k, k) for k in range(11)] + [("h", 0, 0)], "group_id string, pos int, v int")
+    out = sorted((r.a.v, r.b.v) for r in concordance.photo_pairs(df).collect())
+    assert out == [(a, b) for a in range(11) for b in range(a + 1, 11)]
+
+
 def test_training_report_takes_the_first_best(spark):
     df = spark.createDataFrame([("r", 1, 0.8, 0.9), ("r", 2, 0.9, 0.9), ("r", 3, 0.9, 0.95)], "run string, epoch int, val_auroc double, train_auroc double")
     out = ensembles.training_report(df).first()
