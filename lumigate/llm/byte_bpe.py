@@ -75,6 +75,7 @@ class Transducer:
             self.token_at[node] = token
         self.fits: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
+        self.orderly: dict[int, bool] = {}
         self._forget()
 
     def _forget(self, but: int = 0) -> int:
@@ -112,20 +113,35 @@ class Transducer:
             self.halves[token] = found
         return found
 
+    def _orderly(self, token: int) -> bool:
+        """Whether the merges that make a token come in the order of their ranks, so that its rank is the time at which it is made."""
+        found = self.orderly.get(token)
+        if found is None:
+            halves = self._halves(token)
+            found = len(self.bytes_of[token]) == 1 or (halves is not None and max(halves) < token and all(map(self._orderly, halves)))
+            self.orderly[token] = found
+        return found
+
     def _fit(self, left: int, right: int) -> bool:
         """Whether two tokens side by side are the encoding of their bytes; left -1: whether right alone is that of its own.
 
         Going back in time, the later of the two tokens at the border is taken apart. Two that lie there at the same
-        time must not have a merge of their own before one of them goes into a larger token; of equal ranks the left comes first.
+        time must not have a merge of their own before one of them goes into a larger token; of equal ranks the left comes
+        first. Where ranks do not tell times, the bytes are merged outright.
         """
         if left < 0:
             return len(self.bytes_of[right]) == 1 or self._halves(right) is not None
         bytes_of, ranks = self.bytes_of, self.ranks
-        before = 1 << 60
+        a, b, before = bytes_of[left], bytes_of[right], 1 << 60
+        if not (self._orderly(left) and self._orderly(right)):
+            return self._merge(a + b, 2) == [a, b] and a + b not in ranks
         while True:
             own = ranks.get(bytes_of[left] + bytes_of[right])
-            if own is not None and own < before:
-                return False
+            if own is not None:
+                if own < max(left, right):
+                    return self._merge(a + b, 2) == [a, b] and a + b not in ranks
+                if own < before:
+                    return False
             if left > right and (halves := self._halves(left)):
                 before, left = left, halves[1]
             elif halves := self._halves(right):
