@@ -38,6 +38,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+SPELLED = re.compile(r"\S\s*@\s*\S+\.\S|\S[\s\[(]+at[\])]*\s*[\w-]+\s*(?:\.\w|[\[(]?\bdot\b)", re.IGNORECASE)
 TOKEN = re.compile(r"\S+")
 BLANK = re.compile(r"\s")
 PIECE, RUN = 1 << 20, 1 << 16  # characters of text cut into tokens at a time, tokens scored at a time
@@ -51,6 +52,8 @@ her address is <email lena [at] post [dot] example [dot] net> she said
 contact <email info(at)shop.example.org> or call <phone +44 20 7946 0958> today
 send it to <email max.muster@firma-example.de>, please
 reach us: <email help at example dot org> or at the desk
+<email Paul At mail dot org>
+<email marie at post dot net> wrote it
 the server at <ip 192.168.10.4> did not answer
 from <ip 10.0.0.1> to <ip 10.0.0.254> in 3 steps
 ping <ip 172 . 16 . 4 . 9> again and again
@@ -379,7 +382,7 @@ def labelled(texts: list[str], shapes: Shapes) -> Iterator[tuple[int, int, int,
 def _enough(kind: int, text: str) -> bool:
     digits = sum(c.isdigit() for c in text)
     if kind == 0:
-        return bool(re.search(r"@|\bat\b", text, re.IGNORECASE)) and bool(re.search(r"\.|\bdot\b", text, re.IGNORECASE)) and text.count(" ") <= 8
+        return len(text) <= 400 and text.count(" ") <= 8 and bool(SPELLED.search(text))
     if kind == 1:
         numbers = re.findall(r"[0-9]+", text)
         return len(numbers) in (4, 5) and all(map(_octet, numbers[:4]))
