@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 
 from . import shared
 
-CACHE_PIECES = 100_000  # of about 230 bytes each, kept for the life of a worker
+CACHE_PIECES = 350_000  # of about 230 bytes each, kept for the life of a worker
 LONG_PIECE = 64  # letters from which a piece is not kept
-MOST_STATES = 150_000  # of about 400 bytes each with their transitions, kept for the life of a worker
-MOST_FITS = 150_000  # pairs of tokens of about 130 bytes each
+MOST_STATES = 450_000  # of about 400 bytes each with their transitions, kept for the life of a worker
+MOST_FITS = 300_000  # pairs of tokens of about 130 bytes each
 NEVER_ASKED, NO_LINK = -2, (-1, -1)
 
 
