@@ -37,13 +37,16 @@ def photo_pairs(df: DataFrame, group: str = "group_id", position: str = "pos") -
     return a.join(b, [group, "i", "j"]).filter(F.col(f"a.{position}") < F.col(f"b.{position}")).drop("i", "j")
 
 
-def centred(values):
-    """An array less its mean, at length 1; null where it is flat."""
+def centred(df: DataFrame, values: str, out: str) -> DataFrame:
+    """df with `out` for `values`: the array less its mean, at length 1; null where it is flat.
+
+    Mean and length are columns of their own, named twice each, so that they are worked out once a row and not once an element.
+    """
     zero = F.lit(0.0)
-    mean = F.aggregate(values, zero, lambda s, x: s + x) / F.size(values)
-    away = F.transform(values, lambda x: x - mean)
-    size = F.sqrt(F.aggregate(away, zero, lambda s, x: s + x * x))
-    return F.when(size > 0, F.transform(away, lambda x: x / size))
+    rows = df.withColumn("__mean", F.aggregate(values, zero, lambda s, x: s + x) / F.size(values))
+    rows = rows.withColumn("__away", F.when(F.col("__mean").isNotNull(), F.transform(values, lambda x: x - F.col("__mean"))))
+    rows = rows.withColumn("__size", F.sqrt(F.aggregate("__away", zero, lambda s, x: s + x * x)))
+    return rows.withColumn(out, F.when(F.col("__size") > 0, F.transform("__away", lambda x: x / F.col("__size")))).drop(values, "__mean", "__away", "__size")
 
 
 def same_subject(df: DataFrame, group: str = "group_id", position: str = "pos", hist: str = "hist", least: float = SIMILARITY_MIN) -> DataFrame:
@@ -54,7 +57,7 @@ def same_subject(df: DataFrame, group: str = "group_id", position: str = "pos",
     """
     values = F.col(hist).cast("array<double>")
     rows = df.filter(values.isNotNull() & ~F.exists(values, lambda x: x.isNull())).select(group, position, values.alias("v"))
-    rows = rows.filter(F.size("v") > 0).select(group, position, centred(F.col("v")).alias("z"))
+    rows = centred(rows.filter(F.size("v") > 0), "v", "z")
     product = F.aggregate(F.zip_with("a.z", "b.z", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     alike = F.coalesce(product, F.lit(1.0))
     found = photo_pairs(rows, group, position).select(group, alike.alias("c")).groupBy(group).agg(F.min("c").alias("low"), F.avg("c").alias("mean"))

@@ -20,7 +20,7 @@ def cut_points(cells: DataFrame, value: str, count: str, parts: int = PARTS) ->
 
     It names the count, so that it reads the same shuffled cells as the query around it.
     """
-    shares = F.array(*(F.lit(k / parts) for k in range(1, parts)))
+    shares = F.expr(f"array({', '.join(f'{k / parts}D' for k in range(1, parts))})")
     return cells.agg(F.percentile_approx(F.when(F.col(count) >= 0, F.col(value)), shares, F.lit(10 * parts)).alias("cuts")).scalar()
 
 

@@ -166,4 +166,4 @@ def poisson_cuts(mean: int) -> list[int]:
 
 def poisson(u: Column, mean: int) -> Column:
     """A draw from a whole number below 2**32."""
-    return F.size(F.filter(F.array(*map(F.lit, poisson_cuts(mean))), lambda c: c <= u)).cast("long")
+    return F.size(F.filter(F.expr(f"array({', '.join(f'{c}L' for c in poisson_cuts(mean))})"), lambda c: c <= u)).cast("long")

@@ -18,10 +18,11 @@ def strategies(val: DataFrame, group: str = "grupo", label: str = "label", prob:
     Groups with fewer than min_n rows or one class take the single threshold (0.5 where val as a whole has one class).
     Rows are collapsed to cells once; the curve of all is that of the groups' cells summed.
     """
-    found = roc.cells(val, prob, label, [group]).withColumn("todo", F.lit(False))
-    every = found.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).select(F.lit(None).cast(found.schema[group].dataType).alias(group), "score", "pos", "neg", F.lit(True).alias("todo"))
+    found = bucketed(roc.cells(val, prob, label, [group]), "score", "pos").withColumn("todo", F.lit(False))
+    every = found.groupBy("score", "bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    every = every.select(F.lit(None).cast(found.schema[group].dataType).alias(group), "score", "pos", "neg", "bucket", F.lit(True).alias("todo"))
     by = ["todo", "g"]
-    both = bucketed(found, "score", "pos").unionByName(bucketed(every, "score", "pos")).withColumn("g", F.coalesce(F.col(group).cast("string"), F.lit("")))
+    both = found.unionByName(every).withColumn("g", F.coalesce(F.col(group).cast("string"), F.lit("")))
     points = roc.curve(both, by)
     enough = (F.max("p") + F.max("n") >= min_n) & (F.max("p") > 0) & (F.max("n") > 0)
     own = points.groupBy(*by).agg(F.max(group).alias(group), roc.youden().alias("youden"), roc.at_sensitivity(target).alias("reached"), enough.alias("enough"))
@@ -33,10 +34,15 @@ def strategies(val: DataFrame, group: str = "grupo", label: str = "label", prob:
 
 
 def attach(test: DataFrame, own: DataFrame, group: str = "grupo") -> DataFrame:
-    """Test rows (or cells) with their thresholds; groups that val lacks take the single one. A left join on the group."""
-    single = own.filter(F.col(group).isNull()).select("u_unico").scalar()
-    out = test.join(own.filter(F.col(group).isNotNull()).drop("u_unico"), group, "left").withColumn("u_unico", F.coalesce(single, F.lit(0.5)))
-    return out.withColumns({c: F.coalesce(c, "u_unico") for c in ("u_grupo", "u_sens")})
+    """Test rows (or cells) with their thresholds; groups that val lacks take the single one.
+
+    The groups of test meet those of val first (a row a group), and the single threshold, the same in every row, fills the gaps.
+    """
+    groups = test.select(F.col(group).alias("__g")).filter("__g is not null").distinct()
+    met = groups.join(own, groups["__g"] == own[group], "full")
+    single = F.coalesce(F.max("u_unico").over(Window.partitionBy()), F.lit(0.5))
+    met = met.select("__g", single.alias("u_unico"), *(F.coalesce(c, single).alias(c) for c in ("u_grupo", "u_sens"))).filter("__g is not null")
+    return test.join(met, test[group] == met["__g"]).drop("__g")
 
 
 def evaluate(val: DataFrame, test: DataFrame, group: str = "grupo", label: str = "label", prob: str = "prob", target: float = 0.85, min_n: int = 25) -> DataFrame:

@@ -12,7 +12,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumigate.functions import scalars
-from lumigate.operators import agreement, concordance, ensembles, fairness, manifest, metrics, ranked, roc, splits, thresholds
+from lumigate.operators import agreement, concordance, ensembles, fairness, manifest, measures, metrics, ranked, roc, splits, thresholds
+from lumigate.plans import photo_queries  # noqa: F401  (fills the registry)
 from lumigate.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -224,6 +225,27 @@ def test_photos_without_histograms_are_left_out(spark):
     assert {g: (r.n, r.comparadas, r.similitud_minima, r.coherente) for g, r in out.items()} == {"a": (2, 1, 1.0, True), "b": (3, 2, -1.0, False), "c": (1, 0, 1.0, True), "d": (2, 2, 1.0, True)}
 
 
+def test_photos_too_small_for_a_crop_give_one_row(spark):
+    size = spark.createDataFrame([("wide", 200, 50), ("square", 64, 64)], "photo_id string, width int, height int")
+    assert sorted(map(str, map(tuple, measures.crops(size).collect()))) == ["('square', 0, 0, 64)", "('wide', 0, 0, None)"]
+
+
+def test_unanimous_needs_two_ratings(spark):
+    df = spark.createDataFrame([(1, 1, 1, None), (2, 1, 0, 1), (3, 1, None, None), (4, None, None, None)], "k int, a int, b int, c int")
+    assert [r.k for r in agreement.unanimous(agreement.rater_agreement(df, ["a", "b", "c"])).collect()] == [1]
+
+
+def test_bootstrap_brackets_the_area(spark):
+    df = predictions(spark, [("ab"[i % 2], int((i * 7919 % 100) < 30 + (i * 37 % 50)), (i * 37 % 50) / 50) for i in range(600)])
+    found = {r.grupo: r for r in roc.bootstrap(df, "prob", "label", 60, 3, ["grupo"]).collect()}
+    for r in roc.auroc(df, "prob", "label", ["grupo"]).collect():
+        own = found[r.grupo]
+        assert own.auroc_lo < r.auroc < own.auroc_hi and own.auroc_hi - own.auroc_lo < 0.25 and own.auprc_lo < own.auprc_hi
+    draws = spark.range(4000).select(*(roc.poisson(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 32)), k).alias(f"m{k}") for k in (1, 5, 8))).agg(*(F.avg(f"m{k}").alias(f"a{k}") for k in (1, 5, 8)), *(F.var_pop(f"m{k}").alias(f"v{k}") for k in (1, 5, 8))).first()
+    for k in (1, 5, 8):
+        assert draws[f"a{k}"] == pytest.approx(k, rel=0.07) and draws[f"v{k}"] == pytest.approx(k, rel=0.12)
+
+
 def test_pairs_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(concordance, "BLOCK", 3)
     df = spark.createDataFrame([("g", k, k) for k in range(11)] + [("h", 0, 0)], "group_id string, pos int, v int")
