@@ -11,6 +11,7 @@ import time
 
 import numpy as np
 import pytest
+from odd_columns import HELPERS
 from pyspark.sql import functions as F
 
 from lumigate.llm import ann, line_dedup, mixing, ngram_join, shared
@@ -149,10 +150,6 @@ def test_settings_are_given_back(spark):
     assert spark.conf.get(shared.BATCH_BYTES) == before
 
 
-#: Names of columns that operators make for themselves.
-HELPERS = "s whole blocks lo lp rest k t o p copies at b es ls bs gone kept n_gone id row_key fingerprint window windows line pairs hashes words from_id from_key d times first best class component node once id_key key row block home low n gram total lang perplexity cut threshold keep bucket c0 c1 one tokens l u v m __maybe".split()
-
-
 def clashing(spark, rows):
     base = docs_of(spark, rows).drop("class", "gram")
     return base.withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in HELPERS if c not in base.columns})

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import tiktoken
+from odd_columns import HELPERS
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -607,10 +608,8 @@ def test_near_duplicate_stage_keeps_one_of_repeated_rows(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, 0), (False, 2), (False, 3), (False, 3), (False, 4)]
 
 
-def test_every_stage_takes_odd_rows_and_any_columns(spark, tmp_path):
+def test_every_stage_takes_odd_rows_and_any_columns(spark):
     """Nulls, blanks, repeated rows and columns named as the operators' own; and an empty table."""
-    from .test_llm_joins import HELPERS
-
     base = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (1, " ", "en", "a", 1), (None, "some words of a text", "fr", "a", 1)], base.schema)
     docs = base.unionByName(odd).unionByName(base.limit(3))
