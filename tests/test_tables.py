@@ -155,6 +155,17 @@ def test_balanced_sample_is_exact_with_a_hot_key(spark):
     assert splits.balanced_sample(rows, 200).count() == 100
 
 
+def test_balanced_sample_is_exact_with_two_repeated_keys(spark):
+    df = spark.range(10_000).select((F.col("id") % 2).cast("int").alias("label"), (F.floor(F.col("id") / 2) % 2).cast("string").alias("image_path"))
+    assert {(r.label, r["count"]) for r in splits.balanced_sample(df, 100).groupBy("label").count().collect()} == {(0, 50), (1, 50)}
+
+
+def test_folds_of_one_large_stratum_are_even(spark):
+    people = spark.range(5000).select(F.col("id").cast("string").alias("patient_id"), F.lit(1).alias("n"), (F.col("id") % 2).alias("positivos"))
+    out = {(r.positivos, r.fold): r["count"] for r in splits.patient_folds(people, 5, 42).groupBy("positivos", "fold").count().collect()}
+    assert out == {(y, k): 500 for y in (0, 1) for k in range(5)}
+
+
 def test_scalar_edges(spark):
     df = spark.createDataFrame([("2",), ("2.7",), ("0",), ("7",), ("nan",), (None,), (" media ",), ("6",)], "t string")
     c = F.col("t")
