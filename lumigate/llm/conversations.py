@@ -353,9 +353,9 @@ def _stream(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def repair(rows: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """The repaired rows: conv, place (from 0), edit (K, R or I), role, text. rows: conv, turn, role, text, n, as `damaged` or `plain` give."""
+    """The repaired rows: conv_id, place (from 0), edit (K, R or I), role, text. rows: conv, turn, role, text, n, as `damaged` or `plain` give."""
     found = reports(rows) if found is None else found
-    out = T.StructType().add(rows.schema["conv"]).add("place", "long").add("edit", "string").add("role", "string").add("text", "string")
+    out = T.StructType().add("conv_id", rows.schema["conv"].dataType).add("place", "long").add("edit", "string").add("role", "string").add("text", "string")
     arrow = _arrow(out)
     shared.bound_batches(rows.sparkSession, 4 << 20)
 

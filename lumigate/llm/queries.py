@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, conversations, line_dedup, lm_scoring, media, mixing, ngram_join, pii, quality, toxicity
+from . import alignment, ann, byte_bpe, conversations, line_dedup, lm_scoring, media, mixing, ngram_join, pii, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digests(_table(spark, sf_dir, "documents"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired_digests(conversations.damaged(_table(spark, sf_dir, "conversations")))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_ann": op10_ann,
+    "op11_alignment": op11_alignment,
     "op13_conversations": op13_conversations,
 }
 #: The whole join in SQL: every pair that shares a shingle, then closure over the links.

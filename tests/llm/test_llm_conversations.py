@@ -167,11 +167,11 @@ def test_a_long_conversation_in_small_packs(spark, monkeypatch, pack):
 
 
 def test_repaired_rows_and_columns_of_any_name(spark):
-    rows = [(1, 0, "system", "S."), (1, 1, "user", "Q?"), (1, 2, "user", "More"), (1, 3, "assistant", "A."), (2, 0, "assistant", "A.")]
+    rows = [(1, 0, "system", "S."), (1, 1, "user", "Q?"), (1, 2, "user", "More."), (1, 3, "assistant", "A."), (2, 0, "assistant", "A.")]
     table = spark.createDataFrame([(*r, *range(len(HELPERS))) for r in rows], "conv_id long, turn long, role string, text string, " + ", ".join(f"`{h}` int" for h in HELPERS))
     got = sorted((r.conv_id, r.place, r.edit, r.role, r.text) for r in C.repair(C.plain(table)).collect())
     assert got == [
-        (1, 0, "K", "system", "S."), (1, 1, "K", "user", "Q?"), (1, 2, "I", "assistant", ""), (1, 3, "K", "user", "More"), (1, 4, "K", "assistant", "A."),
+        (1, 0, "K", "system", "S."), (1, 1, "K", "user", "Q?"), (1, 2, "I", "assistant", ""), (1, 3, "K", "user", "More."), (1, 4, "K", "assistant", "A."),
         (2, 0, "I", "user", ""), (2, 1, "K", "assistant", "A."),
     ]
 
