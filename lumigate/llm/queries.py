@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, byte_bpe, conversations, line_dedup, lm_scoring, media, mixing, ngram_join, pii, quality, toxicity
+from . import alignment, ann, byte_bpe, conversations, html_extract, line_dedup, lm_scoring, media, mixing, ngram_join, pii, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_digests(_table(spark, sf_dir, "documents"))
 
 
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired_digests(conversations.damaged(_table(spark, sf_dir, "conversations")))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_ann": op10_ann,
     "op11_alignment": op11_alignment,
+    "op12_html": op12_html,
     "op13_conversations": op13_conversations,
 }
 #: The whole join in SQL: every pair that shares a shingle, then closure over the links.
@@ -116,4 +121,36 @@ taken as (select doc_id, placed.s, k, blocks, whole + cast(coalesce(o < lo or (o
 select doc_id, s as source, cast(epoch as int) as mix_epoch, cast('0x' || substr(md5('0:' || epoch || ':' || k % blocks), 1, 15) as bigint) as mix_block,
   cast('0x' || substr(md5('0:' || epoch || ':' || k), 1, 15) as bigint) as mix_place from (select *, unnest(generate_series(0, copies - 1)) as epoch from taken where copies > 0)
 """
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": NGRAM_JOIN_SQL, "op5_mixing": MIXING_SQL}
+#: The main text of the given pages in SQL: they mark it as an article of p and h1, with few character references.
+HTML_SQL = r"""
+with a as (select page_id, url, regexp_replace(regexp_replace(coalesce(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), ''), '</?b>', '', 'g'), '<br>', ' ', 'g') as a from pages),
+b as (select page_id, url, list_transform(regexp_split_to_array(a, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(
+  replace(replace(replace(replace(replace(replace(replace(x, '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))) as b from a)
+select page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) as text, cast(length(array_to_string(list_filter(b, lambda x: x <> ''), chr(10))) as bigint) as n_chars from b
+"""
+#: The repair in SQL: crc32 by its table, then the cheapest (cost, audit) of each state, from the last row back.
+CONVERSATIONS_SQL = r"""
+with recursive t as (select list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, cast(x as bigint))) as t),
+c as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as name from conversations),
+k as (select c.*, xor(4294967295, list_reduce(list_transform(range(1, length(name) + 1), lambda i: cast(unicode(name[i]) as bigint)), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1]), 4294967295)) % 20 as k from c, t),
+d as (select conv_id, turn, case when k = 4 then 'user' else role end as role, case k when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(range(case k when 0 then 0 when 3 then 2 else 1 end)) as copy from k),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, md5(length(role) || ':' || role || ':' || text), copy) - 1 as i, left(role, 1) as r from d),
+f as (select *, case when rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' then 1 when row_number() over (partition by conv_id, role, text order by i) > 1 then 2
+  when right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) not in ('.', '!', '?') then 3 else 0 end as f, lag(r) over (partition by conv_id order by i) as before from o),
+n as (select conv_id, count(f.i) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(f = 1) as blank, count_if(f = 2) as duplicate, count_if(f = 3) as truncated,
+  count_if(before is not null and before || r not in ('su', 'ua', 'au')) as illegal from (select distinct conv_id from conversations) x left join f using (conv_id) group by conv_id),
+w as (select conv_id, n as i, {'c': 0, 'a': '', 'r': cast([] as varchar[])} as w0, {'c': 4, 'a': 'II', 'r': ['user:', 'assistant:']} as w1, {'c': 2, 'a': 'I', 'r': ['assistant:']} as w2, {'c': 0, 'a': '', 'r': cast([] as varchar[])} as w3 from n
+ union all
+ select conv_id, i, case when u0 < {'c': v2.c + 2, 'a': 'I' || v2.a, 'r': list_prepend('user:', v2.r)} then u0 else {'c': v2.c + 2, 'a': 'I' || v2.a, 'r': list_prepend('user:', v2.r)} end,
+   case when u1 < {'c': v2.c + 2, 'a': 'I' || v2.a, 'r': list_prepend('user:', v2.r)} then u1 else {'c': v2.c + 2, 'a': 'I' || v2.a, 'r': list_prepend('user:', v2.r)} end, v2,
+   case when u3 < {'c': v2.c + 2, 'a': 'I' || v2.a, 'r': list_prepend('user:', v2.r)} then u3 else {'c': v2.c + 2, 'a': 'I' || v2.a, 'r': list_prepend('user:', v2.r)} end
+ from (select *, case when u2 < {'c': u3.c + 2, 'a': 'I' || u3.a, 'r': list_prepend('assistant:', u3.r)} then u2 else {'c': u3.c + 2, 'a': 'I' || u3.a, 'r': list_prepend('assistant:', u3.r)} end as v2
+ from (select w.conv_id, w.i - 1 as i,
+   list_min([{'c': w0.c + 3, 'a': 'D' || w0.a, 'r': w0.r}, case when ok and r = 's' then {'c': w1.c + t, 'a': 'K' || w1.a, 'r': list_prepend(line, w1.r)} end, case when ok and r = 'u' then {'c': w2.c + t, 'a': 'K' || w2.a, 'r': list_prepend(line, w2.r)} end, case when ok then {'c': w2.c + 2 + t, 'a': 'R' || w2.a, 'r': list_prepend('user:' || text, w2.r)} end]) as u0,
+   list_min([{'c': w1.c + 3, 'a': 'D' || w1.a, 'r': w1.r}, case when ok and r = 'u' then {'c': w2.c + t, 'a': 'K' || w2.a, 'r': list_prepend(line, w2.r)} end, case when ok then {'c': w2.c + 2 + t, 'a': 'R' || w2.a, 'r': list_prepend('user:' || text, w2.r)} end]) as u1,
+   list_min([{'c': w2.c + 3, 'a': 'D' || w2.a, 'r': w2.r}, case when ok and r = 'a' then {'c': w3.c + t, 'a': 'K' || w3.a, 'r': list_prepend(line, w3.r)} end, case when ok then {'c': w3.c + 2 + t, 'a': 'R' || w3.a, 'r': list_prepend('assistant:' || text, w3.r)} end]) as u2,
+   list_min([{'c': w3.c + 3, 'a': 'D' || w3.a, 'r': w3.r}, case when ok and r = 'u' then {'c': w2.c + t, 'a': 'K' || w2.a, 'r': list_prepend(line, w2.r)} end, case when ok then {'c': w2.c + 2 + t, 'a': 'R' || w2.a, 'r': list_prepend('user:' || text, w2.r)} end]) as u3
+ from w join (select *, role || ':' || text as line, cast(f = 3 as integer) as t, f not in (1, 2) as ok from f) f on w.conv_id is not distinct from f.conv_id and f.i = w.i - 1)))
+select w.conv_id, gaps, blank, duplicate, truncated, illegal, cast(w0.c as bigint) as cost, w0.a as audit, sha256(array_to_string(w0.r, chr(10))) as repaired_sha256 from w join n on w.conv_id is not distinct from n.conv_id where w.i = 0
+"""
+ORACLES: dict[str, str] = {"op12_html": HTML_SQL, "op13_conversations": CONVERSATIONS_SQL, "op1_ngram_jaccard_join": NGRAM_JOIN_SQL, "op5_mixing": MIXING_SQL}

@@ -1,0 +1,110 @@
+"""HTML extraction against pages whose main text is known."""
+
+from __future__ import annotations
+
+import html
+import re
+import time
+
+import pytest
+from odd_columns import HELPERS
+
+from lumigate.llm import html_extract as H
+from lumigate.llm import queries as Q
+
+SF = "/root/testdata/sf0.001"
+#: (page, its main text).
+PAGES = [
+    (
+        "<html><head><title>T</title></head><body class='has-sidebar no-ads'><header class='site-header'><h1>Site</h1><nav><a href=/>Home</a></nav></header>"
+        "<div class='cookie-banner'>We use cookies <button>OK</button></div><main><article><header class='entry-header'><h1>Title here</h1></header>"
+        "<p>One &amp; two.</p><aside class='related'>More <a>x</a></aside><p>Three<br>four &nbsp; five</p><form><input><label>Mail</label></form>"
+        "<section id='comments'><h2>Comments</h2><article class='comment'><p>nice post, I liked it very much</p></article></section></article></main>"
+        "<div id='sidebar'><p>side text</p></div><footer>&copy; 2020</footer></body></html>",
+        "Title here\nOne & two.\nThree four five",
+    ),
+    (
+        "<body><div id=header>My site</div><ul class=menu><li><a href=a>A</a><li><a>B</a></ul><div id=content><h2>Story</h2><p>Hello <i>wor</i>ld<p>Second"
+        "<div class='advertisement'>Buy</div><ul><li>x<li>y</ul><pre> a\n b</pre></div><div class=comments><p>First!</p></div><div id=footer>Copyright</div></body>",
+        "Story\nHello world\nSecond\nx\ny\na b",
+    ),
+    ("<p>Just text &lt;b&gt;</p><p>and more", "Just text <b>\nand more"),
+    ("<body><nav>a</nav><p>x</p></body>", "x"),
+    ("plain text only", "plain text only"),
+    ("<!-- c --><script>var a='<p>no</p>';</script>", ""),
+    ("<p>a <script>x</p>", "a"),
+    ("<article><p>cut off &am", "cut off &am"),
+    ("<article><h1>t</h1><p>a<a href='x>y'>b</a> c < d</p></article>", "t\nab c < d"),
+    ("<div class='ad'>buy</div>", ""),
+    ("<p class=x title=don't>ok it's</p>", "ok it's"),
+    ("<article><p>1</p><table><tr><td>a<td>b<tr><td>c</table></article>", "1\na\nb\nc"),
+    ("<article><p>1</p></article><p>stray words that follow the article</p>", "1"),
+    ("<ARTICLE><P CLASS='lead'>&#65;&#x42; &eacute;&ndash;</P></ARTICLE>", "AB é–"),
+    ("", ""), ("   ", ""), (None, ""), ("<article>", ""), ("<", "<"),
+]
+HOSTILE = ["<" * 300_000, "<a '" * 100_000, "<p>x" * 50_000, "<div>" * 50_000, "<!--" * 100_000, '<a b="' * 100_000, "</p>" * 100_000, "&amp" * 100_000, "<script>" * 20_000, "<b><i>x" * 20_000, "<li><ul>" * 20_000]
+
+
+@pytest.fixture(scope="module")
+def extractor():
+    return H.Extractor()
+
+
+@pytest.mark.parametrize("page,text", PAGES)
+def test_pages_of_known_text(extractor, page, text):
+    assert extractor.extract(page) == text
+
+
+def main_text(page):
+    """The text of a given page by its article element alone."""
+    inner = re.search(r"<article>(.*?)</article>", page, re.S).group(1)
+    blocks = re.split(r"</?(?:p|h1)>", inner.replace("<b>", "").replace("<br>", " "))
+    lines = (" ".join(html.unescape(b).split()) for b in blocks)
+    return "\n".join(line for line in lines if line)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_given_pages_by_their_article(spark, sf):
+    pages = {r.page_id: r for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect()}
+    found = Q.QUERIES["op12_html"](spark, f"/root/testdata/{sf}").collect()
+    assert len(found) == len(pages)
+    for r in found:
+        page = pages[r.page_id]
+        assert (r.url, r.text, r.n_chars) == (page.url, main_text(page.html), len(r.text))
+
+
+def test_labelled_pages_are_told_apart(extractor):
+    """Words of the labelled pages themselves: nearly all on the right side, and no content lost."""
+    right = wrong = lost = 0
+    for page in H.labelled_pages():
+        words = extractor.extract(page).split()
+        lost += len(re.findall(r"\bcontent\b(?!['\w-])", re.sub(r"<[^>]*>", " ", page))) - words.count("content")
+        wrong += words.count("other")
+        right += words.count("content")
+    assert lost == 0 and wrong <= right / 1000
+
+
+def test_the_best_run_by_all_runs():
+    import random
+
+    rng = random.Random(12)
+    for _ in range(500):
+        scores = [rng.choice([-2, -1, -0.5, 0, 1, 2]) for _ in range(rng.randrange(12))]
+        start, end = H.best_run(scores)
+        best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0)
+        assert sum(scores[start:end]) == max(best, 0)
+
+
+@pytest.mark.parametrize("page", HOSTILE)
+def test_hostile_pages_take_linear_time(extractor, page):
+    start = time.process_time()
+    extractor.extract(page)
+    assert time.process_time() - start < 5
+
+
+def test_odd_rows_and_columns(spark):
+    table = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, None, None), (2, "v", "x " * 500_000)]
+    frame = spark.createDataFrame([(*r, *range(len(HELPERS))) for r in table], "page_id long, url string, html string, " + ", ".join(f"`{h}` int" for h in HELPERS))
+    found = sorted(((r.page_id, r.url, r.n_chars) for r in H.extract(frame).collect()), key=str)
+    assert found == [(1, "u", 1), (1, "u", 1), (2, "v", 999_999), (None, None, 0)]
+    assert H.extract(frame.limit(0)).count() == 0
