@@ -11,11 +11,6 @@ from pyspark.sql import functions as F
 from . import metrics, roc
 
 
-def _first_by_name(name: str) -> Column:
-    """An ordering key under which the alphabetically first of equals is the largest."""
-    return F.transform(F.split(F.col(name), ""), lambda c: -F.ascii(c))
-
-
 def subgroup_report(
     df: DataFrame,
     attributes: Sequence[str],
@@ -61,7 +56,7 @@ def ordered(report: DataFrame) -> DataFrame:
 def fnr_gaps(report: DataFrame) -> DataFrame:
     """Per attribute: largest and smallest FNR, their gap, and the worst subgroup (the first by name of equals)."""
     f = F.col("fnr_infradiagnostico")
-    worst = F.max_by("subgrupo", F.struct(f.alias("f"), _first_by_name("subgrupo").alias("back")))
+    worst = F.min_by("subgrupo", F.when(f.isNotNull(), F.struct((-f).alias("f"), "subgrupo")))
     return report.groupBy("atributo").agg(F.max(f).alias("maximo"), F.min(f).alias("minimo"), (F.max(f) - F.min(f)).alias("brecha"), worst.alias("peor_subgrupo"))
 
 

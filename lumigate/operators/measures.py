@@ -7,6 +7,7 @@ Image rows are (photo_id, height, width, nChannels, mode, data) as Spark's image
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -62,6 +63,7 @@ def _row(row, data: np.ndarray | None, **more) -> dict:
     return {"photo_id": row.photo_id, "height": row.height, "width": row.width, "nChannels": min(row.nChannels, 3), "data": None if data is None else np.ascontiguousarray(data).tobytes()} | more
 
 
+BOXES = 200_000  # of 40 bytes each, broadcast at a time
 _PIXELS = "photo_id string, height int, width int, nChannels int, data binary"
 
 
@@ -70,7 +72,10 @@ def gray_world(photos: DataFrame) -> DataFrame:
 
 
 def neutral_reference(photos: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Photos balanced by their box (photo_id, x, y, w, h); a bad box gives no pixels and says so in `error`."""
+    """Photos balanced by their box (photo_id, x, y, w, h); a bad box gives no pixels and says so in `error`.
+
+    Boxes go to the photos, never pixels to the boxes: they are counted, and broadcast in slices of at most about BOXES.
+    """
 
     def work(row) -> list[dict]:
         try:
@@ -78,7 +83,11 @@ def neutral_reference(photos: DataFrame, boxes: DataFrame) -> DataFrame:
         except ValueError as e:
             return [_row(row, None, error=str(e))]
 
-    return _each(photos.join(boxes, "photo_id"), (*PHOTO, "x", "y", "w", "h"), work, _PIXELS + ", error string")
+    n = boxes.count()
+    slices = max(1, -(-n // BOXES))
+    parts = [boxes] if slices == 1 else [boxes.filter(F.pmod(F.xxhash64("photo_id"), F.lit(slices)) == k) for k in range(slices)]
+    met = [photos.join(F.broadcast(part.select("photo_id", "x", "y", "w", "h")), "photo_id") for part in parts]
+    return reduce(DataFrame.unionByName, (_each(rows, (*PHOTO, "x", "y", "w", "h"), work, _PIXELS + ", error string") for rows in met))
 
 
 def flip_views(photos: DataFrame) -> DataFrame:

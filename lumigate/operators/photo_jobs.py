@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import gate, pixels
 from ..sources import photos as source
+from ..sources.scratch import deleted, fresh
 from . import measures
 
 REPORT = ("photo_id", "veredicto", "aceptable", "mensaje", "problemas")
@@ -29,18 +31,42 @@ def judge_folder(spark: SparkSession, path: str, out: str, u: gate.Thresholds |
     return gate.verdict_counts(kept).withColumn("ilegibles", unreadable.scalar())
 
 
-def measure_pending(photos: DataFrame, done: str, u: gate.Thresholds | None = None, side: int = pixels.CANONICAL_SIDE) -> DataFrame:
-    """Measures and judges the photos that the Parquet table `done` lacks, appends them, and returns the whole table.
+WAVE = 50_000  # photos of one durable step; so many paths are on the driver at a time
+
+
+def complete_runs(spark: SparkSession, done: str) -> list[str]:
+    """The folders under `done` whose writing ended; what a killed run left unfinished is not among them."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{done}/run=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(f.getPath().getParent().toString() for f in found or ())
+
+
+def measured(spark: SparkSession, done: str) -> DataFrame | None:
+    """All rows of the complete runs; None before the first."""
+    runs = complete_runs(spark, done)
+    return spark.read.parquet(*runs) if runs else None
+
+
+def measure_pending(spark: SparkSession, folder: str, done: str, u: gate.Thresholds | None = None, side: int = pixels.CANONICAL_SIDE, wave: int = WAVE) -> DataFrame:
+    """Measures and judges the photos of a folder that `done` lacks, and returns all of it.
 
-    A run that was cut short has appended nothing or all of its rows; the next one goes on with what is missing.
+    Files are listed, not opened; the listing's keys meet the finished keys, and only files that are left are read and
+    decoded, in waves of about `wave` dealt by hash. A wave is written to a folder of its own, which counts once it is
+    complete, so a run that is cut short loses one wave at most and the next goes on with what is missing. Files that do not decode
+    are tried again each time.
     """
-    spark = photos.sparkSession
-    try:
-        before = spark.read.parquet(done).select("photo_id")
-        todo = source.pending(photos, before)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        todo = photos
-    gate.judge(measures.measure(todo, side), u).write.mode("append").parquet(done)
-    return spark.read.parquet(done)
+    listed = source.list_photos(spark, folder).select("photo_id", "path")
+    before = measured(spark, done)
+    todo = listed if before is None else source.pending(listed, before)
+    with_wave = fresh(spark, "pending")
+    todo.write.parquet(with_wave)  # what is left as of now
+    todo = spark.read.parquet(with_wave)
+    run, waves = uuid.uuid4().hex, -(-todo.count() // wave)
+    for k in range(waves):
+        paths = [r.path for r in todo.filter(F.pmod(F.xxhash64("path"), F.lit(waves)) == k).select("path").toLocalIterator()]
+        if paths:
+            good, _ = source.split_unreadable(source.read_listed(spark, paths))
+            gate.judge(measures.measure(good, side), u).write.parquet(f"{done}/run={run}-{k}")
+    deleted(spark, with_wave)
+    found = measured(spark, done)
+    return found if found is not None else gate.judge(measures.measure(spark.createDataFrame([], source.PHOTO_SCHEMA), side), u)

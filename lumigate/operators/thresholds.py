@@ -72,7 +72,7 @@ def summary(evaluated: DataFrame) -> DataFrame:
     sensibilidad_propia is over the groups that are judged, sensibilidad_todos over all of test, small groups too, each
     at its own thresholds; sensibilidad_global is that of the single threshold, which the published tables give beside every strategy.
     """
-    worst = F.max_by("grupo", F.struct("fnr", F.expr("transform(split(grupo, ''), c -> -ascii(c))").alias("back")))
+    worst = F.min_by("grupo", F.when(F.col("fnr").isNotNull(), F.struct((-F.col("fnr")).alias("f"), "grupo")))
     return evaluated.groupBy("orden", "estrategia").agg(
         (F.max("fnr") - F.min("fnr")).alias("brecha_fnr"),
         F.max("fnr").alias("fnr_maximo"),

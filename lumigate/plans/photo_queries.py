@@ -7,13 +7,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import gate, scalars
 from ..operators import manifest, measures, photo_jobs
 from ..sources import photos as source
-from ..sources.scratch import fresh
+from ..sources.scratch import fresh, held
 from ..streaming import gate_stream
 from . import adapters as A
 from . import queries as Q
@@ -140,11 +140,15 @@ def gray_world_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.gray_world(tiles(spark, sf_dir)).select("photo_id", F.md5(F.hex("data")).alias("datos"))
 
 
-@query(balanced_sql(_channel_means("x between t % 8 and t % 8 + 4 and y between 2 and 7")))
+BOXED = balanced_sql(_channel_means("x between t % 8 and t % 8 + 4 and y between 2 and 7")).replace("select cast(t as varchar)", "select t, cast(t as varchar)")
+
+
+@query(f"select photo_id, case when t % 5 <> 4 then datos end as datos, t % 5 = 4 as sin_caja from ({BOXED})")
 def neutral_box_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tiles(spark, sf_dir)
-    boxes = found.select("photo_id", (F.col("photo_id").cast("int") % 8).alias("x"), F.lit(2).alias("y"), F.lit(5).alias("w"), F.lit(6).alias("h"))
-    return measures.neutral_reference(found, boxes).select("photo_id", F.md5(F.hex("data")).alias("datos"))
+    """Photos balanced by a box; every fifth box lies outside its photo."""
+    found, t = tiles(spark, sf_dir), F.col("photo_id").cast("int")
+    boxes = found.select("photo_id", F.when(t % 5 == 4, SIDE).otherwise(t % 8).alias("x"), F.lit(2).alias("y"), F.lit(5).alias("w"), F.lit(6).alias("h"))
+    return measures.neutral_reference(found, boxes).select("photo_id", F.md5(F.hex("data")).alias("datos"), F.col("error").isNotNull().alias("sin_caja"))
 
 
 # --- files --------------------------------------------------------------------------------------
@@ -176,18 +180,33 @@ def write_files(files: DataFrame, folder: str) -> str:
     return folder
 
 
+def _bmp_files(photos: DataFrame, broken: int | None = None) -> DataFrame:
+    """(name, data) of the photos as BMP files; of every seventh, those with the remainder `broken` do not decode."""
+
+    @F.pandas_udf("binary")
+    def encode(i: pd.Series, h: pd.Series, w: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([b"BMP broken" if k % 7 == broken else _bmp(x, y, bytes(z)) for k, y, x, z in zip(i, h, w, d, strict=True)])
+
+    number = F.col("photo_id").cast("int")
+    return photos.select(F.concat("photo_id", F.when(number % 2 == 0, ".bmp").otherwise(".BMP")).alias("name"), encode(number, "height", "width", "data").alias("data"))
+
+
 def _photo_folder(spark: SparkSession, sf_dir: str) -> str:
     """The photos as BMP files, every seventh broken, and a text file that is no photo."""
-    encode = F.udf(lambda i, h, w, d: b"BM broken" if int(i) % 7 == 3 else _bmp(w, h, bytes(d)), "binary")
-    found = tiles(spark, sf_dir)
-    files = found.select(F.concat("photo_id", F.when(F.col("photo_id").cast("int") % 2 == 0, ".bmp").otherwise(".BMP")).alias("name"), encode("photo_id", "height", "width", "data").alias("data"))
+    files = _bmp_files(tiles(spark, sf_dir), 3)
     return write_files(files.unionByName(spark.createDataFrame([("notes.txt", b"no photo")], "name string, data binary")), fresh(spark, "photos"))
 
 
-U = gate.thresholds(lado_corto_min=8, nitidez_min=2.0, nitidez_dudosa="3", apagada_max=0.3, quemada_max=0.2, estructura_min=0.2, brillo_max=0.6)
+def _number() -> Column:
+    """The photo's number from where its file lies."""
+    return F.regexp_extract("photo_id", r"([0-9]+)\.(?i:bmp)$", 1)
+
+
+# Thresholds at which the given photos are accepted, in doubt and rejected, by several rules.
+U = gate.thresholds(lado_corto_min=8, nitidez_min=16.0, nitidez_dudosa="18", apagada_max=0.3, quemada_max=0.23, estructura_min=0.15, brillo_max=0.9, reflejo_max=0.08, ratio_centro_marco_min=1)
 RULES = {
-    "nitidez": "nc < 2e0", "oscura": "brillo < 0.18e0 or apagados / 256e0 > 0.3e0", "quemada": "brillo > 0.6e0 or quemados / 256e0 > 0.2e0", "reflejo": "mayor / 256e0 > 0.04e0",
-    "plana": "rango < 0.25e0 or estructura < 0.2e0", "tinte_extremo": "tinte > 0.45e0", "nitidez_justa": "nc >= 2e0 and nc < 3e0", "descentrada": "ratio < 0.55e0", "tinte_moderado": "tinte > 0.22e0 and tinte <= 0.45e0",
+    "nitidez": "nc < 16e0", "oscura": "brillo < 0.18e0 or apagados / 256e0 > 0.3e0", "quemada": "brillo > 0.9e0 or quemados / 256e0 > 0.23e0", "reflejo": "mayor / 256e0 > 0.08e0",
+    "plana": "rango < 0.25e0 or estructura < 0.15e0", "tinte_extremo": "tinte > 0.45e0", "nitidez_justa": "nc >= 16e0 and nc < 18e0", "descentrada": "ratio < 1e0", "tinte_moderado": "tinte > 0.22e0 and tinte <= 0.45e0",
 }
 REGLAS = f"array_to_string(list_filter([{', '.join(f'case when {c} then {r!r} end' for r, c in RULES.items())}], lambda x: x is not null), '|')"
 JUDGED = f"""with recursive {measures_sql(GRAY16, PIXELS, SIDE)}, named as (select *, {REGLAS} as reglas from m),
@@ -209,16 +228,17 @@ def judged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     photo_jobs.judge_folder(spark, _photo_folder(spark, sf_dir), out, U, SIDE)
     table = spark.read.option("header", True).csv(f"{out}/measures").select("photo_id", "reglas")
     reports = spark.read.schema("photo_id string, veredicto string").json(f"{out}/reports")
-    name = F.regexp_extract("photo_id", r"([0-9]+)\.(?i:bmp)$", 1)
-    return table.join(reports, "photo_id").select(name.alias("photo_id"), "veredicto", F.coalesce("reglas", F.lit("")).alias("reglas"))
+    return table.join(reports, "photo_id").select(_number().alias("photo_id"), "veredicto", F.coalesce("reglas", F.lit("")).alias("reglas"))
 
 
 @query(JUDGED + "select photo_id, veredicto, reglas from judged")
 def measured_in_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of the photos are measured first; the second run measures and appends what is missing."""
-    found, done = tiles(spark, sf_dir), fresh(spark, "measured")
-    photo_jobs.measure_pending(found.filter("cast(photo_id as int) % 2 = 0"), done, U, SIDE)
-    return photo_jobs.measure_pending(found, done, U, SIDE).select("photo_id", "veredicto", "reglas")
+    """A folder measured when half of its files are there and again when all are; the second run opens only the others, in waves."""
+    found, folder, done = tiles(spark, sf_dir), fresh(spark, "photos"), fresh(spark, "measured")
+    for part in (0, 1):
+        write_files(_bmp_files(found.filter(F.col("photo_id").cast("int") % 2 == part)), folder)
+        out = photo_jobs.measure_pending(spark, folder, done, U, SIDE, wave=16)
+    return out.select(_number().alias("photo_id"), "veredicto", "reglas")
 
 
 @query(JUDGED + "select photo_id, veredicto, reglas from judged")
@@ -232,11 +252,50 @@ def judged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("photo_id", "veredicto", "reglas")
 
 
-@query(f"select 'stem' as clave, cast(t as varchar) as nombre from ({PIXELS}) where t % 2 = 0 group by t union all select 'name', cast(t as varchar) || '.bmp' from ({PIXELS}) where t % 2 = 0 group by t")
+def _streamed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Photo files that arrive in two parts, judged and counted by streams that are started twice, and then once more without the last commit.
+
+    Returns the folders of the verdicts and of the counts.
+    """
+    folder, out, counts, checkpoint = (fresh(spark, n) for n in ("arriving", "judged", "counts", "progress"))
+    found = tiles(spark, sf_dir)
+
+    def on() -> None:
+        gate_stream.judge_arrivals(gate_stream.arriving_files(spark, folder, 16), out, f"{checkpoint}/judge", U, SIDE).awaitTermination()
+        gate_stream.count_arrivals(spark, out, counts, f"{checkpoint}/count").awaitTermination()
+
+    for part in (0, 1):
+        write_files(_bmp_files(found.filter(F.col("photo_id").cast("int") % 2 == part), 3), folder)
+        on()
+    for stream in ("judge", "count"):  # as after a crash between a batch's writing and its commit
+        system, base = fs.FileSystem.from_uri(f"{checkpoint}/{stream}/commits")
+        last = max(int(f.base_name) for f in system.get_file_info(fs.FileSelector(base)) if f.base_name.isdigit())
+        for name in (str(last), f".{last}.crc"):
+            if system.get_file_info(f"{base}/{name}").type != fs.FileType.NotFound:
+                system.delete_file(f"{base}/{name}")
+    on()
+    return out, counts
+
+
+@query(JUDGED + "select photo_id, veredicto, reglas from judged where cast(photo_id as bigint) % 7 <> 3")
+def judged_file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts of photo files that arrive, one batch of which is run twice."""
+    out, _ = _streamed(spark, sf_dir)
+    return spark.read.parquet(out).select(_number().alias("photo_id"), "veredicto", "reglas")
+
+
+@query(JUDGED + "select veredicto, count(*) as n from judged where cast(photo_id as bigint) % 7 <> 3 group by 1")
+def running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts carried on over those batches."""
+    _, counts = _streamed(spark, sf_dir)
+    return gate_stream.running_counts(spark, counts)
+
+
+@query(f"select 'stem' as clave, cast(t as varchar) as nombre from ({PIXELS}) group by t union all select 'name', cast(t as varchar) || case t % 2 when 0 then '.bmp' else '.BMP' end from ({PIXELS}) group by t")
 def indexed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of the photo folder by name and by name without extension."""
     folder = _photo_folder(spark, sf_dir)
-    by = [source.image_index(spark, folder, k, ("bmp",)).filter(F.col("path").endswith(".bmp")).select(F.lit(k).alias("clave"), F.col("key").alias("nombre")) for k in ("stem", "name")]
+    by = [source.image_index(spark, folder, k, ("bmp",)).select(F.lit(k).alias("clave"), F.col("key").alias("nombre")) for k in ("stem", "name")]
     return by[0].unionByName(by[1])
 
 
@@ -259,16 +318,18 @@ def written_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("split", "image_path", "patient_id")
 
 
-@query(Q.PHONE + "select count(*) as filas, 0 as fuera_de_orden from phone")
+@query(Q.PHONE + "select count(*) as filas, count(*) > 0 as varios_ficheros, 0 as fuera_de_orden, 0 as solapes from phone")
 def manifest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a manifest written as CSV, and how many stand behind a later path of the same file."""
-    from pyspark.sql import Window
-
+    """Rows of a manifest written as CSV, how many stand behind a later path of their file, and how many files begin before the one before them ends."""
     out = fresh(spark, "manifest")
-    source.write_manifest(Q._phone(spark, sf_dir), out, kind="csv")
-    rows = spark.read.option("header", True).csv(out).withColumn("__at", F.monotonically_increasing_id())
-    before = F.lag("image_path").over(Window.partitionBy(F.spark_partition_id()).orderBy("__at"))
-    return rows.select((before > F.col("image_path")).alias("late")).agg(F.count(F.lit(1)).alias("filas"), F.count_if("late").alias("fuera_de_orden"))
+    with held(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "4"}):
+        source.write_manifest(Q._phone(spark, sf_dir), out, kind="csv")
+    rows = spark.read.option("header", True).csv(out).withColumns({"file": F.regexp_extract("_metadata.file_name", r"^part-([0-9]+)", 1).cast("int"), "at": F.monotonically_increasing_id()})
+    before = F.lag("image_path").over(Window.partitionBy("file").orderBy("at"))
+    rows = rows.select("file", "image_path", (before > F.col("image_path")).alias("late"))
+    files = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count_if("late").alias("late"), F.min("image_path").alias("low"), F.max("image_path").alias("high"))
+    files = files.withColumn("over", F.lag("high").over(Window.orderBy("file")) > F.col("low"))  # a row a file
+    return files.agg(F.sum("n").alias("filas"), (F.count(F.lit(1)) > 1).alias("varios_ficheros"), F.sum("late").alias("fuera_de_orden"), F.count_if("over").alias("solapes"))
 
 
 # --- manifests of raters and atlas --------------------------------------------------------------

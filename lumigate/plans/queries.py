@@ -102,6 +102,14 @@ def strategy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(thresholds.summary(_evaluated(spark, sf_dir)).drop("orden"))
 
 
+@query(SUMMARY + """, tied as (select orden, estrategia, unnest([grupo, grupo || 'b', grupo || '0']) as grupo, fnr from evaluated)
+select estrategia, round(max(fnr), 6) as fnr_maximo, (list(grupo order by fnr desc, grupo))[1] as peor_grupo from tied group by estrategia""")
+def strategy_summary_tied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worst group where every group ties with two others, whose names begin alike."""
+    names = F.explode(F.array(F.concat("grupo", F.lit("b")), F.concat("grupo", F.lit("0")), F.col("grupo")))
+    return rounded(thresholds.summary(_evaluated(spark, sf_dir).withColumn("grupo", names)).select("estrategia", "fnr_maximo", "peor_grupo"))
+
+
 @query(SUMMARY + "select (list(estrategia order by brecha_fnr, orden))[1] as elegida, round(min(brecha_fnr), 6) as brecha_fnr from summed")
 def strategy_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(thresholds.choose(thresholds.summary(_evaluated(spark, sf_dir))))
@@ -247,6 +255,18 @@ def fnr_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fairness.fnr_gaps(rounded(_report(spark, sf_dir))))
 
 
+# Every group once more under its name with a 0 behind it: all gaps are ties, and one name begins the other.
+TWICE_REPORT = REPORT + ", tied as (select atributo, unnest([subgrupo, subgrupo || '0']) as subgrupo, fnr_infradiagnostico from report)"
+
+
+@query(TWICE_REPORT + "select atributo, max(fnr_infradiagnostico) as maximo, min(fnr_infradiagnostico) as minimo, round(max(fnr_infradiagnostico) - min(fnr_infradiagnostico), 6) as brecha, (list(subgrupo order by fnr_infradiagnostico desc, subgrupo))[1] as peor_subgrupo from tied group by atributo")
+def fnr_gaps_tied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps where every subgroup ties with another."""
+    report = rounded(_report(spark, sf_dir))
+    tied = report.withColumn("subgrupo", F.explode(F.array(F.concat("subgrupo", F.lit("0")), F.col("subgrupo"))))
+    return rounded(fairness.fnr_gaps(tied))
+
+
 @query(REPORT + """, v as (select count(*) as tonos, round(corr(cast(subgrupo as double), fpr), 4) as correlacion, round(max(fpr) - min(fpr), 6) as brecha from report where atributo = 'fitzpatrick')
 select tonos, correlacion, brecha, case when correlacion > 0.5 and brecha > 0.1 then 'NO_DESPLEGAR' when brecha > 0.15 then 'CAUTELA' else 'LIMPIO' end as veredicto from v""")
 def bias_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +28,22 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh(spark: SparkSession, name: str) -> str:
     """A path in that folder which nothing has used."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a path of that folder, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def held(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """The settings hold inside; then the caller's are back."""
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

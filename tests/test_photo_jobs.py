@@ -1,0 +1,155 @@
+"""Photo jobs that open late, go on where they stopped, and write in order."""
+
+from __future__ import annotations
+
+import os
+
+import numpy as np
+import photo_fixtures as made
+import pytest
+from pyspark.sql import functions as F
+
+from lumigate.functions import gate
+from lumigate.operators import fairness, measures, photo_jobs, thresholds
+from lumigate.plans.photo_queries import _bmp
+from lumigate.sources import photos as source
+from lumigate.streaming import gate_stream
+
+ODD_NAMES = ["a b.bmp", "c[1]{x}.bmp", "d%20é?.bmp", "e*.BMP", "f,g.bmp", "h^.bmp"]
+
+
+def put(folder, names, seed=0):
+    folder.mkdir(exist_ok=True)
+    for k, name in enumerate(names):
+        img = np.random.default_rng(seed + k).integers(0, 256, (20, 24, 3), dtype=np.uint8)
+        (folder / name).write_bytes(_bmp(24, 20, img.tobytes()))
+
+
+@pytest.fixture
+def opened(monkeypatch):
+    """The paths of every call that opens photos."""
+    calls, read = [], source.read_listed
+    monkeypatch.setattr(source, "read_listed", lambda spark, paths: calls.append(list(paths)) or read(spark, paths))
+    return calls
+
+
+def test_only_what_is_missing_is_opened(spark, tmp_path, opened):
+    folder, done = tmp_path / "in", str(tmp_path / "done")
+    put(folder, ODD_NAMES[:3])
+    (folder / "broken.bmp").write_bytes(b"BM")
+    first = photo_jobs.measure_pending(spark, str(folder), done, side=16)
+    assert first.count() == 3 and sum(map(len, opened)) == 4
+    opened.clear()
+    put(folder, ODD_NAMES)
+    rows = photo_jobs.measure_pending(spark, str(folder), done, side=16, wave=2).collect()
+    assert len(rows) == len({r.photo_id for r in rows}) == 6
+    assert sum(map(len, opened)) == 4 and max(map(len, opened)) <= 4  # three new files, and the one that does not decode again
+    opened.clear()
+    (folder / "broken.bmp").unlink()
+    assert photo_jobs.measure_pending(spark, str(folder), done, side=16).count() == 6 and not opened
+    listed = {r.photo_id for r in source.list_photos(spark, str(folder)).collect()}
+    assert listed == {r.photo_id for r in rows} == {r.photo_id for r in source.read_photos(spark, str(folder)).collect()}
+
+
+def test_a_killed_run_leaves_nothing_behind(spark, tmp_path, opened):
+    folder, done = tmp_path / "in", tmp_path / "done"
+    put(folder, ["a.bmp", "b.bmp"])
+    photo_jobs.measure_pending(spark, str(folder), str(done), side=16, wave=1)
+    run = sorted(p for p in done.iterdir() if p.name.startswith("run="))[0]
+    (run / "_SUCCESS").unlink()
+    opened.clear()
+    found = photo_jobs.measure_pending(spark, str(folder), str(done), side=16)
+    assert found.count() == 2 == found.select("photo_id").distinct().count()
+    assert sum(map(len, opened)) == len([p for p in os.listdir(run) if p.endswith(".parquet")]) > 0
+
+
+def test_no_photos_give_no_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.txt").write_text("x")
+    assert photo_jobs.measure_pending(spark, str(tmp_path / "in"), str(tmp_path / "done")).count() == 0
+
+
+def test_pixels_and_contents_stay_where_they_are(spark, tmp_path):
+    put(tmp_path / "in", ["a.bmp", "b.bmp"])
+    listed = source.list_photos(spark, str(tmp_path / "in"))
+    plan = source.pending(listed, listed.limit(1))._jdf.queryExecution().executedPlan().toString()
+    assert "content#" not in plan and "content:" not in plan and "binary" not in plan.replace("binaryFile", "")
+    photos = source.read_photos(spark, str(tmp_path / "in"))
+    boxes = photos.select("photo_id", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(3).alias("w"), F.lit(3).alias("h"))
+    lots = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        balanced = measures.neutral_reference(photos, boxes)
+        assert "SortMergeJoin" not in balanced._jdf.queryExecution().executedPlan().toString()
+        assert balanced.count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", lots)
+
+
+def test_boxes_in_slices(spark, monkeypatch):
+    df = spark.createDataFrame(made.rows({k: made.good(40) for k in "abcdefg"}), source.PHOTO_SCHEMA)
+    boxes = spark.createDataFrame([(k, 2, 2, 9, 9) for k in "abcdef"] + [("g", 90, 90, 1, 1)], "photo_id string, x int, y int, w int, h int")
+    whole = {r.photo_id: (bytes(r.data or b""), r.error) for r in measures.neutral_reference(df, boxes).collect()}
+    monkeypatch.setattr(measures, "BOXES", 2)
+    assert {r.photo_id: (bytes(r.data or b""), r.error) for r in measures.neutral_reference(df, boxes).collect()} == whole
+    assert len(whole) == 7 and whole["g"][1]
+
+
+def test_metadata_headers(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"m{k:03}.csv").write_bytes(b"x,y\n1,2\n" if k != 211 else '﻿"Img, ID" , Diagnostic\r\n1,2\n'.encode())
+    (tmp_path / "empty.csv").write_bytes(b"")
+    assert source.locate_metadata(spark, str(tmp_path)).endswith("m211.csv")
+    found = {r.path[-8:]: r.columns for r in source.metadata_headers(spark, str(tmp_path)).collect()}
+    assert found["m211.csv"] == ["img, id", "diagnostic"] and len(found) == 300  # Spark lists no empty files
+
+
+def test_a_manifest_is_in_order_over_its_files(spark, tmp_path):
+    hot = [(f"/photos/hot/{k:05}.jpg", k) for k in range(3000)] + [("/same.jpg", k) for k in range(3000)]
+    df = spark.createDataFrame(hot, "image_path string, k int").repartition(5)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    for k, v in zip(old, ("false", "6")):
+        spark.conf.set(k, v)
+    try:
+        source.write_manifest(df, str(tmp_path / "m"), kind="csv")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    files = [(tmp_path / "m" / f).read_text().splitlines()[1:] for f in sorted(os.listdir(tmp_path / "m")) if f.startswith("part-")]
+    lines = [line.split(",")[0] for f in files for line in f]
+    assert lines == sorted(lines) and len(lines) == 6000
+    assert len(files) == 6 and max(map(len, files)) < 2000  # neither the hot prefix nor the hot path is one file
+
+
+def test_streams_over_files_count_each_photo_once(spark, tmp_path):
+    folder, out, counts, progress = (tmp_path / n for n in ("in", "judged", "counts", "progress"))
+
+    def on():
+        gate_stream.judge_arrivals(gate_stream.arriving_files(spark, str(folder), 2), str(out), str(progress / "j"), side=16).awaitTermination()
+        gate_stream.count_arrivals(spark, str(out), str(counts), str(progress / "c")).awaitTermination()
+
+    put(folder, ODD_NAMES[:4])
+    on()
+    put(folder, ODD_NAMES[4:])
+    (folder / "broken.bmp").write_bytes(b"BM")
+    on()
+    for stream in "jc":
+        commits = progress / stream / "commits"
+        last = max((f for f in os.listdir(commits) if f.isdigit()), key=int)
+        for name in (last, f".{last}.crc"):
+            (commits / name).unlink(missing_ok=True)
+    on()
+    rows = spark.read.parquet(str(out)).collect()
+    assert len(rows) == len({r.photo_id for r in rows}) == 6
+    found = {r.veredicto: r.n for r in gate_stream.running_counts(spark, str(counts)).collect()}
+    assert sum(found.values()) == 6 and found == {v: sum(r.veredicto == v for r in rows) for v in found}
+    assert set(found) <= {gate.ACCEPTED, gate.DOUBTFUL, gate.REJECTED}
+
+
+def test_ties_go_to_the_first_name(spark):
+    rows = [("x", n, 0.5) for n in ("ab", "a", "10", "1", "z")] + [("x", "0", None), ("y", "b", 0.2), ("y", "ba", 0.3)]
+    gaps = {r.atributo: r.peor_subgrupo for r in fairness.fnr_gaps(spark.createDataFrame(rows, "atributo string, subgrupo string, fnr_infradiagnostico double")).collect()}
+    assert gaps == {"x": "1", "y": "ba"}
+    rows = [(0, "s", n, 0.5, 1, 1, 1, 2) for n in ("ab", "a", "b")]
+    row = thresholds.summary(spark.createDataFrame(rows, "orden int, estrategia string, grupo string, fnr double, tp long, fn long, detectados long, positivos long")).first()
+    assert row.peor_grupo == "a"
