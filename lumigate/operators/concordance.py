@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ONE, AGREE = "Una sola foto: no se puede estimar la incertidumbre.", "Las fotos coinciden."
 DISAGREE = "Las fotos no coinciden: no se da un resultado."
@@ -20,7 +25,7 @@ def predictions(df: DataFrame, group: str = "group_id", prob: str = "prob", devi
     return out.select(group, "n", F.round("m", 4).alias("media"), F.round("s", 4).alias("desviacion"), F.round("r", 4).alias("rango"), good.alias("coherente"), text.alias("mensaje"))
 
 
-BLOCK = 64  # photos of a subject that meet in one task
+BLOCK = 512  # photos of a subject that meet in one task
 
 
 def photo_pairs(df: DataFrame, group: str = "group_id", position: str = "pos") -> DataFrame:
@@ -37,30 +42,81 @@ def photo_pairs(df: DataFrame, group: str = "group_id", position: str = "pos") -
     return a.join(b, [group, "i", "j"]).filter(F.col(f"a.{position}") < F.col(f"b.{position}")).drop("i", "j")
 
 
-def centred(df: DataFrame, values: str, out: str) -> DataFrame:
-    """df with `out` for `values`: the array less its mean, at length 1; null where it is flat.
-
-    Mean and length are columns of their own, named twice each, so that they are worked out once a row and not once an element.
+def _unit_rows(members: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Of (pos, v) structs: positions, which histograms are flat, and by length of histogram the rows and their histograms less the mean, at length 1."""
+    position = np.asarray(members.field("pos"))
+    values = members.field("v")
+    ends = np.asarray(values.offsets)
+    flat_values = np.asarray(values.values, dtype=np.float64)
+    lengths = np.diff(ends)
+    flat, by_length = np.zeros(len(position), dtype=bool), {}
+    for n in np.unique(lengths):
+        rows = np.flatnonzero(lengths == n)
+        z = flat_values[ends[rows][:, None] + np.arange(n)]
+        z = z - z.mean(axis=1, keepdims=True)
+        size = np.sqrt((z * z).sum(axis=1))
+        flat[rows] = size == 0
+        by_length[int(n)] = rows, z / np.where(size > 0, size, 1)[:, None]
+    return position, flat, by_length
+
+
+def _similarities(a: pa.Array, b: pa.Array | None) -> np.ndarray:
+    """The similarities of all pairs of two blocks, or of one block with itself: one product of matrices."""
+    at_a, flat_a, rows_a = _unit_rows(a)
+    at_b, flat_b, rows_b = (at_a, flat_a, rows_a) if b is None else _unit_rows(b)
+    alike = np.ones((len(at_a), len(at_b)))
+    for n, (i, z) in rows_a.items():
+        if n in rows_b:
+            j, y = rows_b[n]
+            alike[np.ix_(i, j)] = z @ y.T
+    alike[flat_a] = 1.0
+    alike[:, flat_b] = 1.0
+    return alike[at_a[:, None] < at_b[None, :]] if b is None else alike.ravel()
+
+
+def block_similarities(df: DataFrame, group: str, position: str, values: str) -> DataFrame:
+    """group, low, total, pairs: of each pair of blocks of a group's photos the least similarity, the sum and the number.
+
+    A group of up to BLOCK photos is one block; a larger one is dealt over blocks by hash, and each pair of blocks is a task of
+    its own, in which their histograms (of any common length) meet in one product of matrices; no pair leaves it.
+    Photos of one position are no pair. Two histograms of unlike length, and a flat one with any, count as alike (1.0).
     """
-    zero = F.lit(0.0)
-    rows = df.withColumn("__mean", F.aggregate(values, zero, lambda s, x: s + x) / F.size(values))
-    rows = rows.withColumn("__away", F.when(F.col("__mean").isNotNull(), F.transform(values, lambda x: x - F.col("__mean"))))
-    rows = rows.withColumn("__size", F.sqrt(F.aggregate("__away", zero, lambda s, x: s + x * x)))
-    return rows.withColumn(out, F.when(F.col("__size") > 0, F.transform("__away", lambda x: x / F.col("__size")))).drop(values, "__mean", "__away", "__size")
+    rows = df.filter(F.col(position).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(position).cast("long").alias("pos"), F.col(values).alias("v"))
+    large = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n")).filter("n > 1").withColumnRenamed("g", "large")
+    held = rows.join(large, rows["g"] == large["large"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    block = F.pmod(F.xxhash64("pos"), F.col("n")).cast("int")
+    packed = held.groupBy("g", "n", block.alias("block")).agg(F.collect_list(F.struct("pos", "v")).alias("m"))
+    none = F.lit(None).cast(packed.schema["m"].dataType)
+    own = packed.select("g", F.col("m").alias("a"), none.alias("b"))
+    several = packed.filter("n > 1")
+    one = several.filter("block < n - 1").select("g", F.col("block").alias("i"), F.explode(F.sequence(F.col("block") + 1, F.col("n") - 1)).alias("j"), F.col("m").alias("a"))
+    two = several.filter("block > 0").select("g", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), F.col("m").alias("b"))
+    both = own.unionByName(one.join(two, ["g", "i", "j"]).select("g", "a", "b"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, total, pairs = [], [], []
+            a, b = batch.column("a"), batch.column("b")
+            for k in range(batch.num_rows):
+                c = _similarities(a[k].values, b[k].values if b[k].is_valid else None)
+                low.append(float(np.fmin.reduce(c)) if len(c) else None)
+                total.append(float(c.sum()))
+                pairs.append(len(c))
+            yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(low, pa.float64()), pa.array(total, pa.float64()), pa.array(pairs, pa.int64())], names=["g", "low", "total", "pairs"])
+
+    schema = T.StructType([packed.schema["g"]]).add("low", "double").add("total", "double").add("pairs", "long")
+    return both.mapInArrow(work, schema).withColumnRenamed("g", group)
 
 
 def same_subject(df: DataFrame, group: str = "group_id", position: str = "pos", hist: str = "hist", least: float = SIMILARITY_MIN) -> DataFrame:
     """Per group: n, comparadas, similitud_minima, similitud_media, coherente, mensaje; one photo is coherent with 1.0.
 
     A photo without a histogram is compared with none and not counted in comparadas. A flat histogram counts as like any
-    other (1.0). Histograms are centred and scaled once a photo; a pair is one sum of products.
+    other (1.0). Rows without a group are one group of photos that are compared with none.
     """
     values = F.col(hist).cast("array<double>")
-    rows = df.filter(values.isNotNull() & ~F.exists(values, lambda x: x.isNull())).select(group, position, values.alias("v"))
-    rows = centred(rows.filter(F.size("v") > 0), "v", "z")
-    product = F.aggregate(F.zip_with("a.z", "b.z", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    alike = F.coalesce(product, F.lit(1.0))
-    found = photo_pairs(rows, group, position).select(group, alike.alias("c")).groupBy(group).agg(F.min("c").alias("low"), F.avg("c").alias("mean"))
+    rows = df.filter(values.isNotNull() & (F.size(values) > 0) & ~F.exists(values, lambda x: x.isNull())).select(group, position, values.alias("v"))
+    found = block_similarities(rows, group, position, "v").groupBy(group).agg(F.min("low").alias("low"), F.try_divide(F.sum("total"), F.sum("pairs").cast("double")).alias("mean"))
     usable = F.count_if(values.isNotNull() & (F.size(values) > 0) & ~F.coalesce(F.exists(values, lambda x: x.isNull()), F.lit(True)))
     out = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), usable.alias("comparadas")).join(found, group, "left")
     low = F.coalesce("low", F.lit(1.0))

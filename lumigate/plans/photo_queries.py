@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import gate, scalars
+from ..functions.pixels import CUBIC
 from ..operators import manifest, measures, photo_jobs
 from ..sources import photos as source
 from ..sources.scratch import fresh, held
@@ -82,14 +83,14 @@ SHOWN = f"""photo_id, {SIDE} as ancho, {SIDE} as alto, {SIDE} as lado_corto, rou
  round_even(mb, 2) as azul, round_even(mg, 2) as verde, round_even(mr, 2) as rojo from m"""
 
 
-def _as_shown(df: DataFrame, side: int) -> DataFrame:
+def _as_shown(df: DataFrame, side: int, *more: str) -> DataFrame:
     """Shares as whole numbers of pixels, the rest as measured."""
     pixels = lambda c: F.round(F.col(c) * side * side).cast("long")
     same = ("varianza_laplaciano", "nitidez_global", "nitidez_normalizada", "brillo_medio", "rango_dinamico", "estructura", "bordes_centro", "ratio_centro_marco", "tinte")
     whole = {k: F.get("medias_bgr", F.lit(i)).alias(k) for i, k in enumerate(("azul", "verde", "rojo"))}
     return df.select(
         "photo_id", *(F.col(c).cast("long").alias(c) for c in ("ancho", "alto", "lado_corto", "n_manchas")), *same,
-        pixels("fraccion_quemada").alias("quemados"), pixels("fraccion_apagada").alias("apagados"), pixels("fraccion_reflejo_mayor").alias("mayor"), *whole.values(),
+        pixels("fraccion_quemada").alias("quemados"), pixels("fraccion_apagada").alias("apagados"), pixels("fraccion_reflejo_mayor").alias("mayor"), *whole.values(), *more,
     )
 
 
@@ -109,6 +110,40 @@ def photo_measures_rescaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_shown(measures.measure(tiles(spark, sf_dir), 8), 8)
 
 
+# From 16 to 12: in units of a 192nd of the side an old pixel has 12 and a new one 16, and the overlaps are whole numbers.
+OVERLAP = "select j, i, least(12 * (i + 1), 16 * (j + 1)) - greatest(12 * i, 16 * j) as o from range(12) a(j), range(16) b(i) where least(12 * (i + 1), 16 * (j + 1)) > greatest(12 * i, 16 * j)"
+TWELVE = f"""select t, a.j as y, b.j as x, c, cast(round_even(sum(a.o * b.o * v) / 256e0, 0) as bigint) as v from ({PIXELS}) p join ({OVERLAP}) a on p.y = a.i join ({OVERLAP}) b on p.x = b.i group by all"""
+GRAY12 = GRAY16.replace(PIXELS, TWELVE)
+
+
+@query(f"with recursive {measures_sql(GRAY12, TWELVE, 12)} select {SHOWN}")
+def photo_measures_fractional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after the photos have shrunk by a ratio of 4 to 3."""
+    return _as_shown(measures.measure(tiles(spark, sf_dir), 12), 12)
+
+
+# From 8 to 64 by the bicubic kernel: four old pixels a new one, at 16ths of a pixel, so that all products are exact.
+TAPS = f"""select j, least(7, greatest(0, b + k)) as i, case when d <= 1 then (({CUBIC} + 2) * d - ({CUBIC} + 3)) * d * d + 1 when d < 2 then (({CUBIC} * d - 5 * {CUBIC}) * d + 8 * {CUBIC}) * d - 4 * {CUBIC} else 0e0 end as w
+  from (select j, k, b, abs(c - (b + k)) as d from (select j, (j + 0.5e0) / 8 - 0.5e0 as c, cast(floor((j + 0.5e0) / 8 - 0.5e0) as bigint) as b from range(64) r(j)), range(-1, 3) s(k))"""
+GRAY64 = f"""select t, y, j as x, cast(least(255, greatest(0, round_even(sum(w * g), 0))) as bigint) as g from
+  (select vec_id as t, j as y, (i - 1) % 8 as sx, sum(w * g) as g from (select *, (i - 1) // 8 as sy from ({A.GRAY})) join (select j, i as ti, w from ({TAPS})) on sy = ti group by all) join ({TAPS}) k on sx = k.i group by all"""
+ENLARGED = measures_sql(GRAY64, f"select t, 0 as c, g as v from ({GRAY64})", 64)
+LARGE_RULES = {
+    "resolucion": "true", "nitidez": "nc < 0.01e0", "oscura": "brillo < 0.18e0 or apagados / 4096e0 > 0.1e0", "quemada": "brillo > 0.88e0 or quemados / 4096e0 > 0.1e0", "reflejo": "mayor / 4096e0 > 0.04e0",
+    "plana": "rango < 0.25e0 or estructura < 0.04e0", "nitidez_justa": "nc >= 0.01e0 and nc < 0.02e0", "descentrada": "ratio < 0.55e0",
+}
+LARGE_REGLAS = f"array_to_string(list_filter([{', '.join(f'case when {c} then {r!r} end' for r, c in LARGE_RULES.items())}], lambda x: x is not null), '|')"
+
+
+@query(f"""with recursive {ENLARGED} select photo_id, 8 as ancho, 8 as alto, 8 as lado_corto, round_even(vl, 2) as varianza_laplaciano, round_even(ng, 5) as nitidez_global, round_even(nc, 5) as nitidez_normalizada, round_even(brillo, 4) as brillo_medio,
+ quemados, apagados, round_even(rango, 4) as rango_dinamico, mayor, manchas as n_manchas, round_even(estructura, 4) as estructura, round_even(bordes, 3) as bordes_centro, round_even(ratio, 3) as ratio_centro_marco, 0e0 as tinte, 0e0 as azul, 0e0 as verde, 0e0 as rojo,
+ 'rechazada' as veredicto, {LARGE_REGLAS} as reglas from m""")
+def photo_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All measures and the verdict of every gray photo, enlarged to the side of 64."""
+    judged = gate.judge(measures.measure(A.photos(spark, sf_dir), 64))
+    return _as_shown(judged, 64, "veredicto", "reglas")
+
+
 @query(f"select cast(t as varchar) as photo_id, {SIDE} as ancho, {SIDE} as alto, round({SIDE * SIDE} / 1e6, 2) as megapixeles, {SIDE} as lado_corto from ({PIXELS}) group by t")
 def photo_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(measures.resolution(tiles(spark, sf_dir)))

@@ -722,12 +722,6 @@ def photo_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.measure(A.photos(spark, sf_dir), 8).select("photo_id", "brillo_medio", "fraccion_quemada", "fraccion_apagada", "rango_dinamico")
 
 
-@query()
-def photo_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All measures and the verdict of every photo, enlarged to the side of 64; photo_queries has the same with SQL, without enlarging."""
-    return gate.judge(measures.measure(A.photos(spark, sf_dir), 64)).drop("problemas")
-
-
 FLIPPED = {"original": "i - 1", "horizontal": "(i - 1) // 8 * 8 + 7 - (i - 1) % 8", "vertical": "(7 - (i - 1) // 8) * 8 + (i - 1) % 8", "ambos": "64 - i"}
 
 
