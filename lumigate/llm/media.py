@@ -92,8 +92,8 @@ def double_rate(samples: np.ndarray) -> np.ndarray:
 
 
 def wav(kind: int, data: bytes, rate: int = RATE, bits: int = 8) -> bytes:
-    """A mono WAV file."""
-    frame = bits // 8
+    """A mono WAV file; ADPCM in blocks of BLOCK_BYTES."""
+    frame = BLOCK_BYTES if kind == IMA_ADPCM else bits // 8
     form = struct.pack("<HHIIHHH", kind, 1, rate, rate * frame, frame, bits, 0)
     body = b"fmt " + struct.pack("<I", len(form)) + form + b"fact" + struct.pack("<II", 4, len(data) // frame) + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WAVE" + body
@@ -101,29 +101,38 @@ def wav(kind: int, data: bytes, rate: int = RATE, bits: int = 8) -> bytes:
 
 def read_wav(media: bytes) -> tuple[int, int, bytes]:
     """(format, rate, data) of a mono WAV file."""
+    kind, rate, _, data = _read_wav(media)
+    return kind, rate, data
+
+
+def _read_wav(media: bytes) -> tuple[int, int, int, bytes]:
+    """(format, rate, bytes a block, data)."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    at, kind, rate = 12, -1, 0
+    at, kind, rate, block = 12, -1, 0, 1
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
         if name == b"fmt ":
             kind, channels, rate = struct.unpack_from("<HHI", media, at + 8)
             if channels != 1:
                 raise ValueError("not mono")
+            block = struct.unpack_from("<H", media, at + 20)[0]
         elif name == b"data":
-            return kind, rate, media[at + 8 : at + 8 + size]
+            return kind, rate, block, media[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
     raise ValueError("no data in the WAV file")
 
 
 def expand(media: bytes) -> tuple[int, np.ndarray]:
-    """(rate, 16-bit samples) of a WAV in mu-law, A-law, ADPCM of BLOCK_BYTES a block, or PCM."""
-    kind, rate, data = read_wav(media)
+    """(rate, 16-bit samples) of a WAV in mu-law, A-law, ADPCM of whole blocks of the length its header states, or PCM."""
+    kind, rate, block, data = _read_wav(media)
     raw = np.frombuffer(data, dtype=np.uint8)
     if kind in (MULAW, ALAW):
         return rate, (MULAW_TABLE if kind == MULAW else ALAW_TABLE)[raw]
     if kind == IMA_ADPCM:
-        return rate, decode_adpcm(raw.reshape(-1, BLOCK_BYTES)).ravel()
+        if block <= 4 or len(raw) % block:
+            raise ValueError(f"ADPCM of {len(raw)} bytes in blocks of {block}")
+        return rate, decode_adpcm(raw.reshape(-1, block)).ravel()
     if kind == PCM:
         return rate, np.frombuffer(data, dtype="<i2").astype(np.int16)
     raise ValueError(f"unknown WAV format {kind}")
@@ -211,7 +220,7 @@ DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 def sound_digests(sounds: DataFrame) -> DataFrame:
     """Per stored sound (doc_id, n_bytes, media): its payload's and its file's digests, and features of its samples.
 
-    A null sound has nulls but for doc_id and n_bytes.
+    A null sound has nulls but for doc_id and n_bytes; one without samples has no feature.
     """
     shared.bound_batches(sounds.sparkSession)
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -220,7 +229,7 @@ def sound_digests(sounds: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows: list[tuple]) -> pa.RecordBatch:
             features = iter(_features([back for *_, back in rows if back]) if any(back for *_, back in rows) else ())
-            out = [(*r, None if back is None else next(features)) for *r, back in rows]
+            out = [(*r, next(features) if back else None) for *r, back in rows]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
 
         for batch in batches:

@@ -3,8 +3,8 @@
 A word enters by itself and by its characters. By itself: a vector learned with the network, and evidence from labelled
 documents, the lower bound of a smoothed log odds ratio, floored at 0. By its characters: the mean of the vectors
 of its byte grams (all of 4 and 5 bytes, and its first 3, 4 and 5), and the largest evidence of any of them. Words
-and grams of fewer than LEAST_DOCS labelled documents have no vector but zero, since what a few documents hold
-tells nothing. Of the labelled documents that share one of their least shingle hashes one counts, as copies tell
+and grams have a vector where they have evidence or a share of COMMON of the fitted documents holds them, at every size of the
+table; the others' is zero, since what a few documents hold tells nothing. Of the labelled documents that share one of their least shingle hashes one counts, as copies tell
 nothing new. The network reads windows of WINDOW words that overlap by a third, forwards and backwards; attention
 pools its states into one logit. A document's score is the calibrated largest logit of all its windows. Windows
 without any known word or gram share one input, and so one logit, which is computed once.
@@ -35,7 +35,7 @@ from .textblocks import LOWER_AZ, chunks, distinct_sorted, mix64, shingle_hashes
 FIT_TOXIC, FIT_CLEAN, FIT_BYTES = 2_000, 4_000, 64 << 20
 CLEAN_WINDOWS = 4
 WINDOW, STRIDE, HIDDEN, POOLED = 64, 44, 8, 8
-VECTOR, LEAST_DOCS, DECAY = 4, 150, 0.02
+VECTOR, COMMON, DECAY = 4, 0.025, 0.1
 INPUTS = 2 + 2 * VECTOR
 BUCKET_BITS, FILTER_BITS = 22, 20
 BOUND_Z = 3.0
@@ -108,7 +108,8 @@ class Table:
         counts = np.zeros((2, 1 << BUCKET_BITS), dtype=np.float32)
         for label, hashes in documents():
             counts[label][np.unique(hashes >> shift)] += 1
-        wanted = (_bounds(counts, n_toxic, n_clean) > 0) | (counts.sum(axis=0) >= LEAST_DOCS)
+        least = max(2.0, COMMON * (n_toxic + n_clean))
+        wanted = (_bounds(counts, n_toxic, n_clean) > 0) | (counts.sum(axis=0) >= least)
         every, exact = np.zeros(0, dtype=np.uint64), np.zeros((0, 2))
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -126,9 +127,9 @@ class Table:
             if size > 1_000_000:
                 (every, exact), held, size = merged(), [], 0
         every, exact = merged()
-        evidence, common = _bounds(exact.T, n_toxic, n_clean), exact.sum(axis=1) >= LEAST_DOCS
-        keep = (evidence > 0) | common
-        vectors = np.where(common[keep, None], 0.1 * rng.standard_normal((int(keep.sum()), VECTOR)), 0)
+        evidence = _bounds(exact.T, n_toxic, n_clean)
+        keep = (evidence > 0) | (exact.sum(axis=1) >= least)
+        vectors = 0.1 * rng.standard_normal((int(keep.sum()), VECTOR))
         return cls(every[keep], evidence[keep], vectors)
 
 

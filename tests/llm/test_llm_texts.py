@@ -514,6 +514,51 @@ def test_spelled_out_mail_is_found_whole(spark):
         assert out[i] == f"email:{t.index(mail)}:{t.index(mail) + len(mail)}"
 
 
+def test_sounds_without_samples_and_other_block_sizes(spark):
+    empty = media.wav(media.MULAW, b"")
+    frame = spark.createDataFrame([(1, 0, bytearray(empty)), (2, 0, None), (3, 192, bytearray(media.wav(media.MULAW, b" " * 192)))], "doc_id long, n_bytes long, media binary")
+    out = {r.doc_id: r for r in media.sound_digests(frame).collect()}
+    assert out[1].payload_bytes == 0 and out[1].feature is None and out[1].media_bytes == len(empty)
+    assert out[2].feature is None and out[2].media_sha256 is None and out[3].feature.startswith("mulaw_ms=")
+    blocks = np.random.default_rng(5).integers(0, 256, (3, 512), dtype=np.uint8)
+    form = media.wav(media.IMA_ADPCM, blocks.tobytes()).replace((192).to_bytes(2, "little") + b"\x08\0", (512).to_bytes(2, "little") + b"\x08\0", 1)
+    assert np.array_equal(media.expand(form)[1], media.decode_adpcm(blocks).ravel())
+    with pytest.raises(ValueError, match="blocks of 192"):
+        media.expand(media.wav(media.IMA_ADPCM, b"\0" * 100))
+    assert media.expand(media.wav(media.PCM, b"", 8000, 16))[1].size == 0
+
+
+def test_what_stands_before_a_number_decides():
+    """Numbers of 16 digits that fail Luhn: none after words that name another number, nearly all others; spelled mail of one to five parts; local phones."""
+    shapes = pii.Shapes(pii.Field().train())
+
+    def found(text):
+        _, every, _ = next(iter(pii.found_spans([text], shapes)))
+        return [(pii.KINDS[k], text[a:b]) for a, b, k in every]
+
+    rng = random.Random(1)
+    words = "the of and with some green long river house table winter paper".split()
+    few = lambda: " ".join(rng.choice(words) for _ in range(4))
+    caught = dict.fromkeys(("other", "card", "bare"), 0)
+    for _ in range(200):
+        number = "0000000000000001"
+        while pii.luhn([int(c) for c in number]) or number[0] == "0":
+            number = "".join(rng.choice("0123456789") for _ in range(16))
+        cue = rng.choice(["row id", "id", "order", "tracking number", "invoice", "ref", "serial number", "ticket id", "order number", "reference"])
+        for kind, before in (("other", f" {cue}"), ("card", f" {rng.choice(['card', 'visa', 'paid with', 'card number', 'credit card'])}"), ("bare", "")):
+            got = found(f"{few()}{before} {number} {few()}")
+            assert got in ([], [("card", number)])
+            caught[kind] += len(got)
+    assert caught["other"] == 0 and caught["card"] >= 196 and caught["bare"] >= 190
+    for text in ("row id 1000000000000001 done", "tracking 9400111899223857", "order number 1234567890123456"):
+        assert found(text) == []
+    assert found("write to lena at post dot example dot net please") == [("email", "lena at post dot example dot net")]
+    assert found("ask tom at mail dot de first") == [("email", "tom at mail dot de")]
+    long = "office at " + " dot ".join("abcdefghijkl") + " dot example dot org"
+    assert found(f"then {long} was closed") == [("email", long)]
+    assert found("ring 0151 2345678 tomorrow") == [("phone", "0151 2345678")]
+
+
 # --- sound --------------------------------------------------------------------------------------
 
 
