@@ -4,8 +4,9 @@ From every line on, the shortest run of lines with at least MIN_WORDS words is a
 in a window is selected: a run of that many words that two places share holds a window, and so the same
 selected line, at both. A selected line is posted once, by its hash, with hashes of the windows that selected it. Lines
 selected in one place only are dropped; the other positions join on line hash and window hash with the first
-such position of the corpus. Each match is extended to both sides, and the lines of the later place go. What went
-is in an earlier place still.
+such position of the corpus. Each match is extended to both sides, and the lines of the later place go. A run that overlaps
+its own source (lines that repeat within one document) loses only what follows the first windows of each phase: from where
+MIN_WORDS words stand behind the line before it. So each run of MIN_WORDS words that went is in an earlier place still.
 
 Documents are ordered by (doc_id, hash of doc_id and text). Each window joins with one first position, so a line or
 passage in a third of all documents stays linear, and every join is between written tables, whose hot keys Spark may
@@ -155,6 +156,12 @@ def extend(target: np.ndarray, source: np.ndarray, at: np.ndarray, from_: np.nda
     return at - left, at + right
 
 
+def clear_of_source(first: np.ndarray, past: np.ndarray, shift: np.ndarray, total: np.ndarray, least: int) -> np.ndarray:
+    """Where the runs of one document may begin to go, if their sources lie `shift` lines before them; total: words before each line."""
+    kept = np.searchsorted(total, total[np.maximum(first - 1, 0)] + least)
+    return np.where(past - shift > first, np.minimum(np.maximum(first, kept), past), first)
+
+
 def _merged(runs: np.ndarray) -> np.ndarray:
     """(n, 2) runs [first, past) as ordered runs that do not touch."""
     runs = runs[np.argsort(runs[:, 0], kind="stable")]
@@ -194,6 +201,8 @@ def repeated_lines(rows: DataFrame, steps: shared.Steps, min_words: int = MIN_WO
                 pairs = _pairs_of(batch.column("pairs")[k])
                 first, past = extend(target, source, pairs[:, 0], pairs[:, 1])
                 total = np.concatenate(([0], np.cumsum(words)))
+                if batch.column("own_source")[k].as_py():
+                    first = clear_of_source(first, past, pairs[:, 0] - pairs[:, 1], total, min_words)
                 enough = total[past] - total[first] >= min_words
                 gone.append(_merged(np.stack((first, past), axis=1)[enough]) if enough.any() else np.zeros((0, 2), dtype=np.int64))
             held = np.concatenate(gone)
@@ -213,7 +222,8 @@ def repeated_lines(rows: DataFrame, steps: shared.Steps, min_words: int = MIN_WO
             kind = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row_key"), pa.array(kept, kind), pa.array(n_gone, pa.int32())], names=["id", "row_key", "kept", "n_gone"])
 
-    met = own.join(source, ["from_id", "from_key"]).select("id", "row_key", "pairs", "hashes", "words", "from_hashes")
+    own_source = (F.col("id") == F.col("from_id")) & (F.col("row_key") == F.col("from_key"))
+    met = own.join(source, ["from_id", "from_key"]).select("id", "row_key", "pairs", "hashes", "words", "from_hashes", own_source.alias("own_source"))
     runs = met.mapInArrow(shared.trimmed(runs_of), "id long, row_key long, lines int, gone array<struct<first int, past int>>").filter(F.size("gone") > 0)
     runs = runs.groupBy("id", "row_key").agg(F.first("lines").alias("lines"), F.flatten(F.collect_list("gone")).alias("gone"))
     return runs.mapInArrow(shared.trimmed(stay), "id long, row_key long, kept array<struct<first int, n int>>, n_gone int")

@@ -226,7 +226,14 @@ def dedup_by_hand(rows, least):
                 a, b = a - 1, b - 1
             while c < len(own) and d < len(lines[f]) and own[c] == lines[f][d]:
                 c, d = c + 1, d + 1
-            gone[k] |= set(range(a, c))
+            if f == k and c - (i - g) > a:  # it overlaps its source: the windows of each phase stay once
+                total, e = 0, a - 1
+                while e < c and total < least:
+                    total += count[k][e]
+                    e += 1
+                a = max(a, e) if total >= least else c
+            if sum(count[k][a:c]) >= least:
+                gone[k] |= set(range(a, c))
     return {i: None if t is None else "\n".join(x for n, x in enumerate(lines[k]) if n not in gone[k]) for k, (i, t) in enumerate(rows)}
 
 
@@ -247,6 +254,25 @@ def test_line_dedup_equals_brute_force(spark):
         assert out == dedup_by_hand(rows, least)
 
 
+def test_a_document_of_repeated_lines_keeps_its_source(spark):
+    rng = random.Random(9)
+    line = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+    rows = [(1, "\n".join([line(12)] * 30), "s"), (2, "\n".join([line(12)] * 9), "s"), (3, "\n".join([line(60)] * 3), "s")]
+    for i in range(4, 24):
+        rows.append((i, "\n".join([line(rng.randrange(1, 40)) for _ in range(rng.randrange(1, 6))] * rng.randrange(2, 30)), "s"))
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()}
+    assert [len(out[i].split("\n")) for i in (1, 2, 3)] == [5, 9, 1]
+    for i, text, _ in rows:
+        lines, left = text.split("\n"), out[i].split("\n")
+        assert left == lines[: len(left)]
+        for start in range(len(left), len(lines)):
+            end, words = start, 0
+            while end < len(lines) and words < 50:
+                words, end = words + len(lines[end].split()), end + 1
+            if words >= 50:  # every run of so many words that went stands in what is left
+                assert "\n".join(lines[start:end]) in out[i]
+
+
 def test_line_dedup_odd_rows(spark):
     passage = " ".join(f"q{k}" for k in range(55))
     df = docs_of(spark, [(1, f"x\n{passage}\ny", "s"), (1, f"x\n{passage}\ny", "s"), (2, f"{passage}\nz", "s"), (None, f"{passage}", "s"), (3, passage[:100], "s")])
