@@ -22,10 +22,12 @@ from . import lm, shared
 NONE = np.zeros(0, dtype=np.int64)
 
 
-def trusted_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every row whose doc_id is trusted."""
-    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return rows.join(good, "doc_id", "left_semi")
+def trusted_rows(rows: DataFrame, labels: DataFrame, steps: shared.Steps) -> DataFrame:
+    """Every row whose doc_id is trusted. Rows that a key filter clears are not shuffled; the others meet the labels by doc_id."""
+    good = steps.write(labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "good")
+    key = F.xxhash64("doc_id").alias("id_key")
+    _, maybe = shared.split_by_keys(rows.select("*", key), "id_key", good.select(key), steps)
+    return maybe.drop("id_key").join(shared.broadcast_if_small(good), "doc_id", "left_semi")
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def scored(rows: DataFrame, steps: shared.Steps) -> DataFrame:
         requests = lm.gram_requests(rows, NONE, steps)
         every = lm.each_request(requests).groupBy("gram").agg(F.sum("times").alias("all"))
-        trusted = lm.each_request(lm.gram_requests(trusted_rows(rows, labels), NONE, steps)).groupBy("gram").agg(F.sum("times").alias("target"))
+        trusted = lm.each_request(lm.gram_requests(trusted_rows(rows, labels, steps), NONE, steps)).groupBy("gram").agg(F.sum("times").alias("target"))
         counts = every.join(trusted, "gram", "left").select("gram", "all", F.coalesce("target", F.lit(0)).alias("target"))
         counts = steps.write(counts, "counts")
         wanted = counts.select("gram")
