@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.gate import Thresholds
 from . import roc
-from .ranked import quantiles_of_cells
+from .ranked import quantiles_of_cells, settled
 
 # In which direction each measure is expected to speak for "not gradable".
 DIRECTIONS = {
@@ -23,6 +23,7 @@ DIRECTIONS = {
     "ratio_centro_marco": "bajo",
     "tinte": "alto",
 }
+# The threshold of the gate that each measure is held against.
 THRESHOLD_OF = {
     "nitidez_normalizada": "nitidez_min",
     "rango_dinamico": "rango_dinamico_min",
@@ -37,6 +38,7 @@ THRESHOLD_OF = {
 LEAST_FINITE, TELLING = 30, 0.57
 
 
+# The limits of the readings.
 def reading(auc: Column) -> Column:
     return F.when(auc >= 0.65, "predice bien").when(auc >= TELLING, "predice algo").when(auc >= 0.52, "casi nada").when(auc.isNotNull(), "no aporta")
 
@@ -54,14 +56,14 @@ def directed_cells(df: DataFrame, label: str, directions: dict[str, str] | None
     parts = F.array(*(F.struct(F.lit(m).alias("medida"), F.lit(d).alias("sentido"), _finite(F.col(m).cast("double")).alias("x")) for m, d in directions.items()))
     keep = [by] if by else []
     long = df.select(*keep, F.col(label).cast("int").alias("y"), F.explode(parts).alias("m")).select(*keep, "y", "m.*")
-    values = roc.cells(long, "x", "y", [*keep, "medida", "sentido"]).withColumnRenamed("score", "x")
-    one_sided = values.filter("sentido <> 'ambos'").withColumn("score", F.when(F.col("sentido") == "alto", F.col("x")).otherwise(-F.col("x"))).drop("x")
+    values = settled(roc.cells(long, "x", "y", [*keep, "medida", "sentido"]), "score").withColumnRenamed("score", "x")
+    one_sided = values.filter("sentido <> 'ambos'").withColumn("score", F.when(F.col("sentido") == "alto", F.col("x")).otherwise(-F.col("x"))).drop("x", "bucket")
     if "ambos" not in directions.values():
         return one_sided
     # The centre of a two-sided measure is the median of the gradable rows: a row a measure (and group).
     two_sided = values.filter("sentido = 'ambos'")
     keys = [*keep, "medida"]
-    centres = quantiles_of_cells(two_sided.filter("neg > 0").select(*keys, F.col("x").alias("v"), F.col("neg").alias("times")), 0.5, keys).select(*keys, F.col("quantile").alias("centro"))
+    centres = quantiles_of_cells(two_sided.filter("neg > 0").select(*keys, F.col("x").alias("v"), F.col("neg").alias("times"), "bucket"), 0.5, keys).select(*keys, F.col("quantile").alias("centro"))
     away = two_sided.join(centres, keys).withColumn("score", F.abs(F.col("x") - F.col("centro")))
     away = away.groupBy(*keys, "sentido", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return one_sided.unionByName(away)

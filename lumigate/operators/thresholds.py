@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import roc
-from .ranked import bucketed
+from .ranked import settled
 
 
 def strategies(val: DataFrame, group: str = "grupo", label: str = "label", prob: str = "prob", target: float = 0.85, min_n: int = 25) -> DataFrame:
@@ -18,7 +18,7 @@ def strategies(val: DataFrame, group: str = "grupo", label: str = "label", prob:
     Groups with fewer than min_n rows or one class take the single threshold (0.5 where val as a whole has one class).
     Rows are collapsed to cells once; the curve of all is that of the groups' cells summed.
     """
-    found = bucketed(roc.cells(val, prob, label, [group]), "score", "pos").withColumn("todo", F.lit(False))
+    found = settled(roc.cells(val, prob, label, [group]), "score").withColumn("todo", F.lit(False))
     every = found.groupBy("score", "bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     every = every.select(F.lit(None).cast(found.schema[group].dataType).alias(group), "score", "pos", "neg", "bucket", F.lit(True).alias("todo"))
     by = ["todo", "g"]
@@ -50,7 +50,7 @@ def evaluate(val: DataFrame, test: DataFrame, group: str = "grupo", label: str =
 
     Test rows are collapsed to cells once; all counts and the area come from them. p: positives of all of test (for `summary`).
     """
-    found = bucketed(roc.cells(test, prob, label, [group]), "score", "pos")
+    found = settled(roc.cells(test, prob, label, [group]), "score")
     ready = attach(found, strategies(val, group, label, prob, target, min_n), group)
     names = [("umbral_unico", "u_unico"), ("umbral_por_grupo", "u_grupo"), (f"sensibilidad_{target:.2f}_por_grupo", "u_sens")]
     sums = {f"{side}_{c}": F.when(F.col("score") >= F.col(c), F.col(side)).otherwise(0) for _, c in names for side in ("pos", "neg")}

@@ -157,12 +157,13 @@ def sensitivity_threshold_collinear(spark: SparkSession, sf_dir: str) -> DataFra
     return rounded(roc.sensitivity_threshold(A.predictions(spark, sf_dir), "prob", "label", 0.9, ["grupo"], drop_intermediate=True))
 
 
-REPLICAS = 100
-POISSON = "case least(" + str(roc.CHUNK) + ", c - 8 * i0) " + " ".join(f"when {k} then " + " + ".join(f"cast(u >= {c} as bigint)" for c in roc.poisson_cuts(k)) for k in range(1, roc.CHUNK + 1)) + " end"
+REPLICAS, BITS = 1000, 9
+POISSON = "case k " + " ".join(f"when {k} then " + " + ".join(f"cast(u >= {c} as bigint)" for c in roc.poisson_cuts(1 << k)) for k in range(BITS)) + " end"
 DRAWN = f"""with cells as (select grupo, prob as score, sum(label) as pos, sum(1 - label) as neg from ({P}) group by 1, 2),
-sides as (select grupo, score, 'p' as side, pos as c from cells where pos > 0 union all select grupo, score, 'n', neg from cells where neg > 0),
-draws as (select grupo, score, side, replica, c, i0, cast('0x' || substr(md5('7:' || replica || ':' || grupo || ':' || score || ':' || side || ':' || case when c - 8 * i0 < 8 then 0 else i0 + 1 end), 1, 8) as bigint) as u
-  from (select *, unnest(generate_series(0, cast((c + 7) // 8 as bigint) - 1)) as i0 from sides), generate_series(1, {REPLICAS}) r(replica)),
+sides as (select grupo, score, 'p' as side, cast(pos as bigint) as c from cells where pos > 0 union all select grupo, score, 'n', cast(neg as bigint) from cells where neg > 0),
+parts as (select * from sides, generate_series(0, {BITS - 1}) b(k) where (c >> k) & 1 = 1),
+hashed as (select grupo, score, side, k, q, md5('7:' || grupo || ':' || score || ':' || side || ':' || k || ':' || q) as h from parts, generate_series(0, {REPLICAS // 4 - 1}) r(q)),
+draws as (select grupo, score, side, k, 4 * q + j as replica, cast('0x' || substr(h, cast(1 + 8 * j as bigint), 8) as bigint) as u from hashed, generate_series(0, 3) r(j)),
 weighed as (select grupo, replica, score, cast(coalesce(sum({POISSON}) filter (side = 'p'), 0) as double) as pos, cast(coalesce(sum({POISSON}) filter (side = 'n'), 0) as double) as neg from draws group by 1, 2, 3),
 points as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over (partition by grupo, replica) as p, sum(neg) over (partition by grupo, replica) as n from weighed where pos + neg > 0 window w as (partition by grupo, replica order by score desc rows unbounded preceding)),
 each as (select grupo, replica, {AREA} as auroc, sum(pos * tp / (tp + fp)) / max(p) as auprc from points group by 1, 2)

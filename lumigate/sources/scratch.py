@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own_folders: dict[str, tempfile.TemporaryDirectory] = {}
 
@@ -47,3 +47,10 @@ def held(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to that folder once and read back from there."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -252,9 +252,6 @@ def test_bootstrap_brackets_the_area(spark):
     for r in roc.auroc(df, "prob", "label", ["grupo"]).collect():
         own = found[r.grupo]
         assert own.auroc_lo < r.auroc < own.auroc_hi and own.auroc_hi - own.auroc_lo < 0.25 and own.auprc_lo < own.auprc_hi
-    draws = spark.range(4000).select(*(roc.poisson(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 32)), k).alias(f"m{k}") for k in (1, 5, 8))).agg(*(F.avg(f"m{k}").alias(f"a{k}") for k in (1, 5, 8)), *(F.var_pop(f"m{k}").alias(f"v{k}") for k in (1, 5, 8))).first()
-    for k in (1, 5, 8):
-        assert draws[f"a{k}"] == pytest.approx(k, rel=0.07) and draws[f"v{k}"] == pytest.approx(k, rel=0.12)
 
 
 def test_pairs_of_a_large_group(spark, monkeypatch):
