@@ -128,6 +128,7 @@ def image_url(base: str, path: Column) -> Column:
 
 
 def namespaced_patient(source: Column, patient: Column) -> Column:
+    """source_patient; rows of a source without a patient become one patient, named as the source."""
     return F.concat_ws("_", source, patient)
 
 

@@ -1,4 +1,7 @@
-"""Queries over photos made from the given vectors, on files and streams too, with the SQL that gives the same rows."""
+"""Queries over photos made from the given vectors, on files and streams too, with the SQL that gives the same rows.
+
+Twelve vectors make a colour photo of 16 x 16, so 500 vectors are 41 photos, and the 8 vectors left over are in none.
+"""
 
 from __future__ import annotations
 

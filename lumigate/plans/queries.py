@@ -372,6 +372,20 @@ def directed_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(calibration.directed_auc(A.measures(spark, sf_dir)))
 
 
+# The same by type of shot, for which the given rows' tone stands.
+MEASURE_ROWS_BY = MEASURE_ROWS.replace("no_evaluable as label", "no_evaluable as label, fitzpatrick as tipo")
+DIRECTED_BY = f"""with long as ({MEASURE_ROWS_BY}), centre as (select tipo, medida, quantile_cont(x, 0.5) as centro from long where sentido = 'ambos' and label = 0 group by all),
+scored as (select tipo, medida, sentido, label, case sentido when 'alto' then x when 'bajo' then -x else abs(x - centro) end as prob from long left join centre using (tipo, medida)),
+points as ({curve_sql("select * from scored", "tipo, medida, sentido")}), areas as (select tipo, medida, sentido, case when max(p) + max(n) >= 30 then {AREA} end as auc from points group by all)
+"""
+
+
+@query(DIRECTED_BY + "select tipo, medida, sentido, round(auc, 6) as auc, case when auc >= 0.65e0 then 'predice bien' when auc >= 0.57e0 then 'predice algo' when auc >= 0.52e0 then 'casi nada' when auc is not null then 'no aporta' end as lectura from areas")
+def directed_auc_by_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directed areas of each measure within each type of shot."""
+    return rounded(calibration.directed_auc(A.measures(spark, sf_dir).withColumnRenamed("fitzpatrick", "tipo"), by="tipo"))
+
+
 # A label that two of the measures tell something about.
 TELLING = f"select * replace (case when nitidez_global * 200 + lado_corto % 5 < 5.5e0 or tinte > 0.5e0 then 1 else 0 end as no_evaluable) from ({A.MEASURES})"
 
