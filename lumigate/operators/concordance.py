@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import written
+
 ONE, AGREE = "Una sola foto: no se puede estimar la incertidumbre.", "Las fotos coinciden."
 DISAGREE = "Las fotos no coinciden: no se da un resultado."
 SAME, OTHER = "Parecen de la misma zona.", "Alguna foto parece de otra zona."
@@ -85,13 +87,13 @@ def block_similarities(df: DataFrame, group: str, position: str, values: str) ->
     large = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n")).filter("n > 1").withColumnRenamed("g", "large")
     held = rows.join(large, rows["g"] == large["large"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
     block = F.pmod(F.xxhash64("pos"), F.col("n")).cast("int")
-    packed = held.groupBy("g", "n", block.alias("block")).agg(F.collect_list(F.struct("pos", "v")).alias("m"))
+    packed = written(held.groupBy("g", "n", block.alias("block")).agg(F.collect_list(F.struct("pos", "v")).alias("m")), "blocks")
     none = F.lit(None).cast(packed.schema["m"].dataType)
     own = packed.select("g", F.col("m").alias("a"), none.alias("b"))
     several = packed.filter("n > 1")
     one = several.filter("block < n - 1").select("g", F.col("block").alias("i"), F.explode(F.sequence(F.col("block") + 1, F.col("n") - 1)).alias("j"), F.col("m").alias("a"))
     two = several.filter("block > 0").select("g", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), F.col("m").alias("b"))
-    both = own.unionByName(one.join(two, ["g", "i", "j"]).select("g", "a", "b"))
+    both = own if several.isEmpty() else own.unionByName(one.join(two, ["g", "i", "j"]).select("g", "a", "b"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
