@@ -17,7 +17,7 @@ from ..functions import gate, scalars
 from ..functions.pixels import CUBIC
 from ..operators import manifest, measures, photo_jobs
 from ..sources import photos as source
-from ..sources.scratch import fresh, held
+from ..sources.scratch import deleted, fresh, held
 from ..streaming import gate_stream
 from . import adapters as A
 from . import queries as Q
@@ -256,14 +256,18 @@ judged as (select *, case when {" or ".join(f"contains('|' || reglas || '|', '|{
  round(cast(count(*) filter (veredicto = 'rechazada') as double) / nullif(count(*), 0), 6) as tasa, (select count(*) from m where cast(photo_id as bigint) % 7 = 3) as ilegibles from judged where cast(photo_id as bigint) % 7 <> 3""")
 def judged_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of photo files read, measured, judged and reported, with thresholds of its own."""
-    return rounded(photo_jobs.judge_folder(spark, _photo_folder(spark, sf_dir), fresh(spark, "job"), U, SIDE))
+    folder = _photo_folder(spark, sf_dir)
+    out = photo_jobs.judge_folder(spark, folder, fresh(spark, "job"), U, SIDE)
+    deleted(spark, folder)  # what is returned reads the job's own files
+    return rounded(out)
 
 
 @query(JUDGED + "select photo_id, veredicto, reglas from judged where cast(photo_id as bigint) % 7 <> 3")
 def judged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The measures file and the reports file of that job, read back and joined by photo."""
-    out = fresh(spark, "job")
-    photo_jobs.judge_folder(spark, _photo_folder(spark, sf_dir), out, U, SIDE)
+    folder, out = _photo_folder(spark, sf_dir), fresh(spark, "job")
+    photo_jobs.judge_folder(spark, folder, out, U, SIDE)
+    deleted(spark, folder)
     table = spark.read.option("header", True).csv(f"{out}/measures").select("photo_id", "reglas")
     reports = spark.read.schema("photo_id string, veredicto string").json(f"{out}/reports")
     return table.join(reports, "photo_id").select(_number().alias("photo_id"), "veredicto", F.coalesce("reglas", F.lit("")).alias("reglas"))
@@ -276,6 +280,7 @@ def measured_in_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (0, 1):
         write_files(_bmp_files(found.filter(F.col("photo_id").cast("int") % 2 == part)), folder)
         out = photo_jobs.measure_pending(spark, folder, done, U, SIDE, wave=16)
+    deleted(spark, folder)
     return out.select(_number().alias("photo_id"), "veredicto", "reglas")
 
 
@@ -287,6 +292,7 @@ def judged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (0, 1):
         found.filter(F.col("photo_id").cast("int") % 2 == part).write.mode("append").parquet(folder)
         gate_stream.judge_arrivals(gate_stream.arriving(spark, folder, 2), out, checkpoint, U, SIDE).awaitTermination()
+    deleted(spark, folder)
     return spark.read.parquet(out).select("photo_id", "veredicto", "reglas")
 
 
@@ -312,6 +318,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
             if system.get_file_info(f"{base}/{name}").type != fs.FileType.NotFound:
                 system.delete_file(f"{base}/{name}")
     on()
+    deleted(spark, folder)
     return out, counts
 
 
