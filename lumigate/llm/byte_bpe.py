@@ -4,7 +4,7 @@ The transducer reads bytes and emits tokens. A state holds, for the bytes not ye
 last token of the encoding of each prefix that still matters and the vocabulary prefixes that
 are open there; a token leaves as soon as every open continuation has it in common, so the
 lookahead is bounded by the longest token. States and transitions come into being when first
-met. They are kept from task to task of a worker up to MOST_STATES, within a piece too: then all but the present
+met. They are kept from task to task of a worker, until it does other work, up to MOST_STATES, within a piece too: then all but the present
 state are forgotten, and come again as they are met.
 
 That the last token of each prefix decides the rest rests on one property of BPE: a sequence of
@@ -33,6 +33,7 @@ CACHE_PIECES = 350_000  # of about 230 bytes each, kept for the life of a worker
 LONG_PIECE = 64  # letters from which a piece is not kept
 MOST_STATES = 450_000  # of about 400 bytes each with their transitions, kept for the life of a worker
 MOST_FITS = 300_000  # pairs of tokens of about 130 bytes each
+KEPT_AS = "byte-level BPE"  # what workers keep it as
 NEVER_ASKED, NO_LINK = -2, (-1, -1)
 
 
@@ -301,6 +302,7 @@ class Codec:
     def of(cls, ranks_path: str, pattern: str) -> Codec:
         if (key := (ranks_path, pattern)) not in cls.kept:
             cls.kept[key] = cls(*key)
+            shared.keeps(KEPT_AS, cls.kept.clear)
         return cls.kept[key]
 
     def _new(self, piece: str) -> str:
@@ -351,7 +353,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
                 rows = [codec.encode(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), shared.text_column(docs).alias("text")).mapInArrow(shared.trimmed(work), "doc_id long, ids array<int>")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), shared.text_column(docs).alias("text")).mapInArrow(shared.trimmed(work, KEPT_AS), "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -364,7 +366,7 @@ def decode(rows: DataFrame, ranks_path: str | None = None, pattern: str | None =
             texts = ["".join(codec.decode_stream(ids or ())) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(shared.trimmed(work), "doc_id long, text string")
+    return rows.select("doc_id", "ids").mapInArrow(shared.trimmed(work, KEPT_AS), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -388,4 +390,4 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests), pa.array(text_digests)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), shared.text_column(docs).alias("text"))
-    return rows.mapInArrow(shared.trimmed(work), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(shared.trimmed(work, KEPT_AS), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -87,17 +87,42 @@ def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(name, value)
 
 
-def trimmed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """work over batches; at the end of a task the worker gives freed memory back, as it lives on for other tasks."""
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def keeps(name: str, forget: Callable[[], object]) -> None:
+    """Says what a worker keeps from task to task under an operator's name, and how it is forgotten."""
+    _HELD[name] = forget
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def forget_others(name: str | None) -> None:
+    """Forgets what the worker keeps for operators of other names, since it lives on through all stages of a pipeline."""
+    others = [k for k in _HELD if k != name]
+    for k in others:
+        _HELD.pop(k)()
+    if others:
+        _give_back()
+
+
+def trimmed(work: Callable[[Iterator], Iterator], name: str | None = None) -> Callable[[Iterator], Iterator]:
+    """work over batches; at the end of a task the worker gives freed memory back, as it lives on for other tasks.
+
+    What it keeps for tasks of the same name stays; what it keeps for others goes before the work begins.
+    """
 
     def run(batches: Iterator) -> Iterator:
+        forget_others(name)
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            _give_back()
 
     return run
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from lumigate.llm import byte_bpe, lm, lm_scoring, media, pii, quality, toxicity
+from lumigate.llm import byte_bpe, lm, lm_scoring, media, pii, quality, shared, toxicity
 from lumigate.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -80,6 +80,16 @@ def test_bounds_hold_within_a_piece(monkeypatch, codec, reference):
     assert fresh.bytes_of and b"".join(fresh.bytes_of[i] for i in fresh.encode(long.encode())) == long.encode() and time.time() - began < 120
 
 
+def test_other_work_forgets_what_a_worker_keeps():
+    byte_bpe.Codec.kept.clear()
+    one = byte_bpe.Codec.of(byte_bpe.default_ranks(), byte_bpe.default_pattern())
+    list(shared.trimmed(iter, byte_bpe.KEPT_AS)([]))
+    assert byte_bpe.Codec.of(byte_bpe.default_ranks(), byte_bpe.default_pattern()) is one
+    list(shared.trimmed(iter)([]))
+    assert not byte_bpe.Codec.kept
+    assert byte_bpe.Codec.of(byte_bpe.default_ranks(), byte_bpe.default_pattern()) is not one
+
+
 def test_transducer_on_random_vocabularies():
     """Any merge list over a small alphabet, against merging by rank."""
     rng = random.Random(9)
