@@ -108,15 +108,18 @@ def keyed(docs: DataFrame, *columns: str, whole: bool = False) -> DataFrame:
     return chosen.withColumn("row_key", F.xxhash64("doc_id", "text"))
 
 
-def gram_requests(rows: DataFrame, chosen: np.ndarray, steps: shared.Steps, order: int = ORDER) -> DataFrame:
-    """Per block: its name, its distinct n-grams, how often each occurs, and how often in documents of the chosen ids (sorted)."""
+def gram_requests(rows: DataFrame, chosen: list[np.ndarray], steps: shared.Steps, order: int = ORDER) -> DataFrame:
+    """Per block: its name, its distinct n-grams, how often each occurs, and how often in documents of the chosen ids (see shared.members)."""
     own_chosen = rows.sparkSession.sparkContext.broadcast(chosen)
+    keys = shared.member_keys(chosen, "doc_id")
+    n_keys = len(keys)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = own_chosen.value
         for name, block in _blocks(batches):
             data, offsets = utf8_column(block.column("text"))
-            own = np.isin(np.asarray(block.column("doc_id").fill_null(-1)), ids)
+            ids = block.column("doc_id")
+            own = shared.is_member(own_chosen.value, np.asarray(ids.fill_null(0)), [np.asarray(block.column(f"key{k}")) for k in range(n_keys)])
+            own &= np.asarray(ids.is_valid())
             grams, times, picked = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
             for start, end, part, inner in chunks(data, offsets):
                 packed = _grams(part, inner, order)
@@ -132,7 +135,7 @@ def gram_requests(rows: DataFrame, chosen: np.ndarray, steps: shared.Steps, orde
             lists = [pa.ListArray.from_arrays(pa.array([0, len(grams)], pa.int32()), pa.array(x)) for x in (grams.astype(np.int64), times, picked)]
             yield pa.RecordBatch.from_arrays([pa.array([name]), *lists], names=["block", "gram", "times", "picked"])
 
-    found = rows.select("doc_id", "text", "row_key").mapInArrow(shared.trimmed(scan), "block long, gram array<long>, times array<long>, picked array<long>")
+    found = rows.select("doc_id", "text", "row_key", *keys).mapInArrow(shared.trimmed(scan), "block long, gram array<long>, times array<long>, picked array<long>")
     return steps.write(found, "grams")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import lm, shared
 
-NONE = np.zeros(0, dtype=np.int64)
+NONE = [np.zeros(0, dtype=np.int64)]
 
 
 def trusted_rows(rows: DataFrame, labels: DataFrame, steps: shared.Steps) -> DataFrame:

@@ -1,9 +1,8 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model's n-grams are counted on trusted documents (of those, at most TRUSTED_LIMIT by hash
-order; the rows whose labels fit the classifier are bounded by that parameter). Sharded count
-joins give each document's perplexity per byte, and each language's quantile over all
-trusted documents is its threshold.
+The model's n-grams are counted on every trusted document. Sharded count joins give each
+document's perplexity per byte, and each language's quantile over all trusted documents is
+its threshold.
 
 Defined cases: a null or empty text has no perplexity and is rejected; a null or rare language
 (under LEAST_TRUSTED trusted documents) takes the quantile over all of them; with no trusted
@@ -13,37 +12,34 @@ other columns are ignored by `classify` and kept by `kept`, whatever their names
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranked import exact_quantiles
 from . import lm, shared
 
-TRUSTED_LIMIT = 20_000
 LEAST_TRUSTED = 30
 QUANTILE, MARGIN = 0.995, 1.02
 PRIOR_BYTES = 100  # so many bytes of a language's mean loss stand before each text, as a few bytes tell little
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED_LIMIT) -> np.ndarray:
-    """Sorted ids of at most `limit` trusted documents, in hash order."""
-    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return np.sort(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).toPandas()["doc_id"].to_numpy(dtype=np.int64))
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(id) of every trusted document, once."""
+    return labels.select(F.col("doc_id").cast("long").alias("id"), "quality").filter("quality = 1 and id is not null").select("id").distinct()
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, limit: int = TRUSTED_LIMIT, whole: bool = False) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, whole: bool = False) -> DataFrame:
     """doc_id, row_key (doc_id and text hashed), lang, perplexity, threshold, keep; whole: text and row (the other columns) too."""
-    trusted = trusted_ids(labels, limit)
 
     def scored(rows: DataFrame, steps: shared.Steps) -> DataFrame:
+        trusted = shared.members(steps.write(trusted_ids(labels), "good"), rows.select(F.col("doc_id").alias("id")), steps)
         requests = lm.gram_requests(rows, trusted, steps)
         counts = steps.write(lm.each_request(requests).groupBy("gram").agg(F.sum("picked").alias("c")), "counts")
         values = lm.kneser_ney(counts, counts.select("gram"), steps).select("gram", F.col("logp").alias("value"))
         return lm.block_scores(rows, requests, values)
 
     scores = lm.twice_alike(lm.keyed(docs, "lang", whole=whole), scored)
-    good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    good = trusted_ids(labels).withColumnRenamed("id", "doc_id")
     known = scores.select("doc_id", "lang", "total", "n_bytes").filter("n_bytes > 0").join(good, "doc_id", "left_semi")
     spark = docs.sparkSession
     with shared.Steps(spark) as steps:
@@ -71,11 +67,11 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margi
     return out.select("doc_id", "row_key", "lang", "perplexity", "threshold", keep.alias("keep"), *more)
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, limit: int = TRUSTED_LIMIT) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """Per document: doc_id, row_key, lang, perplexity, threshold, keep."""
-    return judged(docs, labels, quantile, margin, limit)
+    return judged(docs, labels, quantile, margin)
 
 
-def kept(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, limit: int = TRUSTED_LIMIT) -> DataFrame:
+def kept(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """The rows of docs that are not rejected, with the same columns; texts travel once, in their blocks, and nothing is joined back to them."""
-    return shared.unboxed(judged(docs, labels, quantile, margin, limit, whole=True).filter("keep"), docs)
+    return shared.unboxed(judged(docs, labels, quantile, margin, whole=True).filter("keep"), docs)

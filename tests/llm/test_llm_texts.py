@@ -15,6 +15,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 from odd_columns import HELPERS
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -231,6 +232,42 @@ def test_the_target_counts_every_trusted_row(spark):
     assert out.n == 20_400 and out.most < 1e-9
 
 
+@pytest.fixture
+def rows_beyond_a_sample(spark):
+    """20,400 trusted rows; the last 400 by hash order hold a text of their own."""
+    a, b = "some plain words", "zq xj zq xj"
+    ids = spark.range(20_400).select(F.col("id").alias("doc_id"), F.row_number().over(Window.orderBy(F.xxhash64("id"), "id")).alias("n"))
+    docs = ids.select("doc_id", F.when(F.col("n") > 20_000, b).otherwise(a).alias("text"), F.lit("en").alias("lang"))
+    return docs, ids.select("doc_id", F.lit(1).alias("quality")), {a: 20_000, b: 400}
+
+
+@pytest.mark.parametrize("listed", [None, 1000])
+def test_quality_counts_every_trusted_row(spark, monkeypatch, rows_beyond_a_sample, listed):
+    docs, labels, times = rows_beyond_a_sample
+    if listed:
+        monkeypatch.setattr(shared, "LISTED_IDS", listed)
+    out = {r.text: (r.n, r.least, r.most) for r in quality.classify(docs, labels).join(docs, "doc_id").groupBy("text").agg(F.count("keep").alias("n"), F.min("perplexity").alias("least"), F.max("perplexity").alias("most")).collect()}
+    p = kneser_ney_by_hand([t.encode() for t, n in times.items() for _ in range(n)])
+    total = {t: sum(math.log(p((bytes(3) + t.encode())[k : k + 4])) for k in range(len(t))) for t in times}
+    loss = -sum(total[t] * n for t, n in times.items()) / sum(len(t) * n for t, n in times.items())
+    for t, n in times.items():
+        want = math.exp((quality.PRIOR_BYTES * loss - total[t]) / (len(t) + quality.PRIOR_BYTES))
+        assert out[t] == (n, pytest.approx(want, rel=1e-4), pytest.approx(want, rel=1e-4))
+
+
+def test_members_are_told_exactly(spark, monkeypatch):
+    """Filters of so few bits that they let most others through, then theirs, and so on."""
+    monkeypatch.setattr(shared, "LISTED_IDS", 100)
+    monkeypatch.setattr(shared, "_places", lambda key: (F.pmod(key, F.lit(2)).cast("int"), F.shiftright(key, 11).bitwiseAND(F.lit(2047))))
+    monkeypatch.setattr(shared, "in_bitmap", lambda bits, keys: (bits[keys & 1, (keys >> 11 & 2047) >> 3] >> (keys >> 11 & 7).astype(np.uint8) & 1).astype(bool))
+    every = spark.range(-3000, 3000)
+    with shared.Steps(spark) as steps:
+        levels = shared.members(steps.write(every.filter("id % 3 = 0"), "chosen"), every.union(every).union(spark.sql("select cast(null as long)")), steps)
+    rows = every.select("id", *shared.member_keys(levels, "id")).toPandas()
+    ids = rows["id"].to_numpy()
+    assert len(levels) > 3 and (shared.is_member(levels, ids, [rows[c].to_numpy() for c in rows.columns[1:]]) == (ids % 3 == 0)).all()
+
+
 def test_blocks_do_not_depend_on_batches(monkeypatch, corpus):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 20_000)
     table = pa.table({"text": pa.array(corpus[:80]), "row_key": pa.array(range(80))})
