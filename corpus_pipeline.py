@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumigate.llm import byte_bpe, line_dedup, mixing, ngram_join, quality, shared
 
 MAX_REPETITION = 1.25
+BPE_SHARE = 0.36  # executors that have run the other stages have less memory left for the transducer
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A null text is an empty one; a null doc_id stays null; repeated rows give equal rows.
     """
-    return byte_bpe.round_trip(docs)
+    return byte_bpe.round_trip(docs, share=BPE_SHARE)
 
 
 STAGES = [

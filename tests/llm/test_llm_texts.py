@@ -68,6 +68,20 @@ def test_forgetting_states_changes_nothing(monkeypatch, codec, reference, corpus
         assert len(fresh.transducer.states) <= 51
 
 
+def test_a_share_bounds_what_is_kept_and_frequent_pieces_stay(monkeypatch, reference, corpus):
+    monkeypatch.setattr(byte_bpe, "MOST_STATES", 400)
+    monkeypatch.setattr(byte_bpe, "CACHE_PIECES", 40)
+    fresh = byte_bpe.Codec(byte_bpe.default_ranks(), byte_bpe.default_pattern(), share=0.25)
+    t = fresh.transducer
+    for k, text in enumerate(corpus[:20]):
+        fresh.numbers(" often")
+        for word in text.split()[:8]:
+            fresh.numbers(word + str(k))
+        assert fresh.encode(text) == reference.encode_ordinary(text)
+        assert len(t.states) <= 101 and len(t.before[0]) <= 101 and max(len(fresh.pieces), len(fresh.pieces_before)) <= 10
+    assert len(t.fits) == byte_bpe.MOST_FITS and t.fits.itemsize == 8
+
+
 def test_bounds_hold_within_a_piece(monkeypatch, codec, reference):
     monkeypatch.setattr(byte_bpe, "MOST_STATES", 1000)
     monkeypatch.setattr(byte_bpe, "MOST_FITS", 1000)
