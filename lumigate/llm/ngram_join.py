@@ -13,7 +13,8 @@ are accumulated block by block and pairs below the bound that their sizes imply
    of them has a fixed bound (``FREQUENT_LIMIT``) and changes the order alone, never the result.
 3. Classes that meet in such a shingle get one home, the least minimum hash among them, so
    that the rows of near copies meet in few blocks. Homes with many shingles are cut into
-   blocks, and each pair of blocks is a task of its own.
+   blocks, and each pair of blocks is a task of its own. Two classes with several homes in
+   common are compared in the first of them.
 4. In a pair of blocks the product of the incidence rows counts overlaps: first over the part
    of the n-grams with the least hashes (PART_BELOW), where a row stays only if a partner can
    still reach the bound with all the rest; then, for those rows, over all of them. A spanning forest of
@@ -48,6 +49,8 @@ BLOCK_SHINGLES, BLOCK_ROWS = 400_000, 1500
 DENSE_LIST = 48  # rows of an n-gram from which the dense product takes it
 EXTRA = 10  # a tenth of a set's shingles stand in its prefix beyond the least number
 PART_BELOW = np.uint64(int(0.15 * 2**64))  # the part of the hashes that is compared first
+GRAM_BITS = np.uint64(2**40 - 1)  # what of a prefix n-gram's hash candidates are searched by
+EARLIER = 64  # homes of a class that are looked through for an earlier meeting
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -108,9 +111,13 @@ def signed_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return rows.withColumn("row_key", F.xxhash64("doc_id", "text")).mapInArrow(shared.trimmed(scan), SIGNED)
 
 
-def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(class, least hash, size, prefix) of each document with words."""
-    own_frequent = docs.sparkSession.sparkContext.broadcast(frequent)
+def _prefixes(docs: DataFrame, frequent: np.ndarray, copied: np.ndarray, steps: shared.Steps, width: int, percent: int) -> tuple[list[DataFrame], DataFrame]:
+    """The steps written, and of them (class, least hash, size, prefix) of each class with words; copied: a filter of the classes of several documents.
+
+    Only classes that the filter holds are shuffled to leave one row of each. Of a prefix n-gram's hash GRAM_BITS are kept;
+    what falls together adds candidates and loses none.
+    """
+    own_frequent, own_copied = (docs.sparkSession.sparkContext.broadcast(a) for a in (frequent, copied))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = own_frequent.value
@@ -130,14 +137,18 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -
                     prefixes.append(s[:keep])
                 lengths = np.array([len(p) for p in prefixes])
                 sizes = pa.array([len(s) for s in sets], pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(_signed(np.concatenate(prefixes))))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(_signed(np.concatenate(prefixes) & GRAM_BITS)))
+                names = np.array([_signature(s) for s in sets], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([_signature(s) for s in sets]), pa.array([int(s[0] >> np.uint64(33)) for s in sets], pa.int32()), sizes, lists],
-                    names=["class", "low", "n", "prefix"],
+                    [pa.array(names), pa.array([int(s[0] >> np.uint64(33)) for s in sets], pa.int32()), sizes, lists, pa.array(shared.in_bitmap(own_copied.value, names))],
+                    names=["class", "low", "n", "prefix", "copied"],
                 )
 
-    rows = docs.select(shared.text_column(docs).alias("text")).mapInArrow(shared.trimmed(scan), "class long, low int, n int, prefix array<long>")
-    return rows.groupBy("class").agg(F.first("low").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    rows = docs.select(shared.text_column(docs).alias("text")).mapInArrow(shared.trimmed(scan), "class long, low int, n int, prefix array<long>, copied boolean")
+    rows = steps.write(rows, "prefixes")
+    firsts = (F.first(c).alias(c) for c in ("low", "n", "prefix"))
+    copies = steps.write(rows.filter("copied").groupBy("class").agg(*firsts), "copies")
+    return [rows, copies], rows.filter("not copied").drop("copied").unionByName(copies)
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -266,6 +277,9 @@ def _survivors(blocks: DataFrame, percent: int) -> DataFrame:
                 rest_b = n_b - np.array([len(s) for s in b or a])
                 counts = overlaps(a, b)
                 can = at_bound(counts, np.minimum(rest_a[:, None], rest_b[None, :]), n_a, n_b, percent)
+                # Two classes that met in an earlier home are compared there.
+                seen_a, seen_b = ([np.array(m["earlier"], dtype=np.int32) for m in part] for part in (left, right))
+                can &= overlaps(seen_a, seen_b or None) == 0
                 if b is None:
                     can = np.triu(can, 1)
                     can |= can.T
@@ -295,9 +309,9 @@ def _block_edges(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.mapInArrow(shared.trimmed(work), "a long, b long")
 
 
-def _met(member: DataFrame, sets: DataFrame) -> DataFrame:
+def _met(member: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
     rows = member.join(sets, "class").groupBy("home", "i", "j")
-    return rows.agg(F.collect_list(F.struct("class", "n", "side", "shingles")).alias("members"))
+    return rows.agg(F.collect_list(F.struct("class", "n", "side", "shingles", *more)).alias("members"))
 
 
 def _shared_grams(prefixes: DataFrame, steps: shared.Steps, percent: int) -> DataFrame:
@@ -326,12 +340,13 @@ def linked_classes(docs: DataFrame, signed: DataFrame, steps: shared.Steps, widt
         .orderBy(F.desc("times"), "gram").limit(FREQUENT_LIMIT).select("gram").toPandas()["gram"].to_numpy(dtype=np.int64)
     )
     frequent = np.sort(frequent.view(np.uint64))
-    prefixes = steps.write(_prefixes(docs, frequent, width, percent), "prefixes")
+    copied = signed.filter("n_shingles > 0").groupBy("class").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    kept, prefixes = _prefixes(docs, frequent, shared.bitmap(copied, "class"), steps, width, percent)
     met = _shared_grams(prefixes, steps, percent).groupBy("home", "class", "n").agg(F.count(F.lit(1)).alias("grams"))
     # A linked pair has at least n / EXTRA - 1 n-grams in common within the two prefixes, whichever of them n is the size of.
     enough = F.sum("grams").over(Window.partitionBy("class")) >= F.col("n") / EXTRA - 1
     homes = steps.write(met.withColumn("enough", enough).filter("enough").select("home", "class", "n"), "homes")
-    steps.drop(prefixes)
+    steps.drop(*kept)
     cut = (
         homes.groupBy("home")
         .agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("classes"))
@@ -340,6 +355,8 @@ def linked_classes(docs: DataFrame, signed: DataFrame, steps: shared.Steps, widt
     )
     cut = steps.write(cut, "blocks")
     member = homes.select("home", "class").join(cut, "home").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    # Whatever earlier homes are listed, two classes meet in their first common one and have none before it.
+    member = member.withColumn("earlier", F.collect_list("home").over(Window.partitionBy("class").orderBy("home").rowsBetween(-EARLIER, -1)))
     # Block i meets itself and each j > i; side 1 is the first and side 2 the second of two blocks, side 0 a block alone.
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "class",
@@ -347,9 +364,10 @@ def linked_classes(docs: DataFrame, signed: DataFrame, steps: shared.Steps, widt
         F.least("block", "other").alias("i"),
         F.greatest("block", "other").alias("j"),
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"),
+        "earlier",
     )
     parts = _candidate_sets(docs, shared.bitmap(homes, "class"), width, True)
-    left = steps.write(_survivors(_met(member, parts), percent), "survivors")
+    left = steps.write(_survivors(_met(member, parts, "earlier"), percent), "survivors")
     wholes = _candidate_sets(docs, shared.bitmap(left, "class"), width, False)
     return steps.write(_block_edges(_met(left, wholes), percent), "links")
 

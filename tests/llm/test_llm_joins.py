@@ -90,6 +90,49 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, blocks):
     assert join_result(out) == components_by_hand(rows)
 
 
+def test_ngram_join_compares_a_pair_in_one_home(spark, monkeypatch):
+    """Two near copies, and longer texts that hold a part of them each: these give the parts homes of their own but reach no link."""
+    rng = random.Random(3)
+    text = [f"w{k}" for k in range(400)]
+    rows = [(0, " ".join(text)), (1, " ".join([*text[:-3], "x", "y", "z"]))]
+    rows += [(2 + k, " ".join(text[k * 50 : k * 50 + 50] + [f"o{rng.randrange(10**6)}" for _ in range(800)])) for k in range(8)]
+    seen, write = {}, shared.Steps.write
+
+    def kept(self, df, name, keep=False):
+        out = write(self, df, name, keep)
+        if name in ("blocks", "survivors"):
+            seen[name] = out.collect()
+        return out
+
+    monkeypatch.setattr(shared.Steps, "write", kept)
+    for earlier in (64, 1):
+        monkeypatch.setattr(ngram_join, "EARLIER", earlier, raising=False)
+        assert join_result(ngram_join.ngram_jaccard_join(docs_of(spark, [(i, t, "s") for i, t in rows]))) == components_by_hand(rows)
+        assert len(seen["blocks"]) > 1, "the two met in one home alone"
+        assert len(seen["survivors"]) == 2
+    rows = corpus(7)
+    assert join_result(ngram_join.ngram_jaccard_join(docs_of(spark, [(i, t, "s") for i, t in rows]))) == components_by_hand(rows)
+
+
+def test_ngram_join_shuffles_prefixes_of_copies_alone(spark, monkeypatch):
+    """A class of one document keeps its prefix where it is; short hashes of its n-grams that fall together add candidates alone."""
+    seen, write = {}, shared.Steps.write
+
+    def kept(self, df, name, keep=False):
+        out = write(self, df, name, keep)
+        if name == "copies":
+            seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(shared.Steps, "write", kept)
+    rows = corpus(9)
+    for bits in (40, 6):
+        monkeypatch.setattr(ngram_join, "GRAM_BITS", np.uint64(2**bits - 1), raising=False)
+        assert join_result(ngram_join.ngram_jaccard_join(docs_of(spark, [(i, t, "s") for i, t in rows]).repartition(3))) == components_by_hand(rows)
+        times = collections.Counter(frozenset(shingles(t)) for _, t in rows)
+        assert seen["copies"] == sum(n > 1 for s, n in times.items() if s)
+
+
 def test_ngram_join_with_frequent_ngrams(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT_LOCAL", 2)
     monkeypatch.setattr(ngram_join, "FREQUENT_LEAST", 2)
