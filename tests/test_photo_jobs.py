@@ -9,7 +9,7 @@ import photo_fixtures as made
 import pytest
 from pyspark.sql import functions as F
 
-from lumigate.functions import gate
+from lumigate.functions import gate, pixels
 from lumigate.operators import fairness, measures, photo_jobs, thresholds
 from lumigate.plans.photo_queries import _bmp
 from lumigate.sources import photos as source
@@ -153,3 +153,31 @@ def test_ties_go_to_the_first_name(spark):
     rows = [(0, "s", n, 0.5, 1, 1, 1, 2) for n in ("ab", "a", "b")]
     row = thresholds.summary(spark.createDataFrame(rows, "orden int, estrategia string, grupo string, fnr double, tp long, fn long, detectados long, positivos long")).first()
     assert row.peor_grupo == "a"
+
+
+def between(found, name):
+    """A threshold that lies between a measure and its rounded value."""
+    value, digits = found[name], pixels.DIGITS[name]
+    assert abs(value - round(value, digits)) > 1e-9
+    return (value + round(value, digits)) / 2
+
+
+def test_rules_read_measures_before_they_are_rounded(spark):
+    names = {"nitidez_normalizada": "nitidez_min", "estructura": "estructura_min", "ratio_centro_marco": "ratio_centro_marco_min", "brillo_medio": "brillo_min"}
+    rules = {"nitidez_normalizada": "nitidez", "estructura": "plana", "ratio_centro_marco": "descentrada", "brillo_medio": "oscura"}
+    for seed in range(3):
+        img = np.random.default_rng(seed).integers(0, 256, (20, 24, 3), dtype=np.uint8)
+        found = pixels.measure(img, 16)
+        df = spark.createDataFrame(made.rows({"a": img}), source.PHOTO_SCHEMA)
+        for name, limit in names.items():
+            u = gate.thresholds(**{limit: between(found, name)})
+            row = measures.judged(df, u, 16).first()
+            assert (rules[name] in row.reglas.split("|")) == (found[name] < getattr(u, limit))
+            assert row[name] == pytest.approx(round(found[name], pixels.DIGITS[name]), abs=1e-12)
+
+
+def test_a_shown_half_goes_to_the_even_digit(spark):
+    values = [205] * 52 + [208] * 11 + [210]
+    assert sum(values) / 64 / 255 == 0.80625
+    df = spark.createDataFrame([("a", 8, 8, 1, 0, bytearray(values))], source.PHOTO_SCHEMA)
+    assert measures.measure(df, 8).first().brillo_medio == 0.8062
