@@ -181,3 +181,20 @@ def test_a_shown_half_goes_to_the_even_digit(spark):
     assert sum(values) / 64 / 255 == 0.80625
     df = spark.createDataFrame([("a", 8, 8, 1, 0, bytearray(values))], source.PHOTO_SCHEMA)
     assert measures.measure(df, 8).first().brillo_medio == 0.8062
+
+
+@pytest.fixture
+def near_threshold(tmp_path):
+    """A folder of one photo, thresholds between its ratio and the rounded ratio, and whether `descentrada` is due."""
+    img = np.random.default_rng(0).integers(0, 256, (20, 24, 3), dtype=np.uint8)
+    found = pixels.measure(img, 16)
+    u = gate.thresholds(ratio_centro_marco_min=between(found, "ratio_centro_marco"))
+    put(tmp_path / "near", ["a.bmp"])
+    return str(tmp_path / "near"), u, found["ratio_centro_marco"] < u.ratio_centro_marco_min
+
+
+def test_a_judged_folder_reads_whole_measures(spark, tmp_path, near_threshold):
+    folder, u, due = near_threshold
+    counts = photo_jobs.judge_folder(spark, folder, str(tmp_path / "out"), u, 16).first()
+    row = spark.read.option("header", True).csv(str(tmp_path / "out" / "measures")).first()
+    assert ("descentrada" in (row.reglas or "")) == due and counts.total == 1
