@@ -198,3 +198,13 @@ def test_a_judged_folder_reads_whole_measures(spark, tmp_path, near_threshold):
     counts = photo_jobs.judge_folder(spark, folder, str(tmp_path / "out"), u, 16).first()
     row = spark.read.option("header", True).csv(str(tmp_path / "out" / "measures")).first()
     assert ("descentrada" in (row.reglas or "")) == due and counts.total == 1
+
+
+def test_streams_read_whole_measures(spark, tmp_path, near_threshold):
+    folder, u, due = near_threshold
+    out, counts = str(tmp_path / "out"), str(tmp_path / "counts")
+    gate_stream.judge_arrivals(gate_stream.arriving_files(spark, folder, 2), out, str(tmp_path / "j"), u, 16).awaitTermination()
+    gate_stream.count_arrivals(spark, out, counts, str(tmp_path / "c")).awaitTermination()
+    row = spark.read.parquet(out).first()
+    assert ("descentrada" in row.reglas.split("|")) == due
+    assert [(r.veredicto, r.n) for r in gate_stream.running_counts(spark, counts).collect()] == [(row.veredicto, 1)]
