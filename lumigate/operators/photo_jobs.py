@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,7 @@ def judge_folder(spark: SparkSession, path: str, out: str, u: gate.Thresholds |
 
 
 WAVE = 50_000  # photos of one durable step; so many paths are on the driver at a time
+TASK_PHOTOS = 16  # at least, where a wave has them: small waves run at once, so none need be split further
 
 
 def complete_runs(spark: SparkSession, done: str) -> list[str]:
@@ -51,8 +54,9 @@ def measure_pending(spark: SparkSession, folder: str, done: str, u: gate.Thresho
     """Measures and judges the photos of a folder that `done` lacks, and returns all of it.
 
     Files are listed, not opened; the listing's keys meet the finished keys, and only files that are left are read and
-    decoded, in waves of about `wave` dealt by hash. A wave is written to a folder of its own, which counts once it is
-    complete, so a run that is cut short loses one wave at most and the next goes on with what is missing. Files that do not decode
+    decoded, in waves of about `wave`. Paths come to the driver once, WAVE of them dealt by hash at a time, and what comes is cut into its waves, which run
+    side by side, one a core. A wave is written to a folder of its own, which counts once it is
+    complete, so a run that is cut short loses the waves that were running and the next goes on with what is missing. Files that do not decode
     are tried again each time.
     """
     listed = source.list_photos(spark, folder).select("photo_id", "path")
@@ -61,12 +65,22 @@ def measure_pending(spark: SparkSession, folder: str, done: str, u: gate.Thresho
     with_wave = fresh(spark, "pending")
     todo.write.parquet(with_wave)  # what is left as of now
     todo = spark.read.parquet(with_wave)
-    run, waves = uuid.uuid4().hex, -(-todo.count() // wave)
-    for k in range(waves):
-        paths = [r.path for r in todo.filter(F.pmod(F.xxhash64("path"), F.lit(waves)) == k).select("path").toLocalIterator()]
-        if paths:
-            good, _ = source.split_unreadable(source.read_listed(spark, paths))
-            gate.judge(measures.measure(good, side), u).write.parquet(f"{done}/run={run}-{k}")
+    judged = measures.judging(u, side)
+    run, rounds = uuid.uuid4().hex, -(-todo.count() // max(wave, WAVE))
+
+    def measure_wave(name: str, paths: list[str]) -> None:
+        good, _ = source.split_unreadable(source.read_listed(spark, paths).coalesce(max(1, len(paths) // TASK_PHOTOS)))
+        judged(good).write.parquet(f"{done}/run={run}-{name}")
+
+    for k in range(rounds):
+        paths = [r.path for r in todo.filter(F.pmod(F.xxhash64("path"), F.lit(rounds)) == k).select("path").toLocalIterator()]
+        n = max(1, round(len(paths) / wave))
+        cuts = [j * len(paths) // n for j in range(n + 1)]
+        waves = [(f"{k}-{j}", paths[cuts[j] : cuts[j + 1]]) for j in range(n) if cuts[j] < cuts[j + 1]]
+        if waves:
+            with ThreadPoolExecutor(min(len(waves), spark.sparkContext.defaultParallelism)) as pool:
+                for _ in pool.map(inheritable_thread_target(spark)(lambda w: measure_wave(*w)), waves):
+                    pass  # an error of one wave comes up here and those not begun are left
     deleted(spark, with_wave)
     found = measured(spark, done)
-    return found if found is not None else gate.judge(measures.measure(spark.createDataFrame([], source.PHOTO_SCHEMA), side), u)
+    return found if found is not None else judged(spark.createDataFrame([], source.PHOTO_SCHEMA))

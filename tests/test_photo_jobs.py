@@ -8,6 +8,7 @@ import numpy as np
 import photo_fixtures as made
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from lumigate.functions import gate, pixels
 from lumigate.operators import fairness, measures, photo_jobs, thresholds
@@ -208,3 +209,17 @@ def test_streams_read_whole_measures(spark, tmp_path, near_threshold):
     row = spark.read.parquet(out).first()
     assert ("descentrada" in row.reglas.split("|")) == due
     assert [(r.veredicto, r.n) for r in gate_stream.running_counts(spark, counts).collect()] == [(row.veredicto, 1)]
+
+
+def test_small_waves_read_whole_measures_and_list_paths_once(spark, tmp_path, near_threshold, opened, monkeypatch):
+    folder, u, due = near_threshold
+    rows = photo_jobs.measure_pending(spark, folder, str(tmp_path / "done"), u, 16).collect()
+    assert [("descentrada" in r.reglas.split("|")) for r in rows] == [due]
+    put(tmp_path / "in", [f"{k}.bmp" for k in range(7)])
+    opened.clear()
+    came, iterate = [], DataFrame.toLocalIterator
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda self, *more: came.append(1) or iterate(self, *more))
+    out = photo_jobs.measure_pending(spark, str(tmp_path / "in"), str(tmp_path / "done2"), side=16, wave=2)
+    assert out.count() == 7 == out.select("photo_id").distinct().count() and len(came) == 1
+    assert sorted(map(len, opened)) == [1, 2, 2, 2] and len({p for paths in opened for p in paths}) == 7
+    assert len(photo_jobs.complete_runs(spark, str(tmp_path / "done2"))) == 4
